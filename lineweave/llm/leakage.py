@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm.words import WordHashes, ngrams
+from lineweave.llm.words import WordHashes, bitmap, has_bit, ngrams
 from lineweave.plans.durable import durable
 from lineweave.sources.tables import table
 
@@ -67,7 +67,7 @@ def _passages(bits, reach: int):
             for n in (SEED, RUN):
                 g = ngrams(h, n)
                 slot = g.view(np.uint64) & np.uint64(_BITS - 1)
-                at = np.flatnonzero(filled[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                at = np.flatnonzero(has_bit(filled, slot))
                 doc = np.searchsorted(ends, at, side="right")
                 at = at[at + n <= ends[doc]]  # a run over two documents is none
                 hits.append((at, g[at]))
@@ -155,12 +155,7 @@ def leaked(items: DataFrame, documents: DataFrame) -> DataFrame:
     holders = seeds.groupBy("h").agg(F.countDistinct("item_id").alias("k")).filter(F.col("k") <= MAX_ITEMS).select("h")
     rare = durable(seeds.join(holders, "h"), "leak-seeds")
 
-    packed = rare.selectExpr(f"(h & {_BITS - 1}) div 8 as byte", "shiftleft(1, cast(h & 7 as int)) as bit")
-    packed = packed.groupBy("byte").agg(F.bit_or("bit").alias("bits"))  # at most _BITS / 8 rows of one byte
-    filled = bytearray(_BITS // 8)
-    for r in packed.toLocalIterator(prefetchPartitions=True):
-        filled[r.byte] = r.bits
-    bits = spark.sparkContext.broadcast(bytes(filled))
+    bits = spark.sparkContext.broadcast(bitmap(rare, F.col("h").bitwiseAND(F.lit(_BITS - 1)), _BITS))
 
     longest = items.agg(F.coalesce(F.max(F.regexp_count("text", F.lit("[A-Za-z0-9]+"))), F.lit(0))).first()[0]
     reach = min(max(longest, RUN), 2000)

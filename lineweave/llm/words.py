@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling n-gram hash.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,3 +39,19 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
     return out.view(np.int64)
+
+
+def bitmap(df: DataFrame, slot: Column, bits: int) -> bytes:
+    """The slots (0 to ``bits`` - 1) that occur in ``df`` as a bit set of fixed size, built map-side; bit i is bit i % 8 of byte i // 8."""
+    unit = 32_768
+    n = df.select((slot + 1).alias("n"))
+    rows = n.groupBy(F.bitmap_bucket_number("n").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("b"))
+    out = bytearray(max(bits, unit) // 8)
+    for r in rows.toLocalIterator():  # at most bits / 32768 rows of 4 KB
+        out[(r.k - 1) * unit // 8 : r.k * unit // 8] = r.b
+    return bytes(out)
+
+
+def has_bit(filled: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of ``slots`` (uint64) are set in a bit set of bytes."""
+    return (filled[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
