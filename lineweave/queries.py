@@ -1,16 +1,35 @@
-"""Registry of the core's queries and their SQL."""
+"""Registry of the core's queries and their SQL. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lineweave.functions import text as T
+from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, symbols
+from lineweave.sources import workspace
+from lineweave.sources.tables import table
+from lineweave.streaming import usage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
@@ -18,5 +37,685 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+# --- SQL building blocks -------------------------------------------------------------------------------------------------------------------------------
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_PROSE = "[" + ", ".join(f"'{w}'" for w in T.PROSE_WORDS) + "]"
+
+
+def _cf(x: str) -> str:
+    for a, b in T.FOLDS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"lower({x})"
+
+
+def _plain(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({_cf(x)}, '{T.TERM}'), lambda t: trim(t, '.-')), lambda t: t <> '' and not list_contains({_STOP}, t)))"
+
+
+def _kw(x: str) -> str:
+    parts = "string_split_regex(k, '[.-]+')"
+    each = f"list_concat([k], list_concat({parts}, flatten(list_transform({parts}, lambda p: string_split(p, '_')))))"
+    return f"list_distinct(list_filter(flatten(list_transform({_plain(x)}, lambda k: {each})), lambda t: t <> '' and not list_contains({_STOP}, t)))"
+
+
+def _pk(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all({_cf(x)}, '[A-Za-z0-9]+'), lambda t: not list_contains({_STOP}, t)))"
+
+
+def _ident(xs: str) -> str:
+    cut = r"regexp_replace(p, '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    pieces = f"flatten(list_transform({xs}, lambda n: string_split_regex(n, '[_.\\-]+')))"
+    return f"list_distinct(list_transform(flatten(list_transform({pieces}, lambda p: regexp_extract_all({cut}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'))), lambda t: lower(t)))"
+
+
+_FILES = "files_ as (select distinct relative_path as source, text from files where text is not null)"
+_LINES = _FILES + r""", lines_ as (
+  select source, unnest(range(1, len(l) + 1)) as line, unnest(l) as text from (
+    select source, case when l[-1] = '' then l[:-2] else l end as l from (select source, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as l from files_))
+), toks as (select *, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda t: t <> ''))::int as n_tokens from lines_)"""
+_QT = f"qt as (select query_id, len(k)::int as n_terms, unnest(k) as term from (select query_id, {_kw('query_text')} as k from queries))"
+_SPANS = "spans as (select span_id, source, token_start, token_end, text from raw_spans where text is not null and token_end > token_start)"
+
+
+# --- adapters ------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable files, each delivered state once: ``source, text``."""
+    return table(spark, sf_dir, "files").filter("text is not null").select(F.col("relative_path").alias("source"), "text").distinct()
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with tokens, one per span key: a span delivered twice counts once, by its least identifier."""
+    s = table(spark, sf_dir, "raw_spans").filter("text is not null and token_end > token_start")
+    return s.groupBy("source", "token_start", "token_end").agg(F.min_by("text", "span_id").alias("text"), F.min_by("line_start", "span_id").alias("line_start"))
+
+
+_SPANS1 = "sp as (select source, token_start, token_end, arg_min(text, span_id) as text, arg_min(line_start, span_id) as line_start from raw_spans where text is not null and token_end > token_start group by 1, 2, 3)"
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions (no imports) with an ordinal."""
+    s = table(spark, sf_dir, "symbols").filter("kind <> 'import'")
+    return s.select(F.col("sym_name").alias("name"), "kind", "source", "line_start", "line_end", F.col("symbol_id").alias("ordinal"), "refs")
+
+
+# --- sources and text ----------------------------------------------------------------------------------------------------------------------------------
+
+_EXT = "(" + ", ".join(f"'{e}'" for e in workspace.EXTENSIONS) + ")"
+
+
+@query(
+    rf"""select distinct relative_path, lower(regexp_extract(relative_path, '(\.[^./]+)$', 1)) as ext from files
+where lower(regexp_extract(relative_path, '(\.[^./]+)$', 1)) in {_EXT} and coalesce(size_bytes, 0) <= 200000 and not regexp_matches(relative_path, '(^|/)\.')
+and not regexp_matches(relative_path, '^(venv|node_modules|dist|build|__pycache__)/')"""
+)
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files", "relative_path", "size_bytes")
+    return workspace.discover(f).select("relative_path", "ext").distinct()
+
+
+@query("select relative_path, count(*) as n from files where regexp_matches(relative_path, '/(src|lib)/') and relative_path like '%.py' group by 1")
+def scan_by_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files", "relative_path")
+    return f.filter(workspace.included(F.col("relative_path"), ["**/*/src/**/*.py", "*/src/**/*.py", "*/lib/**/*.py", "**/*/lib/**/*.py"])).groupBy("relative_path").agg(F.count("*").alias("n"))
+
+
+@query("select file_id, sha256(replace(text, chr(13) || chr(10), chr(10))) as fingerprint, sha256(text) = fingerprint as agrees from files where text is not null")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files", "file_id", "text", "fingerprint").filter("text is not null")
+    return f.select("file_id", T.fingerprint(F.col("text")).alias("fingerprint"), (F.sha2("text", 256) == F.col("fingerprint")).alias("agrees"))
+
+
+@query(f"with {_LINES} select source, line, n_tokens, length(text)::int as n_chars from toks")
+def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.lines(files(spark, sf_dir)).select("source", "line", "n_tokens", F.length("text").alias("n_chars"))
+
+
+@query(f"select query_id, unnest({_kw('query_text')}) as term from queries")
+def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "queries").select("query_id", F.explode(T.keywords(F.col("query_text"))).alias("term"))
+
+
+@query(f"select doc_id, len({_plain('text')})::int as n_terms, len({_kw('text')})::int as n_expanded from documents where text is not null")
+def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    return d.select("doc_id", F.size(T.plain_keywords(F.col("text"))).alias("n_terms"), F.size(T.keywords(F.col("text"))).alias("n_expanded"))
+
+
+@query(f"select distinct relative_path, unnest({_pk('relative_path')}) as term from files")
+def path_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "files", "relative_path").distinct().select("relative_path", F.explode(T.path_keywords(F.col("relative_path"))).alias("term"))
+
+
+@query(f"select symbol_id, unnest({_ident('[sym_name]')}) as part from symbols")
+def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "symbols", "symbol_id", "sym_name").select("symbol_id", F.explode(T.identifier_terms(F.array("sym_name"))).alias("part"))
+
+
+@query(
+    r"""select cand_id, regexp_extract(p, '^(.+?):(\d+)(?:-(\d+))?$', 1) as path, regexp_extract(p, '^(.+?):(\d+)(?:-(\d+))?$', 2)::int as low,
+coalesce(nullif(regexp_extract(p, '^(.+?):(\d+)(?:-(\d+))?$', 3), ''), regexp_extract(p, '^(.+?):(\d+)(?:-(\d+))?$', 2))::int as high
+from (select cand_id, metadata.provenance as p from candidates) where regexp_matches(p, '^(.+?):(\d+)(?:-(\d+))?$')"""
+)
+def parse_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates").select("cand_id", F.col("metadata.provenance").alias("p"))
+    return workspace.parse_locators(c, "p").filter("low is not null").select("cand_id", "path", "low", "high")
+
+
+@query("select distinct critical_source as relative_path from tasks where critical_source is not null and critical_source not in (select relative_path from files)")
+def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "tasks").filter("critical_source is not null").select(F.col("critical_source").alias("relative_path")).distinct()
+    return workspace.split_missing(t, table(spark, sf_dir, "files", "relative_path"))[1]
+
+
+@query(
+    """with m as (select distinct critical_source as missing from tasks where critical_source is not null and critical_source not in (select relative_path from files)),
+f as (select distinct relative_path as candidate from files),
+x as (select missing, candidate, len(list_intersect(string_split(missing, '/'), string_split(candidate, '/')))::int as shared from m join f on string_split(missing, '/')[-1] = string_split(candidate, '/')[-1]),
+r as (select *, row_number() over (partition by missing order by shared desc, candidate)::int as rank from x)
+select missing, candidate, shared, rank from r where rank <= 3"""
+)
+def missing_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.suggest(missing_sources(spark, sf_dir), table(spark, sf_dir, "files", "relative_path"))
+
+
+# --- chunks and windows --------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with recursive {_LINES}, pos as (
+  select source, line, n_tokens, length(text) + 1 as n_chars from toks
+), fold as (
+  select source, line, 1 as block, n_tokens as pend from pos where line = 1
+  union all
+  select p.source, p.line, case when f.pend + p.n_tokens > 64 then f.block + 1 else f.block end, case when f.pend + p.n_tokens > 64 then p.n_tokens else f.pend + p.n_tokens end
+  from fold f join pos p on p.source = f.source and p.line = f.line + 1
+), b as (
+  select source, block, min(line)::int as line_start, max(line)::int as line_end, sum(n_tokens) as n from fold join pos using (source, line) group by 1, 2
+)
+select source, line_start, line_end, (sum(n) over (partition by source order by block) - n)::bigint as token_start, (sum(n) over (partition by source order by block))::bigint as token_end from b"""
+)
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunk_lines(files(spark, sf_dir), 64).select("source", "line_start", "line_end", "token_start", "token_end")
+
+
+@query(f"with {_LINES} select source, ((line - 1) // 40)::bigint as \"window\", min(line)::int as line_start, max(line)::int as line_end, sum(n_tokens)::bigint as n_tokens from toks group by 1, 2")
+def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.fixed_windows(chunk.lines(files(spark, sf_dir)), 40)
+
+
+@query(
+    f"""with {_LINES}, w as (select source, unnest(range(0, max(line) // 30 + 1)) as k from toks group by source)
+select source, k::int as "window", min(line)::int as line_start, max(line)::int as line_end, sum(n_tokens)::bigint as n_tokens
+from w join toks using (source) where line > k * 30 and line <= k * 30 + 40 group by 1, 2"""
+)
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.sliding_windows(chunk.lines(files(spark, sf_dir)), 40, 30)
+
+
+@query(
+    """with r as (select source, line_start as low, line_end as high from raw_spans),
+a as (select *, max(high) over (partition by source order by low, high rows between unbounded preceding and 1 preceding) as b from r),
+i as (select *, sum(case when low <= b + 1 then 0 else 1 end) over (partition by source order by low, high rows unbounded preceding) as k from a)
+select source, min(low) as low, max(high) as high from i group by source, k"""
+)
+def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "raw_spans").select("source", F.col("line_start").alias("low"), F.col("line_end").alias("high"))
+    return chunk.merge_ranges(r, ["source"], "low", "high").select("source", "low", "high")
+
+
+@query(
+    f"""with {_LINES}, u as (select source, line, sum(n_tokens) over (partition by source order by line) as used from toks)
+select source, coalesce(max(line) filter (used <= 200), 0)::int as kept_lines, coalesce(max(used) filter (used <= 200), 0)::bigint as used_tokens, (min(line) filter (used > 200))::int as continue_at from u group by 1"""
+)
+def range_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.range_prefix(chunk.lines(files(spark, sf_dir)), 200)
+
+
+@query(
+    f"""with {_SPANS1}, x as (select *, token_end - token_start as n from sp), w as (
+select source, token_start, token_end, n, coalesce(sum(n) over (partition by source order by token_start, token_end rows between unbounded preceding and 1 preceding), 0) as before,
+coalesce(sum(n) over (partition by source order by token_start, token_end rows between 1 following and unbounded following), 0) as after, sum(n) over (partition by source) as total from x)
+select source, token_start, token_end, case when total <= 256 or before < 128 then 'prefix' when after < 128 then 'tail' else 'middle' end as zone from w"""
+)
+def active_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spans(spark, sf_dir).withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
+    return chunk.active_window(s, ["source"], F.struct("token_start", "token_end"), 128, 128).select("source", "token_start", "token_end", "zone")
+
+
+@query(
+    f"""with {_LINES}, h as (select source, greatest(line - 3, 1) as low, line + 3 as high from lines_ where text like '%ledger%' and regexp_matches(text, '\\bledger\\b')),
+a as (select *, max(high) over (partition by source order by low, high rows between unbounded preceding and 1 preceding) as b from h),
+i as (select *, sum(case when low <= b + 1 then 0 else 1 end) over (partition by source order by low, high rows unbounded preceding) as k from a)
+select source, min(low)::int as low, max(high)::int as high from i group by source, k"""
+)
+def grep_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.neighbourhoods(search.usages(chunk.lines(files(spark, sf_dir)), "ledger"), 3).select("source", "low", "high")
+
+
+# --- ranking -------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _top(df: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source", "token_start", "token_end")
+    x = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return x.select("query_id", "rank", "source", "token_start", "token_end", *[F.round(c, 6).alias(c) for c in columns])
+
+
+_RANKED = "row_number() over (partition by query_id order by round(score, 9) desc, source, token_start, token_end)::int as rank"
+_BM25 = f"""{_SPANS1}, {_QT}, st as (select source, token_start, token_end, {_kw('text')} as k from sp), corpus as (select count(*) as n, avg(len(k)) as avgdl from st),
+post as (select source, token_start, token_end, len(k) as dl, unnest(k) as term from st), df as (select term, count(*) as df from post group by 1),
+bm as (select query_id, source, token_start, token_end, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score
+from qt join post using (term) join df using (term), corpus group by 1, 2, 3, 4 having score > 0)"""
+_LEX = f"""{_SPANS1}, {_QT}, st as (select source, token_start, token_end, greatest(token_end - token_start, 1) as n_tokens, unnest({_kw('text')}) as term from sp),
+hit as (select query_id, source, token_start, token_end, count(*) as hits from st join qt using (term) group by 1, 2, 3, 4),
+pt as (select source, unnest({_pk('source')}) as term from (select distinct source from sp)), ph as (select query_id, source, count(*) as path_hits from pt join qt using (term) group by 1, 2),
+both_ as (select query_id, source, token_start, token_end, hits, 0 as path_hits from hit union all select query_id, source, token_start, token_end, 0, path_hits from ph join sp using (source)),
+lex as (select query_id, source, token_start, token_end, sum(hits) as hits, sum(hits) / max(n_terms) as lexical_coverage, sum(hits) / greatest(token_end - token_start, 1) as lexical_density, 0.5 * sum(path_hits) / max(n_terms) as path_bonus
+from both_ join (select distinct query_id, n_terms from qt) using (query_id) group by 1, 2, 3, 4), ls as (select *, lexical_coverage + lexical_density + path_bonus as score from lex)"""
+
+
+@query(f"with {_BM25}, r as (select *, {_RANKED} from bm) select query_id, rank, source, token_start, token_end, round(score, 6) as score from r where rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(rank.bm25(spans(spark, sf_dir), table(spark, sf_dir, "queries")), 10, ["score"])
+
+
+@query(
+    f"""with {_LEX}, r as (select *, {_RANKED} from ls)
+select query_id, rank, source, token_start, token_end, round(lexical_coverage, 6) as lexical_coverage, round(lexical_density, 6) as lexical_density, round(path_bonus, 6) as path_bonus, round(score, 6) as score from r where rank <= 10"""
+)
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(rank.lexical_coverage(spans(spark, sf_dir), table(spark, sf_dir, "queries")), 10, ["lexical_coverage", "lexical_density", "path_bonus", "score"])
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s, q = spans(spark, sf_dir), table(spark, sf_dir, "queries")
+    return {"bm25": rank.bm25(s, q), "lexical": rank.lexical_coverage(s, q)}
+
+
+_FUSED = f"""with {_BM25}, {_LEX.split(_QT + ',')[1].replace('st as', 'st2 as').replace('from st join', 'from st2 join')},
+g as (select 'bm25' as grp, query_id, source, token_start, token_end, {_RANKED} from bm union all select 'lexical', query_id, source, token_start, token_end, {_RANKED} from ls)"""
+
+
+@query(
+    f"""{_FUSED}, f as (select query_id, source, token_start, token_end, sum(1 / (60 + rank)) as score, count(*) as n_signals from g group by 1, 2, 3, 4), r as (select *, {_RANKED} from f)
+select query_id, rank, source, token_start, token_end, round(score, 6) as score, n_signals from r where rank <= 10"""
+)
+def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = rank.fuse(_groups(spark, sf_dir)).withColumnRenamed("rrf", "score").withColumn("n_signals", F.size("selection_reasons").cast("bigint"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *rank.SPAN)
+    return f.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "rank", *rank.SPAN, F.round("score", 6).alias("score"), "n_signals")
+
+
+@query(f"{_FUSED}, d as (select query_id, source, token_start, token_end, count(*) as c from g group by 1, 2, 3, 4) select query_id, round((sum(c) - count(*)) / sum(c), 6) as duplicate_ratio from d group by 1")
+def duplicate_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.duplicate_span_ratio(_groups(spark, sf_dir)).select("query_id", F.round("duplicate_ratio", 6).alias("duplicate_ratio"))
+
+
+@query()
+def subword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by hashed sub-word cosine, their 256 heaviest features."""
+    s = rank.heaviest(rank.hash_features(spans(spark, sf_dir), rank.SPAN), rank.SPAN)
+    q = rank.hash_features(table(spark, sf_dir, "queries").select("query_id", F.col("query_text").alias("text")), ["query_id"])
+    return _top(rank.sparse_cosine(q, s, ["query_id"], rank.SPAN), 5, ["score"])
+
+
+@query(
+    """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0), x as (
+select query_id, vec_id, list_cosine_similarity(q::double[], embedding::double[]) as score from q join embeddings on vec_id <> query_id),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id)::int as rank from x)
+select query_id, vec_id, rank, round(score, 5) as score from r where rank <= 10"""
+)
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose identifier is divisible by 20 against all."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return rank.dense_top_k(e, q, 10).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(
+    r"""with t as (select doc_id as source, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda t: t <> '')) as n from documents where text is not null),
+b as (select source, n, unnest(range(0, (n - 1) // 100 + 1)) as block from t where n > 0)
+select source, block::int as block, (block * 100)::int as start, least((block + 1) * 100, n)::int as "end" from b"""
+)
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("source"), "text")
+    return rank.token_blocks(d, 100)
+
+
+@query(
+    r"""with c as (select span_id as chunk, text from raw_spans where text is not null),
+w as (select chunk, list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda t: length(t) > 1) as w from c),
+k as (select count(*) as n, avg(len(w)) as avgdl from w), tf as (select chunk, dl, term, count(*) as tf from (select chunk, len(w) as dl, unnest(w) as term from w) group by 1, 2, 3),
+df as (select term, count(*) as df from tf group by 1),
+q as (select query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(query_text, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'), lambda t: length(t) > 1))) as term from queries),
+s as (select query_id, chunk, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join tf using (term) join df using (term), k group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk)::int as rank from s) select query_id, chunk, rank, round(score, 6) as score from r where rank <= 5"""
+)
+def tf_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "raw_spans").filter("text is not null").select(F.col("span_id").alias("chunk"), "text")
+    x = rank.tf_bm25(c, table(spark, sf_dir, "queries"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk")
+    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "chunk", "rank", F.round("score", 6).alias("score"))
+
+
+# --- packing -------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored candidates as packing input; a candidate delivered twice counts once, one without a usable score not at all."""
+    c = table(spark, sf_dir, "candidates").filter("rank_score is not null and not isnan(rank_score) and tok_end > tok_start")
+    c = c.groupBy("query_id", "source", F.col("tok_start").alias("start"), F.col("tok_end").alias("end"))
+    return c.agg(F.min_by("rank_score", "cand_id").alias("rank_score"), F.min_by("text", "cand_id").alias("text"), F.min_by(F.col("metadata.line_start"), "cand_id").alias("line_start"))
+
+
+@query(
+    """with recursive c as (select query_id, source, tok_start as start, tok_end as "end", arg_min(rank_score, cand_id) as s from candidates
+where rank_score is not null and not isnan(rank_score) and tok_end > tok_start group by 1, 2, 3, 4),
+r as (select *, row_number() over (partition by query_id order by s desc, source, start, "end") as k, "end" - start as n from c), f as (
+select query_id, k, case when n <= 300 then n else 0 end as used, n <= 300 as kept from r where k = 1
+union all select r.query_id, r.k, case when f.used + r.n <= 300 then f.used + r.n else f.used end, f.used + r.n <= 300 from f join r on r.query_id = f.query_id and r.k = f.k + 1 where r.k <= 64)
+select query_id, k::int as rank, source, start, "end", n as n_tokens from f join r using (query_id, k) where kept"""
+)
+def pack_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_prefix(candidate_spans(spark, sf_dir), 300)
+
+
+@query()
+def pack_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(candidate_spans(spark, sf_dir), table(spark, sf_dir, "queries"), 600, "score")
+
+
+@query()
+def pack_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(candidate_spans(spark, sf_dir), table(spark, sf_dir, "queries"), 600, "coverage")
+
+
+@query()
+def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank spans for every question by BM25 and coverage, fuse, and pack under a budget with provenance."""
+    s = spans(spark, sf_dir)
+    f = rank.fuse(_groups(spark, sf_dir)).join(s, rank.SPAN)
+    c = f.select("query_id", "source", F.col("token_start").alias("start"), F.col("token_end").alias("end"), F.col("rrf").alias("rank_score"), "text", "line_start")
+    return pack.pack(c, table(spark, sf_dir, "queries"), 600)
+
+
+flagship = assemble_context
+
+
+# --- search --------------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with q as (select query_id, regexp_full_match(trim(query_text), '[A-Za-z0-9_./\\\\:-]+') as literal, query_text from queries where trim(query_text) <> ''),
+t as (select query_id, literal, case when literal then list_distinct(regexp_extract_all({_cf('query_text')}, '[a-z0-9]+')) else {_kw('query_text')} end as k from q),
+qt as (select query_id, literal, len(k) as n, unnest(k) as term from t),
+w as (select distinct relative_path as path, unnest(regexp_extract_all({_cf('relative_path')}, '[a-z0-9]+')) as term from files),
+x as (select query_id, path, count(*) / n as match_score from w join qt using (term) where literal or not list_contains({_STOP}, term) group by query_id, path, n),
+r as (select *, row_number() over (partition by query_id order by match_score desc, path)::int as rank from x) select query_id, path, round(match_score, 6) as match_score, rank from r where rank <= 30"""
+)
+def find_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files").select(F.col("relative_path").alias("path"))
+    return search.find_files(f, table(spark, sf_dir, "queries")).select("query_id", "path", F.round("match_score", 6).alias("match_score"), "rank")
+
+
+@query(f"with {_LINES} select source, line::int as line, text from lines_ where text like '%ledger%' and regexp_matches(text, '\\bledger\\b')")
+def usages_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.usages(chunk.lines(files(spark, sf_dir)), "ledger").select("source", "line", "text")
+
+
+_OWNER = """pts as (select distinct source, metadata.line_start as line from candidates where metadata.line_start is not null),
+defs as (select sym_name as name, kind, source, line_start, line_end, symbol_id from symbols where kind <> 'import'),
+j as (select p.source, p.line, d.kind, d.name, d.line_start, d.line_end, row_number() over (partition by p.source, p.line order by d.line_start desc, d.symbol_id) as k
+from pts p left join defs d on d.source = p.source and p.line between d.line_start and d.line_end)"""
+
+
+@query(f"with {_OWNER} select source, line, kind, name, line_start from j where k = 1")
+def innermost_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "candidates").select("source", F.col("metadata.line_start").alias("line")).filter("line is not null").distinct()
+    o = search.owners(p, definitions(spark, sf_dir), ["source", "line"])
+    return o.select("source", "line", "owner.kind", "owner.name", "owner.line_start")
+
+
+@query(
+    f"""with {_OWNER}, n as (select source, max(line_end) as n_lines from raw_spans group by 1),
+fs as (select source, line_start as ls, line_end as le from symbols where kind in ('function', 'method')),
+a as (select p.source, p.line, n_lines, ls, le, row_number() over (partition by p.source, p.line order by le - ls nulls last, ls, le) as k
+from pts p join n using (source) left join fs on fs.source = p.source and p.line between ls and le)
+select source, line, case when le - ls < 40 then ls else greatest(line - 8, 1) end as read_from, case when le - ls < 40 then le else least(line + 8, n_lines) end as read_to from a where k = 1"""
+)
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "candidates").select("source", F.col("metadata.line_start").alias("line")).filter("line is not null").distinct()
+    n = table(spark, sf_dir, "raw_spans").groupBy("source").agg(F.max("line_end").alias("n_lines"))
+    return search.read_lines(p.join(n, "source"), definitions(spark, sf_dir).filter("kind in ('function', 'method')"))
+
+
+_EV = f"""{_FILES}, et as (select query_id, len(k) as n_terms, unnest(k) as term from (select query_id, list_filter({_kw('query_text')}, lambda t: not list_contains({_PROSE}, t)) as k from queries)),
+fl as (select source, {_cf('text')} as t, greatest(len(case when l[-1] = '' then l[:-2] else l end), 1) as n_lines from (select source, text, string_split(text, chr(10)) as l from files_)),
+pr as (select source, n_lines, term from fl, (select distinct term from et) where contains(t, term)), tot as (select count(*) as n from files_), df as (select term, count(*) as df from pr group by 1),
+idf as (select term, case when df <= greatest(1, floor(n * 0.2)) then ln(1 + (n - df + 0.5) / (df + 0.5)) else 0 end as idf from df, tot),
+fs as (select query_id, source, n_lines, sum(idf) as rarity, count(*) as m, max(n_terms) as n_terms from pr join idf using (term) join et using (term) group by 1, 2, 3),
+sc as (select query_id, source, (case when regexp_matches(lower(source), '(^|/)(test_data|testdata|fixtures|fixture|__snapshots__|snapshots)/') then 0.35 when regexp_matches(lower(source), '(\\.md|\\.rst|\\.txt|\\.adoc)$') then 0.7 else 1.0 end)
+  * (rarity + m / (n_terms + 1)) / (0.5 + 0.5 * n_lines / avg(n_lines) over (partition by query_id)) as score from fs)"""
+
+
+@query(f"with {_EV}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, source)::int as rank from sc) select query_id, source, rank, round(score, 6) as score from r where rank <= 20")
+def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = search.evidence_file_scores(files(spark, sf_dir), search.evidence_terms(table(spark, sf_dir, "queries")))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
+    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    s = search.evidence_file_scores(f, search.evidence_terms(table(spark, sf_dir, "queries")))
+    return search.evidence_hits(chunk.lines(f), s)
+
+
+@query()
+def find_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_symbols(definitions(spark, sf_dir), table(spark, sf_dir, "queries"))
+
+
+@query()
+def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.parse_symbols(files(spark, sf_dir)).select("source", "ordinal", "name", "kind", "line_start", "line_end", "is_import")
+
+
+@query()
+def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "symbols").withColumnsRenamed({"sym_name": "name", "char_start": "start", "char_end": "end"})
+    x = symbols.symbol_candidates(s, table(spark, sf_dir, "queries"), 4000).withColumn("score", F.col("symbol_coverage") + F.col("lexical_coverage"))
+    w = Window.partitionBy("query_id").orderBy(F.col("symbol_name_match").desc(), F.round("score", 9).desc(), "symbol_id")
+    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "rank", "symbol_id", "name", F.round("score", 6).alias("score"), "symbol_name_match")
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------------------------------------------
+
+_EDGES = f"""{_FILES}, nm as (select distinct source as src, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) as name from files_),
+dd as (select distinct sym_name as name, source as dst from symbols where kind <> 'import' and sym_name <> '' and sym_name <> '<anonymous>'),
+ed as (select distinct src, dst from nm join dd using (name) where src <> dst and dst in (select source from files_))"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    return graph.reference_edges(f, definitions(spark, sf_dir)).join(f.select(F.col("source").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+@query(f"with {_EDGES} select src, dst from ed")
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir)
+
+
+@query()
+def reference_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = files(spark, sf_dir).groupBy(F.col("source").alias("node")).agg(F.lit(1.0).alias("score"))
+    return graph.pagerank(seed, edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
+
+
+def _reach(callers: bool) -> str:
+    a, b = ("dst", "src") if callers else ("src", "dst")
+    return f"""with recursive {_EDGES}, roots as (select distinct source as node from files_ where source like 'monolith/%'),
+w as (select node, 0 as depth from roots union select e.{b}, w.depth + 1 from w join ed e on e.{a} = w.node where w.depth < 3) select node, min(depth)::int as depth from w group by 1"""
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).filter(F.col("source").startswith("monolith/")).select(F.col("source").alias("node"))
+
+
+@query(_reach(False))
+def closure_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_roots(spark, sf_dir), edges(spark, sf_dir), 3)
+
+
+@query(_reach(True))
+def closure_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_roots(spark, sf_dir), graph.callers(edges(spark, sf_dir)), 3)
+
+
+# --- review --------------------------------------------------------------------------------------------------------------------------------------------
+
+_DEF = "d as (select distinct sym_name as name, kind, source, line_start, line_end from symbols where kind <> 'import')"
+
+
+def _defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions(spark, sf_dir).select("name", "kind", "source", "line_start", "line_end").distinct()
+
+
+def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "raw_spans").select(F.col("source").alias("path"), F.col("line_start").alias("start"), F.lit(1).alias("len"))
+
+
+_TOUCHED = f"with {_DEF}, t as (select * from d where exists (select 1 from raw_spans h where h.source = d.source and d.line_start <= h.line_start and d.line_end >= h.line_start))"
+
+
+@query(_TOUCHED + " select * from t")
+def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.touched(_defs(spark, sf_dir), _hunks(spark, sf_dir))
+
+
+@query(_TOUCHED + " select * from t where not exists (select 1 from t i where i.source = t.source and t.line_start <= i.line_start and t.line_end >= i.line_end and (t.line_start <> i.line_start or t.line_end <> i.line_end))")
+def innermost_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.innermost(review.touched(_defs(spark, sf_dir), _hunks(spark, sf_dir)))
+
+
+# --- accounting ----------------------------------------------------------------------------------------------------------------------------------------
+
+
+def _any(signals: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains(q, '{s}')" for s in signals) + ")"
+
+
+@query(
+    f"""select query_id, case when coalesce(n, 0) < 2 then 'unknown' when {_any(accounting.TRACE_SIGNALS)} then 'trace' when {_any(accounting.AGGREGATION_SIGNALS)} then 'aggregation' else 'localized' end as predicted, query_class
+from (select query_id, query_class, {_cf('query_text')} as q, len({_kw('query_text')}) as n from queries)"""
+)
+def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "queries")
+    return q.select("query_id", accounting.query_class(F.col("query_text")).alias("predicted"), "query_class")
+
+
+@query(
+    f"""with c0 as (select query_id, query_text, list_filter(list_transform(string_split_regex(query_text, '[.!?;\\n]+'), lambda x: trim(x)), lambda x: x <> '') as l from queries where query_text is not null),
+c1 as (select query_id, case when len(l) > 0 then l else [trim(query_text)] end as l from c0), c2 as (select query_id, unnest(range(1, len(l) + 1))::int as claim_no, unnest(l) as claim from c1),
+c as (select *, {_plain('claim')} as k from c2), have as (select distinct query_id, unnest(list_concat({_plain("coalesce(text, '')")}, {_pk("coalesce(source, '')")})) as term from candidates),
+a as (select query_id, claim_no, count(h.term) as m from (select query_id, claim_no, unnest(k) as term from c) x left join have h using (query_id, term) group by 1, 2)
+select query_id, claim_no, claim, len(k)::int as n_keywords, coalesce(m, 0)::bigint as n_matched, round(case when len(k) > 0 then coalesce(m, 0) / len(k) end, 6) as coverage,
+case when len(k) = 0 then 'not_evaluable' when m = len(k) then 'supported' when m > 0 then 'partial' else 'unsupported' end as status from c left join a using (query_id, claim_no)"""
+)
+def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "queries").filter("query_text is not null")
+    return accounting.claims(q, table(spark, sf_dir, "candidates")).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(
+    f"""with s as (select query_id, avg((len(selection_reasons) >= 2)::int) as multi_signal, count(*) as n_scored, count(*) filter (rank_score is null or isnan(rank_score)) as n_skipped from candidates group by 1)
+select query_id, round(least(greatest((0.5 * 1.0 + 0.3 * multi_signal + 0.2 * (1 - n_skipped / (n_scored + n_skipped))) * case when query_class = 'aggregation' then 0.6 when query_class = 'trace' then 0.85 when query_class = 'unknown' then 0.7 else 1 end, 0), 1), 6) as confidence
+from s join queries using (query_id)"""
+)
+def selection_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates")
+    bad = F.col("rank_score").isNull() | F.isnan("rank_score")
+    s = c.groupBy("query_id").agg(F.avg((F.size("selection_reasons") >= 2).cast("int")).alias("multi_signal"), F.count("*").alias("n_scored"), F.sum(bad.cast("bigint")).alias("n_skipped"))
+    s = s.join(table(spark, sf_dir, "queries", "query_id", "query_class"), "query_id").withColumns({"lossless": F.lit(False), "window_dropped": F.lit(False), "coverage": F.lit(1.0)})
+    return s.select("query_id", F.round(accounting.confidence(s), 6).alias("confidence"))
+
+
+_LEDGER = "l as (select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts, case when value >= 5 then floor(value * 10)::bigint end as tokens_in, floor(value)::bigint as tokens_out, (json_extract(props, '$.k'))::int as round_trips_saved from events)"
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ledger rows; small values are unmeasured."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(F.col("value") >= 5, F.floor(F.col("value") * 10)).alias("tokens_in"), F.floor("value").alias("tokens_out"), F.get_json_object("props", "$.k").cast("int").alias("round_trips_saved")
+    )
+
+
+@query(
+    f"""with {_LEDGER}, x as (select *, case when tokens_in is not null and tokens_out is not null then tokens_in - tokens_out end as saved, coalesce(nullif(substr(ts, 1, 10), ''), 'unknown') as day from l)
+select day, count(*) as calls, count(*) filter (saved is null) as unmeasured, case when count(tokens_in) = count(*) then sum(tokens_in)::bigint end as tokens_in, case when count(tokens_out) = count(*) then sum(tokens_out)::bigint end as tokens_out,
+case when count(saved) = count(*) then sum(saved)::bigint end as tokens_saved, sum(coalesce(round_trips_saved, 0))::bigint as round_trips_saved from x group by grouping sets ((), (day))"""
+)
+def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.ledger_summary(ledger(spark, sf_dir)).drop("reduction", "usd")
+
+
+@query(
+    """with a as (select distinct relative_path as source, fingerprint as old from files), b as (select distinct relative_path as source, sha256(text) as new from files where text is not null)
+select source, case when old is null then 'added' when new is null then 'removed' else 'changed' end as change from a full join b using (source) where old is distinct from new"""
+)
+def source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "files")
+    a = f.select(F.col("relative_path").alias("source"), "fingerprint").distinct()
+    b = f.filter("text is not null").select(F.col("relative_path").alias("source"), F.sha2("text", 256).alias("fingerprint")).distinct()
+    return accounting.drift(a, b)
+
+
+@query(
+    """with p as (select distinct source from candidates), f as (select relative_path as source, min(fingerprint) as fp from files group by 1)
+select source from p left join f using (source) where fp is null or fp not in (select fingerprint from files where text is not null)"""
+)
+def pack_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of candidates whose file is gone or can't be read."""
+    f = table(spark, sf_dir, "files")
+    fp = f.groupBy(F.col("relative_path").alias("source")).agg(F.min("fingerprint").alias("fingerprint"))
+    p = table(spark, sf_dir, "candidates", "source").distinct().join(fp, "source", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
+    readable = f.filter("text is not null").select("fingerprint").distinct()
+    return accounting.stale(p, p.join(readable, "fingerprint", "left_semi").select("source", "fingerprint"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, round(avg(l_quantity), 6) as l_quantity, round(avg(l_discount), 6) as l_discount from lineitem group by grouping sets ((l_returnflag), (l_returnflag, l_linestatus))")
+def arm_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = evalkit.arm_rollup(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ["l_quantity", "l_discount"])
+    return x.select("l_returnflag", "l_linestatus", "n", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_discount", 6).alias("l_discount"))
+
+
+@query(
+    """with r as (select l_returnflag as arm, l_orderkey as task_id, avg(l_quantity) as v from lineitem group by 1, 2)
+select a.task_id, round(a.v - b.v, 6) as delta from r a join r b using (task_id) where a.arm = 'A' and b.arm = 'N'"""
+)
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), F.col("l_orderkey").alias("task_id")).agg(F.avg("l_quantity").alias("v"))
+    return evalkit.paired(r, "arm", "A", "N", "task_id", "v").select("task_id", F.round("delta", 6).alias("delta"))
+
+
+@query()
+def non_inferiority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap intervals of the mean paired difference in candidate score, per query class."""
+    c = table(spark, sf_dir, "candidates").filter("rank_score is not null and not isnan(rank_score)")
+    c = c.groupBy("query_id", F.array_contains("selection_reasons", "symbol").alias("arm")).agg(F.max("rank_score").alias("v"))
+    d = evalkit.paired(c, "arm", True, False, "query_id", "v").join(table(spark, sf_dir, "queries", "query_id", "query_class"), "query_id")
+    return evalkit.intervals(d.select("query_class", F.round("delta", 9).alias("delta")), ["query_class"])
+
+
+@query("select o_orderpriority, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.95), 4) as p95 from orders group by 1")
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = evalkit.distribution(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    return x.select("o_orderpriority", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "p95")])
+
+
+@query(
+    """with want as (select c_custkey as task_id, unnest(['F', 'O', 'P']) as arm from customer), have as (select o_custkey as task_id, o_orderstatus as arm, count(*) as n from orders group by 1, 2)
+select task_id, arm, coalesce(n, 0) as n from want left join have using (task_id, arm) where coalesce(n, 0) <> 1"""
+)
+def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderstatus").alias("arm"))
+    return evalkit.missing_cells(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id")), ["F", "O", "P"], rows)
+
+
+@query(
+    """with t as (select user_id as run, event_id as turn, floor(value)::bigint as p from events)
+select run, turn, greatest(p - coalesce(lag(p) over (partition by run order by turn), 0), 0) as growth, (sum(p) over (partition by run order by turn))::bigint as total from t"""
+)
+def transcript_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("turn"), F.floor("value").alias("prompt_tokens"))
+    return evalkit.transcript_cost(t)
+
+
+@query("select item_id, list_bool_and(list_transform(answer_keywords, lambda k: contains(lower(answer), lower(k)))) and critical_source is not null as success from tasks")
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "tasks").select("item_id", evalkit.grounded(F.col("answer"), F.col("answer_keywords"), F.col("critical_source").isNotNull()).alias("success"))
+
+
+# --- usage over time -----------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("select ts::date as day, event_type, count(*) as calls, round(sum(value), 4) as value from events group by 1, 2")
+def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.daily_usage(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+
+
+@query(
+    """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 30 minutes, true)::int as fresh from events),
+g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, min(ts) as start, max(ts) + interval 30 minutes as "end", count(*) as n from g group by user_id, k"""
+)
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.sessions(table(spark, sf_dir, "events"))
