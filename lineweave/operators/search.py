@@ -88,7 +88,7 @@ def find_usages(line_rows: DataFrame, definitions: DataFrame, name: str, top_k:
     o = owners(hits.select("source", "line"), definitions, ["source", "line"])
     own = definitions.filter(F.col("name") == name).select("source", F.col("line_start").alias("line"), F.lit("definition").alias("role")).distinct()
     x = hits.join(o, ["source", "line"]).join(own, ["source", "line"], "left")
-    x = x.select("source", "line", F.substring(F.trim("text"), 1, 160).alias("text"), F.coalesce("role", F.lit("usage")).alias("role"), F.coalesce(F.concat_ws(" ", "owner.kind", "owner.name"), F.lit("(module level)")).alias("within"))
+    x = x.select("source", "line", F.substring(F.trim("text"), 1, 160).alias("text"), F.coalesce("role", F.lit("usage")).alias("role"), F.when(F.col("owner.kind").isNull(), "(module level)").otherwise(F.concat_ws(" ", "owner.kind", "owner.name")).alias("within"))
     return x.orderBy(F.col("role") != "definition", "source", "line").limit(top_k)
 
 

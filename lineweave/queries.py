@@ -510,7 +510,16 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir)
 
 
-@query()
+def _rank_sql(steps: int = 12) -> str:
+    step = """, r{j} as (select a.node, 0.15 * a.start + coalesce(m.gain, 0) + 0.85 * i.idle / a.n as rank from nodes a left join (
+  select dst, sum(0.85 * rank / outs) as gain from ed join r{i} on r{i}.node = ed.src join nodes using (node) group by 1) m on m.dst = a.node, (select coalesce(sum(rank), 0) as idle from r{i} join nodes using (node) where outs is null) i)"""
+    head = f"""with {_EDGES}, cnt as (select count(distinct source) as n from files_),
+nodes as materialized (select node, 1.0::double / n as start, n, outs from (select distinct source as node from files_) left join (select src as node, count(*) as outs from ed group by 1) using (node), cnt),
+r0 as (select node, start as rank from nodes)"""
+    return head + "".join(step.format(i=i, j=i + 1) for i in range(steps)) + f" select node, round(rank, 9) as rank from r{steps}"
+
+
+@query(_rank_sql().replace("ed as (", "ed as materialized ("))
 def reference_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = files(spark, sf_dir).groupBy(F.col("source").alias("node")).agg(F.lit(1.0).alias("score"))
     return graph.pagerank(seed, edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
@@ -707,9 +716,9 @@ def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- usage over time -----------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("select ts::date as day, event_type, count(*) as calls, round(sum(value), 4) as value from events group by 1, 2")
+@query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as calls, round(sum(value), 4) as value from events group by 1, 2")
 def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.daily_usage(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+    return usage.daily_usage(table(spark, sf_dir, "events")).withColumns({"value": F.round("value", 4), "day": F.col("day").cast("string")})
 
 
 @query(
