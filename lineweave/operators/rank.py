@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
+from lineweave.plans.skew import running_total
 
 SPAN = ["source", "token_start", "token_end"]
 
@@ -28,23 +29,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return k.select("query_id", F.explode("k").alias("term"), F.size("k").alias("n_terms"))
 
 
-def bm25(spans: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(spans: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top_k: int | None = None) -> DataFrame:
     """``query_id``, span key and score > 0. A term counts once a span; a span's length is its number of distinct terms.
 
     Corpus statistics (number of spans, mean length, document frequency) are one pass each with map-side sums; only the postings of asked terms
-    are scored.
+    are scored. With ``top_k`` the spans are numbered in the order of their keys first, so that scores are summed and ranked by two numbers instead of
+    whole keys; ties at the end go by key, scores being compared to nine places.
     """
-    terms = spans.select(*SPAN, T.keywords(F.col("text")).alias("k")).withColumn("dl", F.size("k"))
+    key = SPAN
+    if top_k:
+        numbered = running_total(spans.select(*SPAN, "text"), [], [F.col(c) for c in SPAN], F.lit(1), "span_no", "bm25-spans")
+        spans, key = numbered, ["span_no"]
+    terms = spans.select(*key, T.keywords(F.col("text")).alias("k")).withColumn("dl", F.size("k"))
     corpus = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     q = query_terms(queries)
     asked = q.select("term").distinct()
-    postings = terms.select(*SPAN, "dl", F.explode("k").alias("term")).join(asked, "term", "left_semi")
+    postings = terms.select(*key, "dl", F.explode("k").alias("term")).join(asked, "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     df = df.crossJoin(F.broadcast(corpus))  # one row of statistics
-    scored = postings.join(df, "term").withColumn("w", weight).select("term", *SPAN, "w")
-    return scored.join(q.select("query_id", "term"), "term").groupBy("query_id", *SPAN).agg(F.sum("w").alias("score")).filter(F.col("score") > 0)
+    scored = postings.join(df, "term").withColumn("w", weight).select("term", *key, "w")
+    scored = scored.join(q.select("query_id", "term"), "term").groupBy("query_id", *key).agg(F.sum("w").alias("score")).filter(F.col("score") > 0)
+    if not top_k:
+        return scored
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *key)
+    best = scored.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= top_k).drop("__n")
+    return best.join(numbered.select("span_no", *SPAN), "span_no").drop("span_no")
 
 
 def lexical_coverage(spans: DataFrame, queries: DataFrame) -> DataFrame:

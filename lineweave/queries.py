@@ -279,7 +279,7 @@ from both_ join (select distinct query_id, n_terms from qt) using (query_id) gro
 
 @query(f"with {_BM25}, r as (select *, {_RANKED} from bm) select query_id, rank, source, token_start, token_end, round(score, 6) as score from r where rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(rank.bm25(spans(spark, sf_dir), table(spark, sf_dir, "queries")), 10, ["score"])
+    return _top(rank.bm25(spans(spark, sf_dir), table(spark, sf_dir, "queries"), top_k=10), 10, ["score"])
 
 
 @query(

@@ -115,6 +115,8 @@ def test_bm25_against_the_formula_and_fusion(spark):
             want[k] = round(x, 9)
     got = rank.bm25(s, q)
     assert {r.source: round(r.score, 9) for r in got.collect()} == want
+    best = rank.bm25(s, q, top_k=2).collect()
+    assert sorted((r.source, round(r.score, 9)) for r in best) == sorted(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:2])
     f = rank.fuse({"bm25": got, "lexical": rank.lexical_coverage(s, q)}).orderBy(F.col("rrf").desc()).collect()
     assert f[0].source == "a" and round(f[0].rrf, 9) == round(2 / 61, 9) and f[0].selection_reasons == ["bm25", "lexical"]
 
