@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
-from lineweave.plans.skew import running_total
+from lineweave.plans.skew import in_blocks, running_total
 
 SPAN = ["source", "token_start", "token_end"]
 
@@ -109,15 +109,15 @@ def sparse_cosine(a: DataFrame, b: DataFrame, a_key: list[str], b_key: list[str]
     return x.filter(F.col("score") > floor)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` vectors nearest by cosine to each query vector (query_id, q). Queries are a bounded set stated by the caller and are broadcast as such."""
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The ``k`` vectors nearest by cosine to each query vector (query_id, q), exactly. The stated queries meet all vectors in blocks of ``block``."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     v = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nv"))
     q = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
-    x = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    x = reduce(DataFrame.unionByName, [v.join(b, F.col("vec_id") != F.col("query_id")) for b in in_blocks(q, ["query_id"], block)])
     x = x.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (F.col("nv") * F.col("nq"))).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
+from lineweave.plans.durable import durable
+from lineweave.plans.skew import in_blocks
 
 # Names for one kind of definition.
 KIND_ALIASES = {"fn": "function", "func": "function", "method": "function", "def": "function", "class": "struct", "interface": "trait", "var": "variable", "const": "variable", "static": "variable", "mod": "module", "type_alias": "type"}
@@ -98,17 +101,18 @@ def evidence_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", k.alias("k")).select("query_id", F.size("k").alias("n_terms"), F.explode("k").alias("term"))
 
 
-def evidence_file_scores(files: DataFrame, terms: DataFrame, share: float = 0.2, length_norm: float = 0.5) -> DataFrame:
+def evidence_file_scores(files: DataFrame, terms: DataFrame, share: float = 0.2, length_norm: float = 0.5, block: int = 20_000) -> DataFrame:
     """``query_id, source, score, terms``: rarity of the query's terms present in a file (as substrings of the folded text), its path's prior and length.
 
-    Terms in more than a fifth of all files weigh nothing. ``terms`` is a bounded set the caller states (a batch of queries) and is matched against each
-    file's text in one scan; only hits are shuffled.
+    Terms in more than a fifth of all files weigh nothing. ``terms`` is the set of questions the caller states; its distinct terms are matched against
+    each file's text as substrings, in blocks of ``block`` terms, one scan a block; only hits are shuffled.
     """
     total = files.count()
     common = max(1, int(total * share))
-    asked = F.broadcast(terms.select("term").distinct())
     folded = files.select("source", T.casefold(F.col("text")).alias("t"), F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"))
-    present = folded.join(asked, F.contains(F.col("t"), F.col("term"))).select("source", "n_lines", "term")
+    asked = in_blocks(terms.select("term").distinct(), ["term"], block)
+    present = reduce(DataFrame.unionByName, [folded.join(a, F.contains(F.col("t"), F.col("term"))).select("source", "n_lines", "term") for a in asked])
+    present = durable(present, "evidence-hits")
     df = present.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.when(F.col("df") <= common, F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(0.0)
     x = present.join(df.select("term", idf.alias("idf")), "term").join(terms, "term")

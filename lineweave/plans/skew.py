@@ -60,3 +60,13 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return y.join(slices, cond, "inner").withColumn(out, F.col("__l") + F.col("__o")).drop("__w", "__p", "__l", "__o", *slices.columns)
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], rows: int) -> list[DataFrame]:
+    """``df`` (a stated set of queries) dealt by hash into broadcast blocks of about ``rows`` rows each, so that no broadcast grows with the set."""
+    n = df.count()
+    blocks = max(1, -(-n // rows))
+    if blocks == 1:
+        return [F.broadcast(df)]
+    slot = F.pmod(F.xxhash64(*keys), F.lit(blocks))
+    return [F.broadcast(df.filter(slot == i)) for i in range(blocks)]

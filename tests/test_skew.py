@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.plans.skew import hot_split_join, running_total
+from lineweave.plans.skew import hot_split_join, in_blocks, running_total
 
 
 @pytest.mark.parametrize("share", [0.0005, 0.2, 1.0])
@@ -29,3 +29,10 @@ def test_running_total_over_groups_that_span_partitions(spark):
         sums[g] += w
     assert len(got) == len(rows)
     assert running_total(df.limit(0), ["g"], [F.col("o")], F.col("w"), "before", "t").count() == 0
+
+
+def test_blocks_hold_every_row_once(spark):
+    df = spark.range(100)
+    assert len(in_blocks(df, ["id"], 1000)) == 1
+    parts = in_blocks(df, ["id"], 30)
+    assert len(parts) == 4 and sorted(r.id for p in parts for r in p.collect()) == list(range(100))
