@@ -159,5 +159,5 @@ def find_symbols(symbols: DataFrame, queries: DataFrame, kinds: list[str] | None
     x = x.withColumn("exact", exact).withColumn("overlap", overlap).filter(F.col("exact") | (F.col("overlap") > 0)).withColumn("score", score)
     decisive = (F.size("names") == 1) & F.max("exact").over(Window.partitionBy("query_id"))
     x = x.withColumn("keep", ~decisive | F.col("exact")).filter("keep")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source", "line_start", "line_end", "name")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source", "line_start", "line_end", "name")
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("query_id", "rank", "name", "kind", "source", "line_start", "line_end", "score")

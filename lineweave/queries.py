@@ -468,16 +468,36 @@ def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+_W = "regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*')"
+_WP = f"flatten(list_transform({_W}, lambda w: string_split(w, '_')))"
+
+
+@query(
+    f"""with {_LINES}, {_EV.replace(_FILES + ', ', '', 1)},
+lw as (select source, line, text, unnest(list_distinct(list_concat(list_transform({_W}, lambda w: lower(w)), list_concat(list_transform({_WP}, lambda w: lower(w)), {_ident(_WP)})))) as term from lines_),
+w as (select query_id, source, line, any_value(text) as text, sum(idf) as worth from lw join pr using (source, term) join idf using (term) join et using (term) group by 1, 2, 3),
+b as (select *, row_number() over (partition by query_id, source order by round(worth, 9) desc, line) as k from w),
+r as (select query_id, source, line, text, row_number() over (partition by query_id order by round(score, 9) desc, source, line)::int as rank from b join sc using (query_id, source) where k <= 2)
+select query_id, rank, source, line::int as line, substr(trim(text), 1, 160) as text from r where rank <= 30"""
+)
 def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     s = search.evidence_file_scores(f, search.evidence_terms(table(spark, sf_dir, "queries")))
     return search.evidence_hits(chunk.lines(f), s)
 
 
-@query()
+@query(
+    f"""with q0 as (select query_id, {_kw('query_text')} as k, list_distinct(regexp_extract_all(query_text, '[A-Za-z0-9_]+')) as words, regexp_full_match(trim(query_text), '[A-Za-z0-9_]+') as single, query_text from queries where query_text is not null),
+q as (select query_id, words, case when single then [{_cf('trim(query_text)')}] else k end as names, list_filter({_ident('list_concat(k, words)')}, lambda t: not list_contains({_STOP}, t)) as parts from q0),
+s as (select sym_name as name, kind, source, line_start, line_end, {_cf('sym_name')} as folded, {_ident('[sym_name]')} as own from symbols where kind <> 'import' and sym_name <> '' and sym_name <> '<anonymous>'),
+x as (select *, list_contains(names, folded) as exact, case when len(parts) > 0 then len(list_intersect(parts, own)) / len(parts) else 0 end as overlap from q, s),
+y as (select *, exact::int::double * 2 + (exact and list_contains(words, name))::int::double + (case when lower(kind) in ('impl', 'module', 'mod') then 0.0 else 0.5 end)::double + overlap as score,
+  len(names) = 1 and bool_or(exact) over (partition by query_id) as decisive from x where exact or overlap > 0),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, source, line_start, line_end, name)::int as rank from y where not decisive or exact)
+select query_id, rank, name, kind, source, line_start, line_end, round(score, 6) as score from r where rank <= 30"""
+)
 def find_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.find_symbols(definitions(spark, sf_dir), table(spark, sf_dir, "queries"))
+    return search.find_symbols(definitions(spark, sf_dir), table(spark, sf_dir, "queries")).withColumn("score", F.round("score", 6))
 
 
 @query()
