@@ -505,7 +505,14 @@ def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.parse_symbols(files(spark, sf_dir)).select("source", "ordinal", "name", "kind", "line_start", "line_end", "is_import")
 
 
-@query()
+@query(
+    f"""with q as (select query_id, {_kw('query_text')} as qt, regexp_extract_all(query_text, '[A-Za-z0-9_]+') as qw from queries where len({_kw('query_text')}) > 0),
+s as (select symbol_id, sym_name as name, kind, {_ident("list_filter(list_concat(coalesce(defines, []), coalesce(refs, [])), lambda x: x is not null)")} as st, {_kw("coalesce(text, '')")} as lt from symbols where char_end > char_start and char_end - char_start <= 4000),
+x as (select query_id, symbol_id, name, len(list_intersect(qt, st)) / len(qt) + len(list_intersect(qt, lt)) / len(qt) as score, (kind <> 'import' and list_contains(qw, name) and not list_contains({_STOP}, {_cf('name')}))::int::double as symbol_name_match
+from q, s where len(list_intersect(qt, st)) > 0 or len(list_intersect(qt, lt)) > 0),
+r as (select *, row_number() over (partition by query_id order by symbol_name_match desc, round(score, 9) desc, symbol_id)::int as rank from x)
+select query_id, rank, symbol_id, name, round(score, 6) as score, symbol_name_match from r where rank <= 20"""
+)
 def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "symbols").withColumnsRenamed({"sym_name": "name", "char_start": "start", "char_end": "end"})
     x = symbols.symbol_candidates(s, table(spark, sf_dir, "queries"), 4000).withColumn("score", F.col("symbol_coverage") + F.col("lexical_coverage"))
