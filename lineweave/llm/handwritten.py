@@ -18,11 +18,13 @@ from lineweave.sources.tables import table
 
 #: Tokens in a shingle and the similarity from which two files are near copies.
 SHINGLE, SIMILAR = 5, 0.8
-#: (bands, rows a band) for masked shingles, for unmasked shingles, and for masked shingles within a repository. Files of similarity 0.8 meet in at
-#: least one of the first with probability 0.95 and of the second with 0.9998; families are closer than that.
-_MASKED, _PLAIN, _INNER = (16, 8), (16, 4), (6, 8)
-#: 2-bit minima in a file's sketch, and the estimated similarity below which two files are not compared exactly: the estimate's deviation is 0.04 at 0.8.
-_SKETCH, _MAYBE = 128, 0.68
+#: (bands, rows a band) of the masked shingles' minima: files of similarity 0.8 meet in at least one band with probability 0.95.
+_MASKED = (16, 8)
+#: 2-bit minima in the sketches of a file's shingles and of its names, and the estimated similarities below which two files are not compared exactly.
+#: The estimates' deviations are 0.030 at a similarity of 0.8 and 0.057 at 0.5, however few shingles a file has.
+_SKETCH, _MAYBE, _NAME_SKETCH, _MAYBE_NAMES = 256, 0.7, 128, 0.3
+#: Pairs of a bucket that are looked at in one go.
+_AT_ONCE = 1 << 20
 #: Files with fewer tokens are not clustered; identifiers two vendored copies must share; members that make a family within a repository.
 _LEAST, _NAMES, _FAMILY = 40, 0.5, 3
 
@@ -176,20 +178,30 @@ class _Tokens(dict):
 _S, _N, _I = (xxhash.xxh64_intdigest(k) for k in "SNI")
 
 
-def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash: the least hash in each of ``n`` equal parts of the hash space; empty parts borrow from the next full one.
+_ROUND = np.random.RandomState(20_240_601)
+_MUL, _ADD = (_ROUND.randint(0, 1 << 32, 512, dtype=np.uint32) for _ in range(2))
+_MUL |= np.uint32(1)
 
-    ``hashes`` must be sorted, distinct and not empty.
-    """
-    part = (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    full = part[first]
-    at = np.searchsorted(full, np.arange(n, dtype=np.uint64))
-    gone = at == len(full)
-    at[gone] = 0
-    out = hashes[first[at]]
-    step = (full[at].astype(np.int64) - np.arange(n)) % n
-    return out + step.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    """MinHash by ``n`` hash functions, so that small sets are estimated as well as large ones; 0 for an empty set."""
+    if not len(hashes):
+        return np.zeros(n, dtype=np.uint64)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = []
+    for i in range(0, len(short), 4096):  # bounds the memory of a very long file
+        x = short[i : i + 4096, None] * _MUL[:n]
+        x += _ADD[:n]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        out.append(x.min(axis=0))
+    return np.min(out, axis=0).astype(np.uint64)
+
+
+def _sketch(low: np.ndarray) -> list[int]:
+    """Two bits of each minimum, 32 minima a number."""
+    bits = (low >> np.uint64(7)) & np.uint64(3)
+    return [int((bits[i : i + 32] << np.arange(0, 64, 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) for i in range(0, len(bits), 32)]
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -203,19 +215,19 @@ def _grouped(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return ngrams(low, rows)[::rows][:bands]
 
 
-_OWN = "file_id bigint, repo bigint, path_key bigint, reason string, keys array<bigint>, near array<bigint>, sketch array<bigint>"
+_OWN = "file_id bigint, repo bigint, path_key bigint, reason string, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>, lit boolean, hand boolean"
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each file tells by itself, its band keys, and for each key the value that puts likely copies next to each other."""
+    """What each file tells by itself, the class of files with the same masked shingles and names, and the class's bucket keys and sketches."""
     known = _Tokens()
-    (mb, mr), (pb, pr), (ib, ir) = _MASKED, _PLAIN, _INNER
+    bands, size_of_band = _MASKED
     for batch in batches:
         out: list[tuple] = []
         for ident, repo, path, size, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
             reason = own_shape(path, size, text, repo)
             ext = (path or "").rsplit(".", 1)[-1].lower()
-            keys = near = sketch = ()
+            cls, n, keys, sketch, lit, hand = None, 0, (), (), False, False
             repo_key, path_key = xxhash.xxh64_intdigest(repo) >> 1, xxhash.xxh64_intdigest(path or "") >> 1
             if text and ext not in PROSE:
                 tokens = _TOKEN.findall(text)
@@ -223,21 +235,21 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tokens and (reason is None or len(tokens) >= _LEAST and not config):
                     k, w, size_of = known.read(tokens)
                     masked = _shingles(k) if len(tokens) >= SHINGLE else k[:0]
+                    is_literal = (k == np.uint64(_S)) | (k == np.uint64(_N))
+                    literal = float(size_of[is_literal].sum() / size_of.sum())
                     if reason is None:
-                        is_literal = (k == np.uint64(_S)) | (k == np.uint64(_N))
-                        reason = data_or_family(text, float(size_of[is_literal].sum() / size_of.sum()), int(is_literal.sum()), int(size_of.max()), config, 2 * len(masked) > len(tokens))
+                        reason = data_or_family(text, literal, int(is_literal.sum()), int(size_of.max()), config, 2 * len(masked) > len(tokens))
                     if len(tokens) >= _LEAST and not config:
-                        plain = _shingles(w)
-                        m, p = _minima(masked, max(mb * mr, _SKETCH)), _minima(plain, max(pb * pr, mb))
-                        inner = _grouped(m, ib, ir) ^ np.int64(repo_key)
-                        keys = [*_grouped(m, mb, mr).tolist(), *_grouped(p, pb, pr).tolist(), *inner.tolist()]
-                        near = [*p[:mb].view(np.int64).tolist(), *[0] * pb, *[path_key] * ib]
-                        bits = (m[:_SKETCH] >> np.uint64(7)) & np.uint64(3)
-                        sketch = [int((bits[i : i + 32] << np.arange(0, 64, 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) for i in range(0, _SKETCH, 32)]
-            out.append((ident, repo_key, path_key, reason, keys, near, sketch))
+                        names = np.unique(w[k == np.uint64(_I)])
+                        m = _minima(masked, max(bands * size_of_band, _SKETCH))
+                        cls = int(np.int64(xxhash.xxh64_intdigest(masked.tobytes() + b"/" + names.tobytes()) >> 1))
+                        n, lit, hand = len(masked), literal >= 0.6, reason is None and bool(_BY_HAND.search(text))
+                        keys = _grouped(m, bands, size_of_band).tolist()
+                        sketch = _sketch(m[:_SKETCH]) + _sketch(_minima(names, _NAME_SKETCH))
+            out.append((ident, repo_key, path_key, reason, cls, n, keys, sketch, lit, hand))
         if out:
             longs = pa.list_(pa.int64())
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), longs, longs, longs)
+            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), longs, longs, pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _OWN.split(", ")])
 
 
@@ -245,37 +257,59 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of sketches."""
     x = a ^ b
     x = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    same = 1 - np.bitwise_count(x).sum(axis=1) / _SKETCH
+    same = 1 - np.bitwise_count(x).sum(axis=1) / (32 * a.shape[1])
     return (same - 0.25) / 0.75
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a row with the few before it in the same bucket, if their sketches are alike. Keeps the last few rows between batches."""
-    back, inner_from = 3, _MASKED[0] + _PLAIN[0]
-    tail: list[np.ndarray] | None = None
+_WORDS = _SKETCH // 32
+
+
+def _bucket_pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """All pairs of classes within each whole bucket that can be near copies and of which one still needs a reason. Rows are sorted by key and size."""
+    key, cls, n, repo, many, need, lit = cols[:7]
+    sketch = np.stack([c.view(np.uint64) for c in cols[7:]], axis=1)
+    bucket = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.int64) << 40
+    at = np.arange(len(key))
+    # similar sets have similar sizes, so a row's partners follow it closely; 1 more for hashes that fall together
+    count = np.searchsorted(bucket | n, bucket | n * 5 // 4 + 1, side="right") - at - 1
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _AT_ONCE, side="right")))
+        c = count[lo:hi]
+        a = np.repeat(at[lo:hi], c)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + a + 1
+        lo = hi
+        ok = need[a] | need[b]
+        a, b = a[ok], b[ok]
+        ok = _alike(sketch[a, :_WORDS], sketch[b, :_WORDS]) >= _MAYBE
+        a, b = a[ok], b[ok]
+        ok = (repo[a] == repo[b]) | many[a] | many[b] | lit[a] | lit[b]
+        ok |= _alike(sketch[a, _WORDS:], sketch[b, _WORDS:]) >= _MAYBE_NAMES
+        a, b = cls[a[ok]], cls[b[ok]]
+        if len(a):
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each bucket. A bucket is held until its last row has come."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5 + _SKETCH // 32)]
-        cols = [np.concatenate([t, c]) for t, c in zip(tail, own)] if tail else own
-        tail = [c[-back:] for c in cols]
-        new = len(cols[0]) - len(own[0])
-        band, h, repo, path, ident = cols[:5]
-        sketch = np.stack([c.view(np.uint64) for c in cols[5:]], axis=1)
-        found: set[tuple[int, int, bool]] = set()
-        for d in range(1, back + 1):
-            if len(h) <= d:
-                break
-            b = np.arange(max(d, new), len(h))
-            a = b - d
-            ok = (band[a] == band[b]) & (h[a] == h[b]) & (path[a] != path[b])
-            ok &= np.where(band[b] >= inner_from, repo[a] == repo[b], repo[a] != repo[b])
-            a, b = a[ok], b[ok]
-            ok = _alike(sketch[a], sketch[b]) >= _MAYBE
-            found.update(zip(ident[a[ok]].tolist(), ident[b[ok]].tolist(), (band[b[ok]] >= inner_from).tolist()))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "inner"])
-
-
-_COMPARED = "file_id bigint, shingles array<int>, names array<int>, literal double, hand boolean"
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut or held and held[0][0][0] != cols[0][0]:
+            whole = [*held, [c[:cut] for c in cols]]
+            yield from _bucket_pairs([np.concatenate(x) for x in zip(*whole)])
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield from _bucket_pairs([np.concatenate(x) for x in zip(*held)])
+
+
+_COMPARED = "cls bigint, shingles array<int>, names array<int>"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +318,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = _TOKEN.findall(text)
-            k, w, size_of = known.read(tokens)
-            literal = (k == np.uint64(_S)) | (k == np.uint64(_N))
+            k, w, _ = known.read(tokens)
             names = np.unique(w[k == np.uint64(_I)]).view(np.int64).astype(np.int32)
             shingles = np.unique(ngrams(k, SHINGLE).astype(np.int32))
-            out.append((ident, shingles.tolist(), np.unique(names).tolist(), float(size_of[literal].sum() / max(1, size_of.sum())), bool(_BY_HAND.search(text))))
+            out.append((ident, shingles.tolist(), np.unique(names).tolist()))
         if out:
-            kinds_ = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.bool_())
+            kinds_ = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _COMPARED.split(", ")])
 
 
@@ -298,44 +331,58 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     """The rows of ``files`` (file_id, repo, relative_path, size_bytes, text) that nobody wrote by hand: ``file_id, reason``, one row each.
 
     A file tells by itself through the start of a comment, its path or name, its density, its share of literals or the repetition of one form. All code
-    files are also compared: identifiers and literals are masked, and the 5-token shingles are clustered by MinHash banding (masked, as they are, and
-    masked within a repository). Exact Jaccard similarity of the masked shingles of 0.8 or more is a near copy. Near copies across repositories that
-    also share half of their names are vendored; three near copies of a form within one repository are a generated family; near copies that consist
-    of literals are data.
+    files are also compared: identifiers and literals are masked, and the 5-token shingles are clustered by MinHash banding. Exact Jaccard similarity of
+    the masked shingles of 0.8 or more is a near copy. Near copies across repositories that also share half of their names are vendored; three near
+    copies of a form within one repository are a generated family; near copies that consist of literals are data.
 
-    Buckets are range-partitioned and sorted so that likely copies lie side by side (masked buckets by a minimum of the unmasked shingles), and each
-    file is compared with its three neighbours there, never all with all. So a bucket with a third of all files spreads over many tasks. Pairs whose
-    64-place sketches are unlike are dropped before the exact comparison, which reads only the files that are left.
+    Files with the same masked shingles and names are one class, however many, and are copies without a comparison. In a bucket each class is compared
+    by size and sketch with every other, unless all files of both tell by themselves; pairs that may be near copies are compared exactly, once. The
+    work in a bucket grows with the square of its different classes, and a bucket is one task's.
 
     A missing text is judged by path, name and size. Rows delivered twice have one path and never count as copies of each other. Prose and configuration
     are only judged by path, name, comment and data rows. Null paths count as empty. ``file_id`` must be unique.
     """
     files = files.select(F.col("file_id").cast("bigint"), F.coalesce("repo", F.lit("")).alias("repo"), F.col("relative_path"), F.col("size_bytes").cast("bigint"), "text")
     own = durable(files.mapInArrow(_own, _OWN), "files-own")
-    sketch = [f"s{i}" for i in range(_SKETCH // 32)]
-    rows = own.select("repo", "path_key", "file_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(sketch)], F.posexplode(F.arrays_zip("keys", "near")).alias("band", "x"))
-    rows = rows.select("band", F.col("x.keys").alias("h"), "repo", "path_key", "file_id", *sketch, F.col("x.near").alias("near"))
-    order = ["band", "h", "near", "path_key"]
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("near").mapInArrow(_neighbours, "a bigint, b bigint, inner boolean").distinct()
+    known = own.filter("cls is not null")
+    where = F.struct("repo", "path_key")
+    classes = known.groupBy("cls").agg(
+        F.min("file_id").alias("one"), F.min(where).alias("w1"), F.max(where).alias("w2"), F.max(F.col("reason").isNull()).alias("need"), F.max(F.col("reason").isNull() & F.col("lit")).alias("lit"),
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+    )
+    classes = durable(classes, "files-classes")
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range((_SKETCH + _NAME_SKETCH) // 32)]
+    rows = classes.select(F.posexplode("keys").alias("band", "h"), "cls", "n", F.col("w1.repo").alias("repo"), (F.col("w1.repo") != F.col("w2.repo")).alias("many"), "need", "lit", *words)
+    rows = rows.select(F.xxhash64("band", "h").alias("key"), *[c for c in rows.columns if c not in ("band", "h")])
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     pairs = durable(pairs, "files-pairs")
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "inner"))
 
-    wanted = pairs.select(F.col("a").alias("file_id")).distinct()
-    sides = durable(files.select("file_id", "text").join(wanted, "file_id", "left_semi").mapInArrow(_compared, _COMPARED), "files-compared")
-    other = sides.select(F.col("file_id").alias("b"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"))
-    both = pairs.join(sides.withColumnRenamed("file_id", "a"), "a").join(other, "b")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = classes.join(wanted, "cls", "left_semi").select(F.col("one").alias("file_id"), "cls")
+    sides = durable(files.select("file_id", "text").join(wanted, "file_id").select("cls", "text").mapInArrow(_compared, _COMPARED), "files-compared")
+    other = sides.select(F.col("cls").alias("b"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"))
+    both = pairs.join(sides.withColumnRenamed("cls", "a"), "a").join(other, "b")
 
     def jaccard(x: str, y: str):
         common = F.size(F.array_intersect(x, y))
         return common / F.greatest(F.size(x) + F.size(y) - common, F.lit(1))
 
-    near = both.filter(jaccard("shingles", "shingles2") >= SIMILAR)
-    near = near.select(F.col("a").alias("file_id"), "b", "inner", "literal", "hand", jaccard("names", "names2").alias("shared"))
-    data = F.max(F.col("literal") >= 0.6)
-    vendored = F.max(~F.col("inner") & (F.col("shared") >= _NAMES) & ~F.col("hand"))
-    family = F.count_distinct(F.when(F.col("inner") & (F.col("shared") < 1), F.col("b"))) >= _FAMILY - 1
-    seen = near.groupBy("file_id").agg(data.alias("data"), vendored.alias("vendored"), family.alias("family"))
+    near = durable(both.filter(jaccard("shingles", "shingles2") >= SIMILAR).select("a", "b", jaccard("names", "names2").alias("shared")), "files-near")
+    same = classes.filter("w1 != w2").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("shared"))
+    near = near.union(near.select("b", "a", "shared")).union(same)
+
+    need = known.filter("reason is null").select("file_id", "repo", "path_key", F.col("cls").alias("a"), "lit", "hand")
+    of = near.join(classes.select(F.col("cls").alias("b"), "w1", "w2"), "b").join(need, "a")
+    # a path belongs to one repository, so the first and the last place of a class show whether it has another one
+    elsewhere = [F.col(f"{w}.path_key") != F.col("path_key") for w in ("w1", "w2")]
+    abroad = [F.col(f"{w}.repo") != F.col("repo") for w in ("w1", "w2")]
+    data = F.max(F.col("lit") & (elsewhere[0] | elsewhere[1]))
+    vendored = F.max((elsewhere[0] & abroad[0] | elsewhere[1] & abroad[1]) & (F.col("shared") >= _NAMES) & ~F.col("hand"))
+    places = known.select(F.col("cls").alias("b"), "repo", F.col("path_key").alias("path2")).distinct()
+    family = near.filter("shared < 1").join(need, "a").join(places, ["b", "repo"]).filter("path2 != path_key")
+    family = family.groupBy("file_id").agg((F.count_distinct("path2") >= _FAMILY - 1).alias("family"))
+    seen = of.groupBy("file_id").agg(data.alias("data"), vendored.alias("vendored")).join(family, "file_id", "left")
     why = F.when(F.col("data"), "data: cluster").when(F.col("vendored"), "vendored: cluster").when(F.col("family"), "generated: family")
     seen = seen.select("file_id", why.alias("reason2")).filter("reason2 is not null")
     out = own.select("file_id", "reason").join(seen, "file_id", "left")

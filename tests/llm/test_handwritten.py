@@ -87,3 +87,20 @@ def test_clusters(spark):
     assert set(got) == {*copies, *family, blob}
     assert {got[i] for i in copies} == {"vendored: cluster"} and {got[i] for i in family} == {"generated: family"} and got[blob].startswith("data")
     assert not_handwritten(df.limit(0)).count() == 0
+
+
+def test_every_copy_in_a_crowded_bucket_finds_the_other_repository(spark):
+    r = random.Random(5)
+    words = [f"{a}_{b}" for a in ("walk", "fold", "emit", "rank", "seal") for b in ("node", "plan", "edge", "term", "file", "span")]
+    lib = code(r, r.sample(words, 14), 80)
+    exact = [(i, "mono", f"mono/p{i}/lib.py", 1, "\n".join(lib)) for i in range(100)] + [(100, "solo", "solo/lib.py", 1, "\n".join(lib))]
+    base = code(r, r.sample(words, 14), 80)
+    near = []
+    for i in range(101):  # each differs a little, one is in another repository, and neither they nor their order tell which
+        own = list(base)
+        own[r.randrange(80)] = f"extra_{i} = call(thing, 3)"
+        repo = "mono" if i else "solo"
+        near.append((200 + i, repo, f"{repo}/q{i}/tool.py", 1, "\n".join(own)))
+    got = {x.file_id: x.reason for x in not_handwritten(spark.createDataFrame(exact + near, SCHEMA)).collect()}
+    assert [got.get(x[0]) for x in exact] == ["vendored: cluster"] * 101
+    assert [got.get(x[0]) for x in near] == ["vendored: cluster"] * 101
