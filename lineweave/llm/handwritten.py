@@ -18,8 +18,8 @@ from lineweave.sources.tables import table
 
 #: Tokens in a shingle and the similarity from which two files are near copies.
 SHINGLE, SIMILAR = 5, 0.8
-#: (bands, rows a band) of the masked shingles' minima: files of similarity 0.8 meet in at least one band with probability 0.95.
-_MASKED = (16, 8)
+#: (bands, rows a band) of the masked shingles' minima: files of similarity 0.8 meet in at least one band with probability 0.9993.
+_MASKED = (24, 6)
 #: 2-bit minima in the sketches of a file's shingles and of its names, and the estimated similarities below which two files are not compared exactly.
 #: The estimates' deviations are 0.030 at a similarity of 0.8 and 0.057 at 0.5, however few shingles a file has.
 _SKETCH, _MAYBE, _NAME_SKETCH, _MAYBE_NAMES = 256, 0.7, 128, 0.3

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from lineweave.llm import handwritten
 from lineweave.llm.handwritten import not_handwritten, own_shape
 
 SCHEMA = "file_id bigint, repo string, relative_path string, size_bytes bigint, text string"
@@ -104,3 +106,22 @@ def test_every_copy_in_a_crowded_bucket_finds_the_other_repository(spark):
     got = {x.file_id: x.reason for x in not_handwritten(spark.createDataFrame(exact + near, SCHEMA)).collect()}
     assert [got.get(x[0]) for x in exact] == ["vendored: cluster"] * 101
     assert [got.get(x[0]) for x in near] == ["vendored: cluster"] * 101
+
+
+def test_pairs_at_the_required_similarity_become_candidates():
+    """Small and large sets at a similarity of 0.8 to 0.82 of shingles and 0.5 of names: nearly all must meet in a band and pass both sketches."""
+    r = np.random.default_rng(3)
+    met = []
+    for size in [48, 90, 180, 450, 1800] * 80:
+        x = r.integers(1, 1 << 63, size, dtype=np.uint64)
+        cut = size // 10
+        y = np.concatenate([x[cut:], r.integers(1, 1 << 63, cut, dtype=np.uint64)])
+        names = r.integers(1, 1 << 63, 40, dtype=np.uint64)
+        mine, other = names[:30], names[10:]
+        bands, rows = handwritten._MASKED
+        low = [handwritten._minima(np.sort(z), max(bands * rows, handwritten._SKETCH)) for z in (x, y)]
+        keys = [handwritten._grouped(z, bands, rows) for z in low]
+        sketch = [np.array([handwritten._sketch(z[: handwritten._SKETCH])], dtype=np.int64).view(np.uint64) for z in low]
+        named = [np.array([handwritten._sketch(handwritten._minima(z, handwritten._NAME_SKETCH))], dtype=np.int64).view(np.uint64) for z in (mine, other)]
+        met.append(bool((keys[0] == keys[1]).any() and handwritten._alike(*sketch)[0] >= handwritten._MAYBE and handwritten._alike(*named)[0] >= handwritten._MAYBE_NAMES))
+    assert np.mean(met) >= 0.99
