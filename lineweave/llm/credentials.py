@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+import ahocorasick
+
 # Words that name a credential wherever they stand in a key, in several languages.
 STRONG_WORDS = (
     "password", "passwd", "passphrase", "passcode", "pass", "pwd", "pw", "pgpass", "secret", "secrets", "credential", "credentials", "apikey", "kennwort",
@@ -130,18 +132,41 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{18,80}={0,2}(?![A-Za-
 _COVERED = re.compile(r"data:[a-z]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+|-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE)[A-Z ]*-----.*?(?:-----END [A-Z0-9 ]+-----|$)|\b(?:sha\d+|md5)[-:][A-Za-z0-9+/=]+", re.S)
 _REFERRING = re.compile(r"(?i)(?:getenv|environ|env|lookup|prompt|input|read|vault|fetch|resolve|ask|getpass)\w*[\[(.]")
 _READER = re.compile(r"(?i)^(?:unhex|fromhex|decode_hex|hex|b64decode|base64|decode|atob|bytes|bytearray|str|string|from|of|some|ok|new|secret\w*|text|encode|byte|literal|raw|trim|strip|unwrap|to_\w+)")
-#: Only lines with one of these can hold what a rule needs: letters next to digits, a URL, or a word for a credential.
-HINT = r"[A-Za-z][0-9]|[a-z][A-Z][a-z]?[A-Z]|[0-9][A-Za-z]|[A-Za-z][.$-][0-9]|-----BEGIN|://|[Pp](?:ass|wd|w_)|_pw|PASS|PWD|PW|[Ss]ecret|SECRET|[Cc]red|CRED|[Kk]ennwort|KENNWORT|[Cc]lave|CLAVE|[Aa]pi_?[Kk]ey|API_?KEY|[Ll]ogin|LOGIN|[Ss]enha|[Cc]ontrase|[Hh]aslo|[Ww]achtwoord|[Pp]arola"
-_HINT = re.compile(HINT)
+# Words that rules other than those of keys know.
+_RULE_WORDS = ("basic", "connect", "sign_in", "signin", "log_in", "log-in", "log in", "identified by")
+_ALL_WORDS = {*STRONG_WORDS, *WEAK_WORDS, *_RULE_WORDS}
+#: The shortest words that a line with one of the key's or rules' words has, whatever its case. The joined names hold one too.
+_HINT_WORDS = sorted(w for w in _ALL_WORDS if not any(o != w and o in w for o in _ALL_WORDS))
+#: What the rules need of a line without such a word: a letter next to a digit or three turns of case in a token, a URL, a published form or a switch.
+_FORM_HINT = r"[A-Za-z][+/_.$-]*[0-9]|[0-9][+/_-]*[A-Za-z]|[a-z][_-]*[A-Z][a-z_-]*[A-Z]|-----BEGIN|://|eyJ|AKIA|ASIA|AGPA|AROA|SG\.|-u[ =]|--user"
+#: Only lines with one of these can hold what a rule needs.
+HINT = _FORM_HINT + "|(?i:" + "|".join(map(re.escape, _HINT_WORDS)) + ")"
+_FORM = re.compile(_FORM_HINT)
+_WORDS = ahocorasick.Automaton()
+for _w in _HINT_WORDS:
+    _WORDS.add_word(_w, None)
+_WORDS.make_automaton()
 
 
 def _hinted_lines(text: str):
-    """[start, end) of the lines with a hint; neighbours stay apart."""
-    at = 0
-    while m := _HINT.search(text, at):
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        b = len(text) if b < 0 else b
+    """[start, end) of the lines with a hint; neighbours stay apart. Words are found by an automaton, the rest by the pattern."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    words = _WORDS.iter(low)
+    none = len(text)
+    word, form, at = next(words, (none,))[0], -1, 0
+    while at < none:
+        if form < at:
+            form = m.start() if (m := _FORM.search(text, at)) else none
+        while word < at:
+            word = next(words, (none,))[0]
+        here = min(word, form)
+        if here >= none:
+            return
+        a = text.rfind("\n", 0, here) + 1
+        b = text.find("\n", here)
+        b = none if b < 0 else b
         yield a, b
         at = b + 1
 
@@ -247,13 +272,13 @@ def _line(text: str, lo: int, hi: int, out: list[Found]) -> None:
         for m in _SWITCH.finditer(text, lo, hi):
             if not placeholder(m[2]):
                 out.append(Found(*m.span(2), m[2], "call"))
-    at = lo
+    at = lo if '"' in line or "'" in line or "`" in line else hi
     while m := _KEYED.search(text, at, hi):
         s = _key_strength(m["k"])
         if s:
             _value(text, m, s, out)
         at = m.end() - len(m["q"]) if not s else m.end()
-    for m in _BARE.finditer(text, lo, hi):
+    for m in _BARE.finditer(text, lo, hi) if "=" in line or ":" in line else ():
         s = _key_strength(m["k"])
         v = m["v"]
         if not s or placeholder(v) or _UUID.match(v) or _REFERRING.search(v) or "://" in v or _DIGEST.match(v) or v.startswith("-"):
