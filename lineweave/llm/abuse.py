@@ -40,7 +40,7 @@ _PHRASES: tuple[tuple[str, str, float], ...] = tuple(
         )),
         ("insult", 1.2, (
             r"\bkiss my ass\b", r"\bmakes? me want to vomit\b", r"\byou people are\b", r"\bpeople are a disease\b", r"\bcrawl back into your hole\b", r"\bgo back to school before you\b", r"\b(?:nobody|no one) loves you\b", r"\bdropped on your head\b", r"\btoo (?:thick|dumb|stupid) to (?:learn|understand)\b",
-            r"\byour mother should be ashamed\b", r"\b(?:monkey|child|toddler|dog|ape) would \w+ (?:this|that|it)?.{0,30}better than you\b", r"\bfuck (?:off|you|yourself)\b", r"\bfuck your (?:mother|family|life)\b", r"\b(?:stfu|gtfo)\b", r"\bshut (?:the (?:hell|fuck) |your (?:mouth|face|trap) ?)up\b", r"\bpiece of shit\b",
+            r"\byour mother should be ashamed\b", r"\b(?:monkey|child|toddler|dog|ape) would \w+ (?:this|that|it)?.{0,30}better than you\b", r"\bfuck (?:off|you|yourself)\b", r"\bfuck your (?:mother|family|life)\b", r"\b(?:stfu|gtfo)\b", r"\bshut (?:(?:the (?:hell|fuck) |your (?:mouth|face|trap) ?)up|your (?:mouth|face|trap))\b", r"\bpiece of shit\b",
             r"\bgo to hell\b", r"\bbelongs? in the gutter\b", r"\bhas the brain of an? \w+", r"\bhave the brain of an? \w+", r"\bnothing but (?:" + _A + r",? )*(?:trash|garbage|scum|shit|dirt)\b", r"\bhalt (?:die|deine) (?:fresse|schnauze|klappe)\b", r"\bleute wie (?:du|ihr|dich)\b", r"\b(?:du|ihr) " + _I + r"\b",
             r"\bstuck dreck\b", r"\bta gueule\b", r"\bva te faire\b", r"\bgens comme (?:toi|vous)\b", r"\b(?:pauvre|sale|espece de|gros|petit) " + _I + r"\b", r"\b(?:tu es|t'es|vous etes) une? (?:\w+ )?" + _I + r"\b", r"\beres (?:un|una) (?:\w+ )?" + _I + r"\b", r"\bcallate\b", r"\bpedazo de\b.*" + _I, r"\bvete a la mierda\b",
             r"\bnadie te quiere\b", r"\b(?:cala|fecha) a (?:boca|matraca)\b", r"\b(?:seu|sua|es um|es uma|voce e um|tu es um) (?:\w+ )?" + _I + r"\b", r"\bvai (?:te foder|se foder|para o inferno|a merda|tomar no)\b", r"\bninguem te (?:quer|suporta|ama)\b", r"\bfilho da puta\b", r"\bhijo de puta\b", r"\bgente como (?:tu|voce|vos)\b",
@@ -59,6 +59,20 @@ _PHRASES: tuple[tuple[str, str, float], ...] = tuple(
 )
 _KINDS = ("insult", "wish", "threat", "hate", "sexual")
 _BY_KIND = [(kind, re.compile("|".join(f"(?:{p})" for k, p, _ in _PHRASES if k == kind)), next(w for k, _, w in _PHRASES if k == kind)) for kind in _KINDS]
+# Open ends of the phrases that a word of the lexicon must back, and what stands for them where none does: requests and caches are no
+# people, "I will find the fault and tell you" is no threat, and "sao um erro" calls nobody names.
+_OPEN_ENDS = (
+    (r"|[a-z]{4,12}s?)", ")"),
+    (r")\b.*\b(?:your?|you)\b", r") (?:you\b(?! (?:an?|the|some|another|one|two)\b)|your (?:arms?|bones|nose|skull|knees?|jaw|back|hands?|car|home|kids|family)\b)"),
+    (r"|uns? \w+)", ")"),
+)
+#: Any phrase, for sentences without a word of the lexicon.
+_ANY = []
+for _, _pattern, _ in _PHRASES:
+    for _wide, _narrow in _OPEN_ENDS:
+        _pattern = _pattern.replace(_wide, _narrow)
+    _ANY.append(f"(?:{_pattern})")
+_ANY = re.compile("|".join(_ANY))
 _NAMED = re.compile(
     rf"\b(?:you|u|your|ur|youre|you're|thou|ye)\b(?:[ ,]+(?:\w+[ ,]+){{0,5}}?)(?:{_A}[ ,]+)*{_I}\b"
     rf"|{_I}\b(?:[ ,]+\w+){{0,3}}[ ,]+(?:are|like) you\b|(?:^|[,:>] *|\bhey,? |\bkys |\bstfu |\bup,? )(?:{_A}[ ,]+)*{_I}\W*(?:$|,)|\bthe (?:{_A}[ ,]+)*{_I} above\b|\bonly an? (?:{_A}[ ,]+)*{_I} would\b"
@@ -108,7 +122,7 @@ def _restore(sentence: str, lexicon: Lexicon) -> tuple[str, bool]:
 def score_sentence(sentence: str, lexicon: Lexicon) -> dict[str, float]:
     """Score of each kind of abuse in one sentence: terms and phrases, weighed by whom the window around them speaks of."""
     s, hit = _restore(sentence, lexicon)
-    if not hit:
+    if not hit and not _ANY.search(s):
         return {}
     out: dict[str, float] = {}
     for kind, pattern, weight in _BY_KIND:
@@ -135,15 +149,19 @@ def score_text(text: str | None, lexicon: Lexicon, spaced: bool = True) -> dict[
     """The highest score of each kind over all sentences of the text, lines taken alone and joined where they wrap."""
     if not text:
         return {}
-    hits = {w for w in set(text.split()) if lexicon.term(w)}
+    words = text.split()
+    hits = {w for w in set(words) if lexicon.term(w)}
     spaced = spaced and bool(_SPACED.search(text))
-    if not hits and not spaced:
+    wrapped = _WRAP.sub(" ", text)
+    # every sentence is a part of one of these, so a phrase that is in neither is in none
+    phrase = any(_ANY.search(x) for x in dict.fromkeys(fold(" ".join(x)) for x in (words, wrapped.split())))
+    if not hits and not spaced and not phrase:
         return {}
     best: dict[str, float] = {}
     parts = dict.fromkeys(_END.split(text))
-    parts |= dict.fromkeys(_END.split(_WRAP.sub(" ", text)))
+    parts |= dict.fromkeys(_END.split(wrapped))
     for sentence in parts:
-        if sentence and (not hits.isdisjoint(sentence.split()) or spaced and _SPACED.search(sentence)):
+        if sentence and (phrase or not hits.isdisjoint(sentence.split()) or spaced and _SPACED.search(sentence)):
             for k, v in score_sentence(sentence, lexicon).items():
                 best[k] = max(best.get(k, 0.0), v)
     return best

@@ -78,3 +78,17 @@ def test_agrees_with_human_reviews():
     m = labels.dropna(subset=["abusive"]).merge(docs, on="doc_id")
     found = [max(score_text(t, LEXICON).values(), default=0) >= THRESHOLD for t in m.text]
     assert sum(f == bool(a) for f, a in zip(found, m.abusive)) / len(m) > 0.93  # the rest are wrong labels
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I know where you sleep.", "i know where you work", "I will find you and hurt you.", "I am going to break your arm.", "Jump off a cliff.", "jump off a roof", "I hope you suffer.", "hope you all get what you deserve", "Shut your mouth.", "Come to my room.",
+     "Sit on my lap.", "Take off your shirt.", "Show us your body.", "We do not want immigrants here.", "Never let women near it.", "Je sais où tu habites.", "Sé dónde vives.", "Zieh dich aus.", "Quítate la ropa.", "Tira a roupa.", "Nobody\n// will care, I know where\n// you sleep"],
+)
+def test_phrases_without_a_word_of_the_lexicon(text):
+    assert max(score_text("The plan is strict by design.\n" + text + "\nDone.", LEXICON).values()) >= THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["I will find the fault and tell you.", "I will find you a reviewer.", "I will cut a release once you approve.", "We do not want caches here.", "Never let requests near the lock.", "Os testes sao um problema."])
+def test_open_ends_of_phrases_need_a_word_of_the_lexicon(text):
+    assert max(score_text(text, LEXICON).values(), default=0) < THRESHOLD
