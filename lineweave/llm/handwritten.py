@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm.words import ngrams
+from lineweave.llm.words import WordHashes, ngrams
 from lineweave.plans.durable import durable
+from lineweave.plans.skew import hot_split_join
 from lineweave.sources.tables import table
 
 #: Tokens in a shingle and the similarity from which two files are near copies.
@@ -51,11 +52,8 @@ _VENDORED = re.compile(
     + r"(?:snapshot of \S+ as of|imported (?:from|verbatim)\b|(?:taken|copied|borrowed|lifted|vendored)\b[^\n]{0,40}?\b(?:from|out of|in)\b|bundled (?:copy|version|with)\b|vendored\b|upstream[ \t]*:|@license\b|@preserve\b|keep in sync with upstream|redistribution (?:permitted|and use)|see the licen[sc]e of the original|[\w.-]+ v?\d+(?:\.\d+)+ \| |third[- ]party (?:code|file|copy))",
     re.I | re.M,
 )
-_HOLDER = re.compile(_LEAD + r"(?:SPDX-FileCopyrightText:|copyright\b(?:[ \t]*\(c\)|[ \t]*©)?|\(c\)|©|this file is part of)[ \t]*(?:\d{4}(?:[ \t]*-[ \t]*\d{4})?,?[ \t]*)?(?:by[ \t]+)?(?:the[ \t]+)?([\w.-]+)", re.I | re.M)
 # What authors say of files that only look like copies or products.
 _BY_HAND = re.compile(_LEAD + r"[^\n]*\b(?:maintained by hand|written from scratch|hand[- ]written|edit freely|wrote (?:our|it) own|written by hand|von hand|[ée]crit [àa] la main|escrito a mano)\b", re.I | re.M)
-_SOURCE_MAP = re.compile(r"^[ \t]*(?://|/\*)[#@][ \t]*sourceMappingURL=\S+", re.M)
-_COMMENT = re.compile(_LEAD + r"[^\n]*", re.M)
 # Folders that hold other people's code.
 _VENDOR_DIR = re.compile(r"(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rd-?party|externals?|extern|deps|contrib|node_modules|bower_components|jspm_packages|site-packages|dist-packages|Pods|Carthage|Godeps)/[^/]+/", re.I)
 # Folders that tools write into.
@@ -66,46 +64,129 @@ _TOOL_NAME = re.compile(
     re.I,
 )
 _SMALL_NAME = re.compile(r"(?:[.-](?:min|compressed|bundle|pack)\.(?:js|css|mjs)|(?:^|/)(?:bundle|all|vendor)\.(?:js|css)|(?:^|/)app\.[0-9a-f]{6,}\.(?:js|css)|-[0-9a-f]{8,}\.(?:js|css)|\.map)$", re.I)
-_DATA_NAME = re.compile(r"(?:^|/)(?:seed_data|full_dump|export|dump|fixtures_dump|weights|blob|payload|table_data)[_.\d\w]*\.\w+$", re.I)
 #: Nobody types a source file of this size; only asked where the text is missing.
 _TYPED = 200_000
+#: A word of notes that fewer repositories use is taken for a name and masked.
+_COMMON = 3
+_EMACS = re.compile(r"-\*-.*buffer-read-only: t.*-\*-|\bmachine output of\b", re.I)
 
 
-def own_shape(path: str, size: int | None, text: str | None, repo: str | None) -> str | None:
-    """Why this file alone shows that it was not written by hand, or None."""
-    path = path or ""
-    ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    if _VENDOR_DIR.search(path):
+_COMMENT = re.compile(_LEAD + r"[^\n]*", re.M)
+
+
+def telling_notes(text: str) -> list[tuple[str, str]]:
+    """The comment lines of a text that say something of their file, with what they say. A text in which one says that it was written by hand has none."""
+    lines = _COMMENT.findall(text)
+    if "sourceMappingURL" not in text:
+        notes = "\n".join(lines)
+        if not notes or not (_GENERATED.search(notes) or _EMACS.search(notes) or _VENDORED.search(notes) or _HOLDER_FORM.search(notes)):
+            return []
+    return [(x.strip(), kind) for x in dict.fromkeys(lines) if (kind := note_kind(x))]
+
+
+_SLOT = re.compile(r"\S*\d\S*|\w+(?:[./_@-]\w+)+")
+
+
+_MARKER = re.compile(_LEAD + r"|[ \t]*(?:\*+/|-->)[ \t]*$")
+
+
+def note_words(note: str) -> list[str]:
+    """Words and signs of a note without its comment marker; numbers are N, dotted, dashed and other joined names are I."""
+    out: list[str] = []
+    for x in _MARKER.sub("", note).split():
+        bare = x.strip("()[]{}<>,;:.!?\"'")
+        if "sourceMappingURL" in x:
+            out.append("sourceMappingURL=I")
+        elif bare and _SLOT.fullmatch(bare) and bare.lower() not in _JOINED_WORDS:
+            out.append("N" if any(c.isdigit() for c in bare) else "I")
+        else:
+            out += re.findall(r"[^\W_]+(?:-[^\W_]+)*:?|[^\s\w]+", x)
+    return out
+
+
+# Joined words that are no names.
+_JOINED_WORDS = frozenset("auto-generated machine-generated hand-written third-party buffer-read-only".split())
+
+
+def note_kind(note: str) -> str | None:
+    """What a note says of its file."""
+    if "sourceMappingURL=" in note:
+        return "minified: source map"
+    if _GENERATED.search(note) or _EMACS.search(note):
+        return "generated: note"
+    if _VENDORED.search(note):
+        return "vendored: note"
+    return "holder" if _HOLDER_FORM.search(note) else None
+
+
+_HOLDER_FORM = re.compile(_LEAD + r"(?:SPDX-FileCopyrightText:|copyright\b|\(? ?c ?\)|©|this file is part of)", re.I | re.M)
+
+
+def path_marks(path: str, size: int | None, text: str | None) -> list[str]:
+    """Parts of a path that can be shared with other repositories: folders, the name with its digits masked, the name's last two parts with and without the ending, and its first two."""
+    *folders, name = path.split("/")
+    zero = _NUMBER.sub(lambda m: "0" * len(m[0]), name)
+    out = [f"{f}/I/" for f in folders[:-1]] + [f"{f}/I" for f in folders[-1:]] + [zero]
+    if ending := re.search(r"[._-][A-Za-z0-9]+\.[A-Za-z0-9]+$", zero):
+        out += ["I" + ending[0], "I" + ending[0].rsplit(".", 1)[0] + ".x"]
+    if first := re.match(r"[A-Za-z0-9]+_[A-Za-z0-9]+[._]", zero):
+        out.append(first[0] + "I")
+    if not text:
+        out = [x if x.endswith("/I/") else "?" + x for x in out]
+        if size is not None and size >= _TYPED:
+            out.append("!" + zero.rsplit(".", 1)[-1])
+    return list(dict.fromkeys(out))
+
+
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\d+|(?=[a-f]*\d)[0-9a-f]{6,})(?![A-Za-z0-9])")
+
+
+def mark_kind(mark: str) -> str | None:
+    """What a part of a path says of its file. ``?`` marks names of files without text, ``!`` the kind of such a file of a size that nobody types."""
+    if mark[0] == "!":
+        return "data: size"
+    bare = mark.lstrip("?")
+    if bare.endswith("/I/") and _VENDOR_DIR.search(bare):
         return "vendored: path"
-    if ext in PROSE:
-        return None
-    if _TOOL_DIR.search(path):
-        return "generated: path"
-    if _TOOL_NAME.search(path):
+    if bare.endswith(("/I/", "/I")):
+        return "generated: path" if _TOOL_DIR.search(bare + "/") else None
+    if _TOOL_NAME.search(bare):
         return "generated: name"
-    if not text:
-        if _SMALL_NAME.search(path):
-            return "minified: name"
-        return "data: size" if size is not None and size >= _TYPED else None
-    notes = "\n".join(_COMMENT.findall(text))
-    if notes and not _BY_HAND.search(notes):
-        if _GENERATED.search(notes):
-            return "generated: comment"
-        if _VENDORED.search(notes):
-            return "vendored: comment"
-        own = {x.lower() for x in (repo or "", *path.split("/")[:2])}
-        for m in _HOLDER.finditer(notes):
-            if m[1].lower() not in own and not any(len(o) > 3 and (o in m[1].lower() or m[1].lower() in o) for o in own):
-                return "vendored: holder"
-    if "sourceMappingURL" in text and _SOURCE_MAP.search(text):
-        return "minified: source map"
-    lines = text.split("\n")
-    long = [x for x in lines if len(x) > 300]
-    if long and ext in ("js", "css", "mjs", "ts", "html", "svg", ""):
-        dense = [x for x in long if sum(map(x.count, " \t")) < 0.09 * len(x) and sum(map(x.count, ";{}(),=.:")) > 0.12 * len(x)]
-        if sum(map(len, dense)) > 0.5 * len(text):
-            return "minified: density"
-    return None
+    return "minified: name" if mark[0] == "?" and _SMALL_NAME.search(bare) else None
+
+
+def dense(text: str, ext: str) -> bool:
+    """Long lines of many signs and few spaces make up most of the text."""
+    long = [x for x in text.split("\n") if len(x) > 300]
+    if not long or ext not in ("js", "css", "mjs", "ts", "html", "svg", ""):
+        return False
+    found = [x for x in long if sum(map(x.count, " \t")) < 0.09 * len(x) and sum(map(x.count, ";{}(),=.:")) > 0.12 * len(x)]
+    return sum(map(len, found)) > 0.5 * len(text)
+
+
+def own_shape(path: str | None, size: int | None, text: str | None, repo: str | None) -> str | None:
+    """What the parts of this file would say if other files shared them, or None. Not used to find files: there, a part counts only in a cluster."""
+    path = path or ""
+    said = [mark_kind(m) for m in path_marks(path, size, text)]
+    ext = extension(path)
+    if ext in PROSE:
+        said = [k for k in said if k == "vendored: path"]
+    elif text:
+        if not _BY_HAND.search(text):
+            said += [k if k != "holder" else None if says_own(x, repo, path) else "vendored: holder" for x, k in telling_notes(text)]
+        said.append("minified: density" if dense(text, ext) else None)
+    return next((k for k in said if k), None)
+
+
+def extension(path: str) -> str:
+    return path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+
+
+def says_own(note: str, repo: str | None, path: str) -> bool:
+    """Does the note name the file's own repository?"""
+    low = note.lower()
+    own = {x.lower() for x in (repo or "", *path.split("/")[:2]) if x}
+    return any(re.search(rf"(?<![a-z]){re.escape(o)}" + ("" if len(o) > 3 else "(?![a-z])"), low) for o in own)
 
 
 def _kind(token: str) -> str:
@@ -119,21 +200,15 @@ def _kind(token: str) -> str:
     return token
 
 
-_NO_LETTERS = str.maketrans("", "", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_ \t")
-
-
 def _forms(lines: list[str]) -> list[tuple[str, int]]:
-    """The two most common masked forms of the lines. Skeletons of signs decide first whether any form can be common."""
-    bones = Counter(x.translate(_NO_LETTERS) for x in lines).most_common(4)
-    if sum(n for _, n in bones) < 0.6 * len(lines):
-        return []
+    """The two most common masked forms of the lines."""
     return Counter(" ".join(map(_kind, _TOKEN.findall(x))) for x in lines).most_common(2)
 
 
-def data_or_family(text: str, literal: float, count: int, longest: int, config: bool, varied: bool) -> str | None:
+def repetition(text: str, literal: float, count: int, longest: int, config: bool, varied: bool) -> str | None:
     """Is the file mostly literals (their share and number, and the longest token), or one form repeated?
 
-    ``varied``: more than half of its masked shingles are distinct, which no repetition of a form leaves.
+    ``varied``: more than half of its masked shingles are distinct; asked for literals only then.
     """
     if literal >= 0.65 and (len(text) >= 1000 or count >= 100) and not config:
         return "data: literals"
@@ -142,7 +217,8 @@ def data_or_family(text: str, literal: float, count: int, longest: int, config:
     if varied:
         return None
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) >= 12 and (top := _forms(lines)):
+    if len(lines) >= 12:
+        top = _forms(lines)
         if config:
             return "data: rows" if sum(n for f, n in top[:1] if f.count("N") + f.count("S") >= 3) >= 0.7 * len(lines) else None
         if sum(n for _, n in top) >= 0.75 * len(lines):
@@ -215,41 +291,82 @@ def _grouped(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return ngrams(low, rows)[::rows][:bands]
 
 
-_OWN = "file_id bigint, repo bigint, path_key bigint, reason string, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>, lit boolean, hand boolean"
+_OWN = "file_id bigint, repo bigint, path_key bigint, hand boolean, notes array<string>, marks array<string>, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>, lit boolean, shape string, fcls bigint, fn bigint, fkeys array<bigint>, fsketch array<bigint>, alone boolean"
+_ENDS = re.compile(r"[;{}\n]")
+
+
+def form_shingles(text: str) -> tuple[np.ndarray, bool]:
+    """Distinct shingles of the statements' forms: character-level masks (a short name is one letter's form), shingles within a statement. And whether the
+    two halves of the text are near copies of each other by them, counted as often as they occur."""
+    shorts, out = {}, []
+    for part in _ENDS.split(text):
+        tokens = _TOKEN.findall(part)
+        if tokens:
+            kinds = []
+            for t in tokens:
+                k = _kind(t)
+                if k == "I" and len(t) <= 2:
+                    k = "i"
+                h = shorts.get(k)
+                kinds.append(h if h is not None else shorts.setdefault(k, xxhash.xxh64_intdigest(k)))
+            h = np.array(kinds, dtype=np.uint64)
+            out.append(ngrams(h, min(SHINGLE, len(h))))
+    if not out:
+        return np.empty(0, dtype=np.uint64), False
+    first, second = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out[: len(out) // 2], out[len(out) // 2 :]))
+    every, of = np.unique(np.concatenate([first, second]), return_inverse=True)
+    times = [np.bincount(x, minlength=len(every)) for x in (of[: len(first)], of[len(first) :])]
+    return every.view(np.uint64), bool(np.minimum(*times).sum() >= SIMILAR * np.maximum(*times).sum())
+
+
+def _class(shingles: np.ndarray, names: np.ndarray | None, view: bytes) -> tuple[int, int, list[int], list[int]]:
+    bands, rows = _MASKED
+    m = _minima(shingles, _SKETCH)
+    more = _minima(names, _NAME_SKETCH) if names is not None else np.zeros(_NAME_SKETCH, dtype=np.uint64)
+    key = view + shingles.tobytes() + (b"/" + names.tobytes() if names is not None else b"")
+    return int(np.int64(xxhash.xxh64_intdigest(key) >> 1)), len(shingles), _grouped(m, bands, rows).tolist(), _sketch(m) + _sketch(more)
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each file tells by itself, the class of files with the same masked shingles and names, and the class's bucket keys and sketches."""
+    """The parts by which each file can belong to a cluster: notes, marks of its path, masked shingles and names, and the forms of its statements."""
     known = _Tokens()
-    bands, size_of_band = _MASKED
+    longs = pa.list_(pa.int64())
+    kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.int64(), longs, longs, pa.bool_(), pa.string(), pa.int64(), pa.int64(), longs, longs, pa.bool_())
     for batch in batches:
         out: list[tuple] = []
         for ident, repo, path, size, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            reason = own_shape(path, size, text, repo)
-            ext = (path or "").rsplit(".", 1)[-1].lower()
-            cls, n, keys, sketch, lit, hand = None, 0, (), (), False, False
-            repo_key, path_key = xxhash.xxh64_intdigest(repo) >> 1, xxhash.xxh64_intdigest(path or "") >> 1
+            path = path or ""
+            ext = extension(path)
+            repo_key, path_key = xxhash.xxh64_intdigest(repo) >> 1, xxhash.xxh64_intdigest(path) >> 1
+            hand, notes, lit, shape, alone = False, [], False, None, False
+            body = form = (None, 0, (), ())
             if text and ext not in PROSE:
+                hand = bool(_BY_HAND.search(text))
+                for x, kind in () if hand else telling_notes(text):
+                    if kind != "holder" or not says_own(x, repo, path):
+                        notes.append(f"{'vendored: holder' if kind == 'holder' else kind}|{' '.join(note_words(x))}")
                 tokens = _TOKEN.findall(text)
-                config = ext in CONFIG
-                if tokens and (reason is None or len(tokens) >= _LEAST and not config):
+                if tokens:
+                    config = ext in CONFIG
                     k, w, size_of = known.read(tokens)
                     masked = _shingles(k) if len(tokens) >= SHINGLE else k[:0]
                     is_literal = (k == np.uint64(_S)) | (k == np.uint64(_N))
                     literal = float(size_of[is_literal].sum() / size_of.sum())
-                    if reason is None:
-                        reason = data_or_family(text, literal, int(is_literal.sum()), int(size_of.max()), config, 2 * len(masked) > len(tokens))
+                    lit = literal >= 0.6 and not config
+                    shape = repetition(text, literal, int(is_literal.sum()), int(size_of.max()), config, 2 * len(masked) > len(tokens))
+                    if shape is None and dense(text, ext):
+                        shape = "minified: density"
+                    if shape:
+                        shingles, alone = form_shingles(text)
+                        form = _class(shingles, None, b"f")
                     if len(tokens) >= _LEAST and not config:
-                        names = np.unique(w[k == np.uint64(_I)])
-                        m = _minima(masked, max(bands * size_of_band, _SKETCH))
-                        cls = int(np.int64(xxhash.xxh64_intdigest(masked.tobytes() + b"/" + names.tobytes()) >> 1))
-                        n, lit, hand = len(masked), literal >= 0.6, reason is None and bool(_BY_HAND.search(text))
-                        keys = _grouped(m, bands, size_of_band).tolist()
-                        sketch = _sketch(m[:_SKETCH]) + _sketch(_minima(names, _NAME_SKETCH))
-            out.append((ident, repo_key, path_key, reason, cls, n, keys, sketch, lit, hand))
+                        body = _class(masked, np.unique(w[k == np.uint64(_I)]), b"b")
+            marks = path_marks(path, size, text)
+            if ext in PROSE:
+                marks = [m for m in marks if m.endswith("/I/")]
+            marks = [f"{kind}|{m}" for m in marks if (kind := mark_kind(m)) and (ext not in PROSE or kind.startswith("vendored"))]
+            out.append((ident, repo_key, path_key, hand, notes, marks, *body, lit, shape, *form, alone))
         if out:
-            longs = pa.list_(pa.int64())
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), longs, longs, pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _OWN.split(", ")])
 
 
@@ -309,58 +426,113 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket_pairs([np.concatenate(x) for x in zip(*held)])
 
 
-_COMPARED = "cls bigint, shingles array<int>, names array<int>"
+_COMPARED = "cls bigint, shingles array<bigint>, names array<bigint>"
+
+
+def _note_shingles(note: str, known: WordHashes) -> np.ndarray:
+    h = known.of(note.lower().split())
+    return np.unique(ngrams(h, min(SHINGLE, len(h)))).view(np.uint64)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Tokens()
+    """Shingles, and names of a body, of one text a class."""
+    known, words = _Tokens(), WordHashes()
+    longs = pa.list_(pa.int64())
     for batch in batches:
         out: list[tuple] = []
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens = _TOKEN.findall(text)
-            k, w, _ = known.read(tokens)
-            names = np.unique(w[k == np.uint64(_I)]).view(np.int64).astype(np.int32)
-            shingles = np.unique(ngrams(k, SHINGLE).astype(np.int32))
-            out.append((ident, shingles.tolist(), np.unique(names).tolist()))
+        for ident, text, view in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if view == "b":
+                k, w, _ = known.read(_TOKEN.findall(text))
+                out.append((ident, _shingles(k).view(np.int64).tolist(), np.unique(w[k == np.uint64(_I)]).view(np.int64).tolist()))
+            else:
+                x = form_shingles(text)[0] if view == "f" else _note_shingles(text, words)
+                out.append((ident, x.view(np.int64).tolist(), []))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), longs, longs))], names=[x.split()[0] for x in _COMPARED.split(", ")])
+
+
+_NOTED = "masked string, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>"
+
+
+def _note_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, bucket keys and sketch of each distinct masked note."""
+    known = WordHashes()
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        notes = batch.column(0).to_pylist()
+        out = [(x, *_class(_note_shingles(x.split("|", 1)[1], known), None, b"n" + x.encode())) for x in notes]
         if out:
-            kinds_ = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _COMPARED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), longs, longs))], names=[x.split()[0] for x in _NOTED.split(", ")])
+
+
+def _masked_notes(own: DataFrame) -> DataFrame:
+    """``masked, file_id, repo, path_key`` for each note that says something of its file; words that fewer than three repositories use are masked as names."""
+    lines = own.select("file_id", "repo", "path_key", F.explode("notes").alias("note"))
+    words = lines.select("repo", F.explode(F.array_distinct(F.split(F.split_part("note", F.lit("|"), F.lit(2)), " "))).alias("word")).distinct()
+    rare = words.filter(F.col("word").rlike(r"^\p{L}")).groupBy("word").agg(F.count("*").alias("repos")).filter(F.col("repos") < _COMMON).select("word", F.lit(True).alias("rare"))
+    parts = lines.select("note").distinct().select("note", F.posexplode(F.split(F.expr("substring(note, instr(note, '|') + 1)"), " ")).alias("at", "word"))
+    word = F.when(F.col("rare"), F.lit("I")).otherwise(F.col("word"))
+    masked = parts.join(rare, "word", "left").groupBy("note").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("w")))).alias("x"))
+    masked = masked.select("note", F.concat(F.split_part("note", F.lit("|"), F.lit(1)), F.lit("|"), F.array_join(F.transform("x", lambda y: y.w), " ")).alias("masked"))
+    return lines.join(masked, "note").select("masked", "file_id", "repo", "path_key")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """The rows of ``files`` (file_id, repo, relative_path, size_bytes, text) that nobody wrote by hand: ``file_id, reason``, one row each.
 
-    A file tells by itself through the start of a comment, its path or name, its density, its share of literals or the repetition of one form. All code
-    files are also compared: identifiers and literals are masked, and the 5-token shingles are clustered by MinHash banding. Exact Jaccard similarity of
-    the masked shingles of 0.8 or more is a near copy. Near copies across repositories that also share half of their names are vendored; three near
-    copies of a form within one repository are a generated family; near copies that consist of literals are data.
+    Every row comes out of a cluster. Four kinds of parts of a file are clustered: the masked shingles of its whole text (identifiers and literals
+    masked, 5 tokens), the shingles of its statements' forms where it is dense, repetitive or literal (short names masked apart), the notes at its
+    start and end (names and numbers masked), and parts of its path (digits masked). Equal parts are one class; classes meet by MinHash banding, in a
+    bucket all are compared by size and sketch, and a similarity of 0.8 or more is checked exactly once.
 
-    Files with the same masked shingles and names are one class, however many, and are copies without a comparison. In a bucket each class is compared
-    by size and sketch with every other, unless all files of both tell by themselves; pairs that may be near copies are compared exactly, once. The
-    work in a bucket grows with the square of its different classes, and a bucket is one task's.
+    A cluster speaks for a file only if it holds another path. Near copies across repositories that also share half of their names are vendored; three
+    near copies of a form within one repository are a generated family; near copies that consist of literals are data. A cluster of statements' forms
+    tells minified, generated and data files; its pieces may lie in one file, if the file's halves are near copies. What a cluster of notes or paths
+    means is checked by its wording, which alone finds nothing.
 
-    A missing text is judged by path, name and size. Rows delivered twice have one path and never count as copies of each other. Prose and configuration
-    are only judged by path, name, comment and data rows. Null paths count as empty. ``file_id`` must be unique.
+    A missing text is clustered by path, and by size beyond what anybody types. Rows delivered twice have one path and never count as copies of each
+    other. Prose is clustered by folder only, configuration not by its whole text. Null paths count as empty. ``file_id`` must be unique. The work in a
+    bucket grows with the square of its different classes, and a bucket is one task's; joins by a mark or note split keys that many files share.
     """
     files = files.select(F.col("file_id").cast("bigint"), F.coalesce("repo", F.lit("")).alias("repo"), F.col("relative_path"), F.col("size_bytes").cast("bigint"), "text")
     own = durable(files.mapInArrow(_own, _OWN), "files-own")
-    known = own.filter("cls is not null")
     where = F.struct("repo", "path_key")
-    classes = known.groupBy("cls").agg(
-        F.min("file_id").alias("one"), F.min(where).alias("w1"), F.max(where).alias("w2"), F.max(F.col("reason").isNull()).alias("need"), F.max(F.col("reason").isNull() & F.col("lit")).alias("lit"),
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+    places = (F.min(where).alias("w1"), F.max(where).alias("w2"), F.count("*").alias("files"))
+    elsewhere = F.col("w1.path_key") != F.col("w2.path_key")
+
+    marks = own.select("file_id", "repo", "path_key", F.explode("marks").alias("mark"))
+    shared = marks.groupBy("mark").agg(*places).filter(elsewhere).select("mark", "files")
+    lines = durable(_masked_notes(own), "files-notes")
+    noted = durable(lines.groupBy("masked").agg(*places), "files-noted")
+    total = own.count()
+    by_path = hot_split_join(marks, shared, ["mark"], "files", total).select("file_id", F.split_part("mark", F.lit("|"), F.lit(1)).alias("reason"))
+    by_path = durable(by_path.groupBy("file_id").agg(F.max("reason").alias("reason")), "files-marked")
+
+    known = own.join(by_path.select("file_id", F.lit(True).alias("told")), "file_id", "left").select(*own.columns, F.col("told").isNull().alias("open"))
+    known = durable(known.select("file_id", "repo", "path_key", "hand", "lit", "open", "cls", "n", "keys", "sketch", "shape", "fcls", "fn", "fkeys", "fsketch", "alone"), "files-known")
+    bodies = known.filter("cls is not null").groupBy("cls").agg(
+        F.min("file_id").alias("one"), *places, F.max("open").alias("need"), F.max(F.col("open") & F.col("lit")).alias("lit"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
     )
-    classes = durable(classes, "files-classes")
+    forms = known.filter("fcls is not null").groupBy("fcls").agg(
+        F.min("file_id").alias("one"), *places, F.max("open").alias("need"), F.lit(True).alias("lit"), F.first("fn").alias("n"), F.first("fkeys").alias("keys"), F.first("fsketch").alias("sketch"),
+    ).withColumnRenamed("fcls", "cls")
+    notes = noted.select("masked").mapInArrow(_note_classes, _NOTED).join(noted, "masked")
+    notes = durable(notes.select("cls", F.lit(None).cast("bigint").alias("one"), "w1", "w2", "files", F.lit(True).alias("need"), F.lit(True).alias("lit"), "n", "keys", "sketch", "masked"), "files-note-classes")
+    view = lambda df, v: df.select("cls", "one", "w1", "w2", "files", "need", "lit", "n", "keys", "sketch", F.lit(v).alias("view"))
+    classes = durable(view(bodies, "b").unionByName(view(forms, "f")).unionByName(view(notes, "n")), "files-classes")
+
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range((_SKETCH + _NAME_SKETCH) // 32)]
-    rows = classes.select(F.posexplode("keys").alias("band", "h"), "cls", "n", F.col("w1.repo").alias("repo"), (F.col("w1.repo") != F.col("w2.repo")).alias("many"), "need", "lit", *words)
-    rows = rows.select(F.xxhash64("band", "h").alias("key"), *[c for c in rows.columns if c not in ("band", "h")])
+    rows = classes.select(F.posexplode("keys").alias("band", "h"), "view", "cls", "n", F.col("w1.repo").alias("repo"), (F.col("w1.repo") != F.col("w2.repo")).alias("many"), "need", "lit", *words)
+    rows = rows.select(F.xxhash64("view", "band", "h").alias("key"), *[c for c in rows.columns if c not in ("band", "h", "view")])
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     pairs = durable(pairs, "files-pairs")
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "cls", "left_semi").select(F.col("one").alias("file_id"), "cls")
-    sides = durable(files.select("file_id", "text").join(wanted, "file_id").select("cls", "text").mapInArrow(_compared, _COMPARED), "files-compared")
+    wanted = durable(classes.join(wanted, "cls", "left_semi").select(F.col("one").alias("file_id"), "cls", "view"), "files-wanted")
+    texts = files.select("file_id", "text").join(wanted.filter("view <> 'n'"), "file_id").select("cls", "text", "view")
+    said = notes.join(wanted.filter("view = 'n'").select("cls", "view"), "cls").select("cls", F.expr("substring(masked, instr(masked, '|') + 1)").alias("text"), "view")
+    sides = durable(texts.unionByName(said).mapInArrow(_compared, _COMPARED), "files-compared")
     other = sides.select(F.col("cls").alias("b"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"))
     both = pairs.join(sides.withColumnRenamed("cls", "a"), "a").join(other, "b")
 
@@ -369,24 +541,32 @@ def not_handwritten(files: DataFrame) -> DataFrame:
         return common / F.greatest(F.size(x) + F.size(y) - common, F.lit(1))
 
     near = durable(both.filter(jaccard("shingles", "shingles2") >= SIMILAR).select("a", "b", jaccard("names", "names2").alias("shared")), "files-near")
-    same = classes.filter("w1 != w2").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("shared"))
+    same = classes.filter(elsewhere).select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("shared"))
     near = near.union(near.select("b", "a", "shared")).union(same)
+    linked = durable(near.select(F.col("a").alias("cls")).distinct(), "files-linked")
+
+    by_note = notes.join(linked, "cls", "left_semi").select("masked", "files")
+    by_note = hot_split_join(lines, by_note, ["masked"], "files", total).select("file_id", F.split_part("masked", F.lit("|"), F.lit(1)).alias("reason"))
+    shaped = known.filter("fcls is not null").select("file_id", "shape", "alone", F.col("fcls").alias("cls"))
+    by_form = shaped.join(linked.withColumn("linked", F.lit(True)), "cls", "left").filter("alone or linked").select("file_id", F.col("shape").alias("reason"))
 
-    need = known.filter("reason is null").select("file_id", "repo", "path_key", F.col("cls").alias("a"), "lit", "hand")
-    of = near.join(classes.select(F.col("cls").alias("b"), "w1", "w2"), "b").join(need, "a")
+    need = known.filter("open and cls is not null").select("file_id", "repo", "path_key", F.col("cls").alias("a"), "lit", "hand")
+    of = near.join(classes.filter("view = 'b'").select(F.col("cls").alias("b"), "w1", "w2"), "b").join(need, "a")
     # a path belongs to one repository, so the first and the last place of a class show whether it has another one
-    elsewhere = [F.col(f"{w}.path_key") != F.col("path_key") for w in ("w1", "w2")]
+    away = [F.col(f"{w}.path_key") != F.col("path_key") for w in ("w1", "w2")]
     abroad = [F.col(f"{w}.repo") != F.col("repo") for w in ("w1", "w2")]
-    data = F.max(F.col("lit") & (elsewhere[0] | elsewhere[1]))
-    vendored = F.max((elsewhere[0] & abroad[0] | elsewhere[1] & abroad[1]) & (F.col("shared") >= _NAMES) & ~F.col("hand"))
-    places = known.select(F.col("cls").alias("b"), "repo", F.col("path_key").alias("path2")).distinct()
-    family = near.filter("shared < 1").join(need, "a").join(places, ["b", "repo"]).filter("path2 != path_key")
+    data = F.max(F.col("lit") & (away[0] | away[1]))
+    vendored = F.max((away[0] & abroad[0] | away[1] & abroad[1]) & (F.col("shared") >= _NAMES) & ~F.col("hand"))
+    homes = known.filter("cls is not null").select(F.col("cls").alias("b"), "repo", F.col("path_key").alias("path2")).distinct()
+    family = near.filter("shared < 1").join(need, "a").join(homes, ["b", "repo"]).filter("path2 != path_key")
     family = family.groupBy("file_id").agg((F.count_distinct("path2") >= _FAMILY - 1).alias("family"))
     seen = of.groupBy("file_id").agg(data.alias("data"), vendored.alias("vendored")).join(family, "file_id", "left")
     why = F.when(F.col("data"), "data: cluster").when(F.col("vendored"), "vendored: cluster").when(F.col("family"), "generated: family")
-    seen = seen.select("file_id", why.alias("reason2")).filter("reason2 is not null")
-    out = own.select("file_id", "reason").join(seen, "file_id", "left")
-    return out.select("file_id", F.coalesce("reason", "reason2").alias("reason")).filter("reason is not null")
+    by_body = seen.select("file_id", why.alias("reason")).filter("reason is not null")
+
+    rank = lambda df, n: df.select("file_id", F.struct(F.lit(n).alias("n"), "reason").alias("x"))
+    every = rank(by_path, 0).union(rank(by_note, 1)).union(rank(by_form, 2)).union(rank(by_body, 3))
+    return every.groupBy("file_id").agg(F.min("x").alias("x")).select("file_id", F.col("x.reason").alias("reason"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,27 @@ def test_clusters(spark):
     assert not_handwritten(df.limit(0)).count() == 0
 
 
+def test_what_one_file_says_counts_only_in_a_cluster(spark):
+    """The ablation: each kind of evidence in one file finds nothing; in files of two repositories it finds both."""
+    r = random.Random(7)
+    words = [f"{a}_{b}" for a in ("walk", "fold", "emit", "rank", "seal") for b in ("node", "plan", "edge", "term", "file", "span")]
+    unique = lambda: "\n".join(code(r, [f"{w}_{r.randrange(10**6)}" for w in words], 30))
+    kinds = [
+        lambda i: (f"src/a{i}.py", "# Code generated by tool v1. DO NOT EDIT.\n" + unique()),
+        lambda i: (f"src/b{i}.py", f"# Taken unchanged from the lib{i} project (6.3.{i}).\n" + unique()),
+        lambda i: (f"third_party/lib{i}/c{i}.py", unique()),
+        lambda i: (f"src/d{i}_pb2.py", unique()),
+        lambda i: (f"src/zz_generated.e{i}.go", unique()),
+        lambda i: (f"src/f{i}.js", "".join(f"if({r.choice('abc')}>{r.randrange(99)}){{{r.choice('xyz')}={r.choice('abc')};break}}" for _ in range(9 + i))),
+        lambda i: (f"static/g{i}.min.js", None),
+    ]
+    rows = [(10 * k + i, f"r{k}{i}", f"r{k}{i}/{p}", 900, t) for k, kind in enumerate(kinds) for i in range(2) for p, t in [kind(i)]]
+    both = not_handwritten(spark.createDataFrame(rows, SCHEMA))
+    assert {x.file_id for x in both.collect()} == {x[0] for x in rows}
+    alone = not_handwritten(spark.createDataFrame([x for x in rows if x[0] % 10 == 0], SCHEMA))
+    assert {x.file_id for x in alone.collect()} <= {50}  # the statements of a minified file are a cluster in themselves
+
+
 def test_every_copy_in_a_crowded_bucket_finds_the_other_repository(spark):
     r = random.Random(5)
     words = [f"{a}_{b}" for a in ("walk", "fold", "emit", "rank", "seal") for b in ("node", "plan", "edge", "term", "file", "span")]
