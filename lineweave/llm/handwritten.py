@@ -32,7 +32,7 @@ _LEAST, _NAMES, _FAMILY = 40, 0.5, 3
 # File kinds. Configuration and prose are written by hand unless something else says otherwise.
 CONFIG = ("yaml", "yml", "toml", "ini", "env", "cfg", "conf", "properties", "sh", "bash", "json", "xml", "sql")
 PROSE = ("md", "rst", "txt", "adoc", "org", "tex")
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
+_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|\n")
 # Words of programming languages, kept when identifiers are masked.
 KEYWORDS = frozenset(
     "abstract and as assert async await bool boolean break byte case catch char class const continue crate def default defer del do double elif else enum except export extends false final finally float fn for from func function go if impl implements import in instanceof int interface is lambda let long loop match mod mut new nil none not null or package pass private protected pub public raise range ref return self short static str string struct super switch this throw throws trait true try type typeof undefined union unsafe use var void when where while with yield".split()
@@ -200,30 +200,41 @@ def _kind(token: str) -> str:
     return token
 
 
-def _forms(lines: list[str]) -> list[tuple[str, int]]:
-    """The two most common masked forms of the lines."""
-    return Counter(" ".join(map(_kind, _TOKEN.findall(x))) for x in lines).most_common(2)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(4095, _BASE, dtype=np.uint64)]))
 
 
-def repetition(text: str, literal: float, count: int, longest: int, config: bool, varied: bool) -> str | None:
-    """Is the file mostly literals (their share and number, and the longest token), or one form repeated?
+def _segments(kinds: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of each non-empty run of kinds between breaks."""
+    at = np.flatnonzero(breaks)
+    starts = np.concatenate(([0], at + 1))
+    sizes = np.concatenate((at, [len(kinds)])) - starts
+    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+    if not len(starts):
+        return starts, sizes, np.empty(0, dtype=np.uint64)
+    place = np.arange(len(kinds)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(kinds)])))) if starts[0] == 0 else None
+    if place is None:
+        place = np.arange(len(kinds)) - np.concatenate((np.zeros(starts[0], dtype=np.int64), np.repeat(starts, np.diff(np.concatenate((starts, [len(kinds)]))))))
+    x = np.where(breaks, np.uint64(0), kinds * _POWERS[place & 4095] + (place >> 12).astype(np.uint64) * np.where(breaks, np.uint64(0), kinds))
+    return starts, sizes, np.add.reduceat(x, starts)
 
-    ``varied``: more than half of its masked shingles are distinct; asked for literals only then.
-    """
+
+def repetition(text: str, literal: float, count: int, longest: int, config: bool, kinds: np.ndarray, breaks: np.ndarray) -> str | None:
+    """Is the file mostly literals (their share and number, and the longest token), or are most of its lines (kinds between breaks) of one or two forms?"""
     if literal >= 0.65 and (len(text) >= 1000 or count >= 100) and not config:
         return "data: literals"
     if literal >= 0.6 and (count >= 150 or longest >= 1000) and config:
         return "data: literals"
-    if varied:
+    starts, _, forms = _segments(kinds, breaks)
+    if len(forms) < 12:
         return None
-    lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) >= 12:
-        top = _forms(lines)
-        if config:
-            return "data: rows" if sum(n for f, n in top[:1] if f.count("N") + f.count("S") >= 3) >= 0.7 * len(lines) else None
-        if sum(n for _, n in top) >= 0.75 * len(lines):
-            return "generated: repeated form"
-    return None
+    _, first, times = np.unique(forms, return_index=True, return_counts=True)
+    top = np.argsort(-times, kind="stable")[:2]
+    if config:
+        k = starts[first[top[0]]]
+        row = kinds[k : k + int(np.argmax(np.append(breaks[k:], True)))]
+        return "data: rows" if times[top[0]] >= 0.7 * len(forms) and ((row == np.uint64(_S)) | (row == np.uint64(_N))).sum() >= 3 else None
+    return "generated: repeated form" if times[top].sum() >= 0.75 * len(forms) else None
 
 
 class _Tokens(dict):
@@ -276,8 +287,11 @@ def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _sketch(low: np.ndarray) -> list[int]:
     """Two bits of each minimum, 32 minima a number."""
-    bits = (low >> np.uint64(7)) & np.uint64(3)
-    return [int((bits[i : i + 32] << np.arange(0, 64, 2, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) for i in range(0, len(bits), 32)]
+    bits = ((low >> np.uint64(7)) & np.uint64(3)).reshape(-1, 32)
+    return (bits << _TWOS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+_TWOS = np.arange(0, 64, 2, dtype=np.uint64)
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -292,31 +306,27 @@ def _grouped(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 _OWN = "file_id bigint, repo bigint, path_key bigint, hand boolean, notes array<string>, marks array<string>, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>, lit boolean, shape string, fcls bigint, fn bigint, fkeys array<bigint>, fsketch array<bigint>, alone boolean"
-_ENDS = re.compile(r"[;{}\n]")
+_LINE, _SHORT = (xxhash.xxh64_intdigest(k) for k in ("\n", "i"))
+_STOPS = np.array([xxhash.xxh64_intdigest(k) for k in ";{}\n"], dtype=np.uint64)
 
 
-def form_shingles(text: str) -> tuple[np.ndarray, bool]:
+def form_shingles(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, bool]:
     """Distinct shingles of the statements' forms: character-level masks (a short name is one letter's form), shingles within a statement. And whether the
     two halves of the text are near copies of each other by them, counted as often as they occur."""
-    shorts, out = {}, []
-    for part in _ENDS.split(text):
-        tokens = _TOKEN.findall(part)
-        if tokens:
-            kinds = []
-            for t in tokens:
-                k = _kind(t)
-                if k == "I" and len(t) <= 2:
-                    k = "i"
-                h = shorts.get(k)
-                kinds.append(h if h is not None else shorts.setdefault(k, xxhash.xxh64_intdigest(k)))
-            h = np.array(kinds, dtype=np.uint64)
-            out.append(ngrams(h, min(SHINGLE, len(h))))
-    if not out:
+    kinds = np.where((kinds == np.uint64(_I)) & (sizes <= 2), np.uint64(_SHORT), kinds)
+    stops = np.isin(kinds, _STOPS)
+    starts, lengths, whole = _segments(kinds, stops)
+    short = lengths < SHINGLE
+    runs = ngrams(kinds, SHINGLE).view(np.uint64)
+    before = np.concatenate(([0], np.cumsum(stops)))
+    inside = np.flatnonzero(before[SHINGLE:] == before[: len(before) - SHINGLE]) if len(runs) else np.empty(0, dtype=np.int64)
+    at = np.concatenate([starts[short], inside])
+    hashes = np.concatenate([whole[short], runs[inside]])[np.argsort(at, kind="stable")]
+    if not len(hashes):
         return np.empty(0, dtype=np.uint64), False
-    first, second = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out[: len(out) // 2], out[len(out) // 2 :]))
-    every, of = np.unique(np.concatenate([first, second]), return_inverse=True)
-    times = [np.bincount(x, minlength=len(every)) for x in (of[: len(first)], of[len(first) :])]
-    return every.view(np.uint64), bool(np.minimum(*times).sum() >= SIMILAR * np.maximum(*times).sum())
+    every, of = np.unique(hashes, return_inverse=True)
+    times = [np.bincount(x, minlength=len(every)) for x in (of[: len(of) // 2], of[len(of) // 2 :])]
+    return every, bool(np.minimum(*times).sum() >= SIMILAR * np.maximum(*times).sum())
 
 
 def _class(shingles: np.ndarray, names: np.ndarray | None, view: bytes) -> tuple[int, int, list[int], list[int]]:
@@ -348,18 +358,22 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = _TOKEN.findall(text)
                 if tokens:
                     config = ext in CONFIG
-                    k, w, size_of = known.read(tokens)
-                    masked = _shingles(k) if len(tokens) >= SHINGLE else k[:0]
+                    every, words_, sizes = known.read(tokens)
+                    breaks = every == np.uint64(_LINE)
+                    k, w, size_of = every[~breaks], words_[~breaks], sizes[~breaks]
+                    if not len(k):
+                        k, w, size_of = every[:0], words_[:0], np.ones(1, dtype=np.int64)
+                    masked = _shingles(k) if len(k) >= SHINGLE else k[:0]
                     is_literal = (k == np.uint64(_S)) | (k == np.uint64(_N))
-                    literal = float(size_of[is_literal].sum() / size_of.sum())
+                    literal = float(size_of[: len(k)][is_literal].sum() / size_of.sum())
                     lit = literal >= 0.6 and not config
-                    shape = repetition(text, literal, int(is_literal.sum()), int(size_of.max()), config, 2 * len(masked) > len(tokens))
+                    shape = repetition(text, literal, int(is_literal.sum()), int(size_of.max()), config, every, breaks)
                     if shape is None and dense(text, ext):
                         shape = "minified: density"
                     if shape:
-                        shingles, alone = form_shingles(text)
+                        shingles, alone = form_shingles(every, sizes)
                         form = _class(shingles, None, b"f")
-                    if len(tokens) >= _LEAST and not config:
+                    if len(k) >= _LEAST and not config:
                         body = _class(masked, np.unique(w[k == np.uint64(_I)]), b"b")
             marks = path_marks(path, size, text)
             if ext in PROSE:
@@ -441,12 +455,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for ident, text, view in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if view == "b":
-                k, w, _ = known.read(_TOKEN.findall(text))
-                out.append((ident, _shingles(k).view(np.int64).tolist(), np.unique(w[k == np.uint64(_I)]).view(np.int64).tolist()))
+            if view == "n":
+                out.append((ident, _note_shingles(text, words).view(np.int64).tolist(), []))
+                continue
+            k, w, sizes = known.read(_TOKEN.findall(text))
+            if view == "f":
+                out.append((ident, form_shingles(k, sizes)[0].view(np.int64).tolist(), []))
             else:
-                x = form_shingles(text)[0] if view == "f" else _note_shingles(text, words)
-                out.append((ident, x.view(np.int64).tolist(), []))
+                code = k != np.uint64(_LINE)
+                out.append((ident, _shingles(k[code]).view(np.int64).tolist(), np.unique(w[k == np.uint64(_I)]).view(np.int64).tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), longs, longs))], names=[x.split()[0] for x in _COMPARED.split(", ")])
 
@@ -506,18 +523,17 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     noted = durable(lines.groupBy("masked").agg(*places), "files-noted")
     total = own.count()
     by_path = hot_split_join(marks, shared, ["mark"], "files", total).select("file_id", F.split_part("mark", F.lit("|"), F.lit(1)).alias("reason"))
-    by_path = durable(by_path.groupBy("file_id").agg(F.max("reason").alias("reason")), "files-marked")
 
-    known = own.join(by_path.select("file_id", F.lit(True).alias("told")), "file_id", "left").select(*own.columns, F.col("told").isNull().alias("open"))
-    known = durable(known.select("file_id", "repo", "path_key", "hand", "lit", "open", "cls", "n", "keys", "sketch", "shape", "fcls", "fn", "fkeys", "fsketch", "alone"), "files-known")
-    bodies = known.filter("cls is not null").groupBy("cls").agg(
-        F.min("file_id").alias("one"), *places, F.max("open").alias("need"), F.max(F.col("open") & F.col("lit")).alias("lit"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+    bodies = own.filter("cls is not null").groupBy("cls").agg(
+        F.min("file_id").alias("one"), *places, F.lit(True).alias("need"), F.max("lit").alias("lit"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+    )
+    forms = own.filter("fcls is not null").groupBy(F.col("fcls").alias("cls")).agg(
+        F.min("file_id").alias("one"), *places, F.min("alone").alias("alone"), F.first("fn").alias("n"), F.first("fkeys").alias("keys"), F.first("fsketch").alias("sketch"),
     )
-    forms = known.filter("fcls is not null").groupBy("fcls").agg(
-        F.min("file_id").alias("one"), *places, F.max("open").alias("need"), F.lit(True).alias("lit"), F.first("fn").alias("n"), F.first("fkeys").alias("keys"), F.first("fsketch").alias("sketch"),
-    ).withColumnRenamed("fcls", "cls")
+    # a class that is a cluster by itself needs no partner
+    forms = forms.withColumns({"need": ~F.col("alone") & ~elsewhere, "lit": F.lit(True)})
     notes = noted.select("masked").mapInArrow(_note_classes, _NOTED).join(noted, "masked")
-    notes = durable(notes.select("cls", F.lit(None).cast("bigint").alias("one"), "w1", "w2", "files", F.lit(True).alias("need"), F.lit(True).alias("lit"), "n", "keys", "sketch", "masked"), "files-note-classes")
+    notes = durable(notes.select("cls", F.lit(None).cast("bigint").alias("one"), "w1", "w2", "files", (~elsewhere).alias("need"), F.lit(True).alias("lit"), "n", "keys", "sketch", "masked"), "files-note-classes")
     view = lambda df, v: df.select("cls", "one", "w1", "w2", "files", "need", "lit", "n", "keys", "sketch", F.lit(v).alias("view"))
     classes = durable(view(bodies, "b").unionByName(view(forms, "f")).unionByName(view(notes, "n")), "files-classes")
 
@@ -547,17 +563,17 @@ def not_handwritten(files: DataFrame) -> DataFrame:
 
     by_note = notes.join(linked, "cls", "left_semi").select("masked", "files")
     by_note = hot_split_join(lines, by_note, ["masked"], "files", total).select("file_id", F.split_part("masked", F.lit("|"), F.lit(1)).alias("reason"))
-    shaped = known.filter("fcls is not null").select("file_id", "shape", "alone", F.col("fcls").alias("cls"))
+    shaped = own.filter("fcls is not null").select("file_id", "shape", "alone", F.col("fcls").alias("cls"))
     by_form = shaped.join(linked.withColumn("linked", F.lit(True)), "cls", "left").filter("alone or linked").select("file_id", F.col("shape").alias("reason"))
 
-    need = known.filter("open and cls is not null").select("file_id", "repo", "path_key", F.col("cls").alias("a"), "lit", "hand")
+    need = own.filter("cls is not null").select("file_id", "repo", "path_key", F.col("cls").alias("a"), "lit", "hand")
     of = near.join(classes.filter("view = 'b'").select(F.col("cls").alias("b"), "w1", "w2"), "b").join(need, "a")
     # a path belongs to one repository, so the first and the last place of a class show whether it has another one
     away = [F.col(f"{w}.path_key") != F.col("path_key") for w in ("w1", "w2")]
     abroad = [F.col(f"{w}.repo") != F.col("repo") for w in ("w1", "w2")]
     data = F.max(F.col("lit") & (away[0] | away[1]))
     vendored = F.max((away[0] & abroad[0] | away[1] & abroad[1]) & (F.col("shared") >= _NAMES) & ~F.col("hand"))
-    homes = known.filter("cls is not null").select(F.col("cls").alias("b"), "repo", F.col("path_key").alias("path2")).distinct()
+    homes = own.filter("cls is not null").select(F.col("cls").alias("b"), "repo", F.col("path_key").alias("path2")).distinct()
     family = near.filter("shared < 1").join(need, "a").join(homes, ["b", "repo"]).filter("path2 != path_key")
     family = family.groupBy("file_id").agg((F.count_distinct("path2") >= _FAMILY - 1).alias("family"))
     seen = of.groupBy("file_id").agg(data.alias("data"), vendored.alias("vendored")).join(family, "file_id", "left")
