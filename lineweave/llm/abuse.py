@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm.lexicon import DEMEANING, INSULTS, Lexicon, fold
+from lineweave.llm.lexicon import CONTEXT, CONTEXT_WORDS, MEANINGS, Lexicon, fold
 from lineweave.sources.tables import table
 
 #: A document with this score or more is abusive.
@@ -18,150 +19,182 @@ THRESHOLD = 1.0
 _SPACED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z] ){2,}[A-Za-z](?![A-Za-z])")
 _WRAP = re.compile(r"[ \t]*\n[ \t]*(?:(?:#+|//+|>+|\*+|--+)[ \t]+)*")
 _END = re.compile(r"(?<=[.!?])[\"')]*\s+|\n+")
-_WORD = re.compile(r"[a-z']+")
-_I = "(?:" + "|".join(sorted(map(re.escape, INSULTS), key=len, reverse=True)) + ")"
-_A = "(?:" + "|".join(sorted(map(re.escape, DEMEANING), key=len, reverse=True)) + ")"
-# The persons such remarks are made of.
-_ROLE = "(?:author|reviewer|maintainer|tester|packager|operator|contributor|newcomer|developer|programmer|committer|colleague|intern|manager|boss|lead|guy|man|woman|person|user|customer|admin|team|people)"
-_GROUP = "(?:foreigners|immigrants|migrants|refugees|women|men|girls|old people|young people|[a-z]+ people|[a-z]+ believers|[a-z]+ folk|the [a-z]+ folk|blacks|whites|jews|muslims|christians|gays|lesbians|disabled people|[a-z]{4,12}s?)"
-
-# Phrases that are abuse by themselves, on folded text with misspelled terms restored.
-_PHRASES: tuple[tuple[str, str, float], ...] = tuple(
-    (kind, pattern, weight)
-    for kind, weight, patterns in (
-        ("wish", 1.2, (
-            r"\b(?:should|ought to|could|can|must|please|just|go|to) (?:all )?(?:drop dead|die in|rot in)\b", r"\bfired and left to starve\b", r"\bjump off a (?:bridge|cliff|roof)\b", r"\bif you (?:simply |just )?stopped breathing\b",
-            r"\b(?:kys|kill yourself|hang yourself|go die|drop dead)\b", r"\bhope you (?:all )?(?:get what you deserve|die|rot|suffer|get cancer)\b", r"\bva crever\b", r"\b(?:stirb|verrecke)\b", r"\b(?:muere|muerete)\b", r"\b(?:morre|morra)\b",
-            r"\bojala te\b.*\b(?:cara|mueras|muera)\b", r"\bdeserves? (?:a kick|a punch|a slap|to be beaten|to die|to suffer)\b", r"\bgehoren?\b.*\b(?:gepruegelt|geprugelt|erschossen|vertrieben|aufgehangt)\b", r"\b(?:tomara|espero) que (?:morras?|te fodas)\b",
-        )),
-        ("threat", 1.2, (
-            r"\bi (?:will|am going to|'ll|gonna) (?:smash|break|burn|beat|kill|hurt|punch|find|destroy|cut|shoot|stab|hang)\b.*\b(?:your?|you)\b", r"\bi know where you (?:live|sleep|work)\b", r"\bburn your (?:house|home|car)\b", r"\b(?:smash|break|punch) your (?:face|fingers|legs|neck|nose|skull|teeth)\b",
-            r"\bbeat the \w+ who (?:wrote|did|made)\b", r"\bwo du wohnst\b", r"\bje sais ou tu (?:habites|vis)\b", r"\bse donde vives\b", r"\bsei onde (?:moras|voce mora|vives)\b", r"\bte (?:voy|vou) a? ?(?:matar|partir|romper|quebrar)\b", r"\bich (?:bring|schlag|mach) dich\b", r"\bje vais te (?:tuer|casser|crever)\b",
-        )),
-        ("insult", 1.2, (
-            r"\bkiss my ass\b", r"\bmakes? me want to vomit\b", r"\byou people are\b", r"\bpeople are a disease\b", r"\bcrawl back into your hole\b", r"\bgo back to school before you\b", r"\b(?:nobody|no one) loves you\b", r"\bdropped on your head\b", r"\btoo (?:thick|dumb|stupid) to (?:learn|understand)\b",
-            r"\byour mother should be ashamed\b", r"\b(?:monkey|child|toddler|dog|ape) would \w+ (?:this|that|it)?.{0,30}better than you\b", r"\bfuck (?:off|you|yourself)\b", r"\bfuck your (?:mother|family|life)\b", r"\b(?:stfu|gtfo)\b", r"\bshut (?:(?:the (?:hell|fuck) |your (?:mouth|face|trap) ?)up|your (?:mouth|face|trap))\b", r"\bpiece of shit\b",
-            r"\bgo to hell\b", r"\bbelongs? in the gutter\b", r"\bhas the brain of an? \w+", r"\bhave the brain of an? \w+", r"\bnothing but (?:" + _A + r",? )*(?:trash|garbage|scum|shit|dirt)\b", r"\bhalt (?:die|deine) (?:fresse|schnauze|klappe)\b", r"\bleute wie (?:du|ihr|dich)\b", r"\b(?:du|ihr) " + _I + r"\b",
-            r"\bstuck dreck\b", r"\bta gueule\b", r"\bva te faire\b", r"\bgens comme (?:toi|vous)\b", r"\b(?:pauvre|sale|espece de|gros|petit) " + _I + r"\b", r"\b(?:tu es|t'es|vous etes) une? (?:\w+ )?" + _I + r"\b", r"\beres (?:un|una) (?:\w+ )?" + _I + r"\b", r"\bcallate\b", r"\bpedazo de\b.*" + _I, r"\bvete a la mierda\b",
-            r"\bnadie te quiere\b", r"\b(?:cala|fecha) a (?:boca|matraca)\b", r"\b(?:seu|sua|es um|es uma|voce e um|tu es um) (?:\w+ )?" + _I + r"\b", r"\bvai (?:te foder|se foder|para o inferno|a merda|tomar no)\b", r"\bninguem te (?:quer|suporta|ama)\b", r"\bfilho da puta\b", r"\bhijo de puta\b", r"\bgente como (?:tu|voce|vos)\b",
-        )),
-        ("hate", 1.2, (
-            r"\b(?:are|is) (?:\w+ )?(?:vermin|subhuman|parasites|cockroaches|thieves by blood|rats|a plague|a cancer)\b.*\b(?:driven out|out of|blood|gone|removed|eradicated|project|country)\b", r"\bare vermin\b", r"\bthieves by blood\b", r"\bnever let " + _GROUP + r" near\b", r"\b(?:are|is) too (?:dumb|stupid|lazy|primitive) to \w+ anything\b",
-            r"\bin the nature of " + _GROUP + r" to (?:lie|steal|cheat)\b", r"\bgo back to where you came from\b", r"\bwe do not want " + _GROUP + r" here\b", r"\b(?:should|must) be driven out\b", r"\b(?:sind|seid) (?:ungeziefer|abschaum|ratten|parasiten)\b", r"\bsont de la vermine\b", r"\bqu'on les chasse\b", r"\bson (?:ratas|basura|parasitos|escoria)\b",
-            r"\bhay que echarlos\b", r"\bsao (?:ratos|ratas|vermes|lixo|parasitas|uns? \w+)\b", r"\b(?:deviam|devem) ser (?:expulsos|expulsas)\b", r"\bund gehoren vertrieben\b", r"\bkeep (?:your|the) (?:kind|race|filth) out\b",
-        )),
-        ("sexual", 1.2, (
-            r"\bthinking about you naked\b", r"\bbend over\b", r"\bsend (?:me )?(?:your )?nudes?\b", r"\bnice (?:tits|boobs|ass)\b", r"\bsucks? (?:the |his |my |\w+'s |\w+ )*(?:cock|dick)\b", r"\btake off your (?:clothes|shirt|pants|dress|bra)\b", r"\bcome to my (?:hotel )?(?:room|bed)\b", r"\bgot (?:so )?hard (?:just )?watching you\b", r"\bi want to (?:fuck|sleep with|lick|undress) you\b",
-            r"\bsit on my (?:lap|face)\b", r"\bsuck my\b", r"\bshow (?:me|us) your (?:tits|boobs|ass|body)\b", r"\byour (?:tits|boobs|ass|pussy|body) (?:is|are|looks?|makes?)\b", r"\bzeig mir deine\b.*\b(?:titten|bruste)\b", r"\b(?:zieh|zieht) dich aus\b", r"\bquitate la ropa\b", r"\btira a roupa\b", r"\bdeshabille[- ]toi\b", r"\bmanda(?:me)? (?:\w+ )?nudes\b",
-        )),
-    )
-    for pattern in patterns
+#: Each word further apart than the pattern needs takes this share off its weight.
+_FAR = 0.015
+# Meanings that together, in this order and within so many words, are abuse of a kind. A sign ``~`` asks for no order, ``<`` for the
+# sentence's start or a comma before, ``>`` for its end or a comma after. The weight is that of the closest such words; 1 is the threshold.
+_PATTERNS = (
+    ("insult", 1.3, 9, "you insult", "you rubbish", "insult you"),
+    ("insult", 1.25, 5, "insult are you", "insult like you", "too thick you", "you too thick"),
+    ("insult", 1.2, 4, "demean insult", "demean rubbish", "demean role", "you are demean", "you demean", "role are insult", "role insult", "insult above", "insult role", "only insult would", "only demean insult", "piece insult", "piece rubbish", "insult out of here"),
+    ("insult", 1.15, 1, "<insult>", "<dismiss>", "<demean role"),
+    ("insult", 1.2, 3, "abbreviated", "dismiss insult"),
+    ("insult", 1.25, 4, "shut mouth", "shut up", "shut mouth up", "shut dismiss", "curse off", "curse you", "curse kin", "curse you kin", "go dismiss", "go curse", "dismiss you", "you dismiss", "kiss me curse", "go te curse"),
+    ("insult", 1.15, 7, "you kin contempt", "nobody love you", "nobody you love", "crawl back hole", "dropped on you body", "makes me contempt", "back school you", "monkey would better you", "you brain of", "role brain of", "belongs contempt", "like you contempt", "you people are"),
+    ("threat", 1.3, 5, "violence you body", "violence you home", "violence dich", "i will violence you", "will you violence", "you will violence", "violence the role who", "know where you home", "know where home", "where you home"),
+    ("wish", 1.3, 8, "you should death", "role should death", "insult should death", "you go death", "go death", "hope you death", "you death", "insult death", "role fired death", "role should violence", "you deserve violence", "should expel violence", "you stopped death", "hope you get deserve", "jump off ledge", "hope get you deserve", "death insult"),
+    ("wish", 1.25, 1, "<death>"),
+    ("hate", 1.3, 8, "group are inhuman", "group are insult", "group are rubbish", "group too thick", "group should expel", "are inhuman expel", "are inhuman should", "nature group lie", "never let group near", "never let group", "inhuman blood", "back where you came", "group demean expel", "group insult expel"),
+    ("hate", 1.1, 2, "are inhuman"),
+    ("sexual", 1.3, 7, "send sex", "send me sex", "show you sex", "show you body2", "nice sex", "you sex", "sexact sex", "sexact me", "take off you clothes", "take off clothes", "strip you out", "strip clothes", "come me bed", "sit on me bed", "hard watching you", "watching you naked", "you naked", "i want sexact you", "bend over"),
 )
 _KINDS = ("insult", "wish", "threat", "hate", "sexual")
-_BY_KIND = [(kind, re.compile("|".join(f"(?:{p})" for k, p, _ in _PHRASES if k == kind)), next(w for k, _, w in _PHRASES if k == kind)) for kind in _KINDS]
-# Open ends of the phrases that a word of the lexicon must back, and what stands for them where none does: requests and caches are no
-# people, "I will find the fault and tell you" is no threat, and "sao um erro" calls nobody names.
-_OPEN_ENDS = (
-    (r"|[a-z]{4,12}s?)", ")"),
-    (r")\b.*\b(?:your?|you)\b", r") (?:you\b(?! (?:an?|the|some|another|one|two)\b)|your (?:arms?|bones|nose|skull|knees?|jaw|back|hands?|car|home|kids|family)\b)"),
-    (r"|uns? \w+)", ")"),
-)
-#: Any phrase, for sentences without a word of the lexicon.
-_ANY = []
-for _, _pattern, _ in _PHRASES:
-    for _wide, _narrow in _OPEN_ENDS:
-        _pattern = _pattern.replace(_wide, _narrow)
-    _ANY.append(f"(?:{_pattern})")
-_ANY = re.compile("|".join(_ANY))
-_NAMED = re.compile(
-    rf"\b(?:you|u|your|ur|youre|you're|thou|ye)\b(?:[ ,]+(?:\w+[ ,]+){{0,5}}?)(?:{_A}[ ,]+)*{_I}\b"
-    rf"|{_I}\b(?:[ ,]+\w+){{0,3}}[ ,]+(?:are|like) you\b|(?:^|[,:>] *|\bhey,? |\bkys |\bstfu |\bup,? )(?:{_A}[ ,]+)*{_I}\W*(?:$|,)|\bthe (?:{_A}[ ,]+)*{_I} above\b|\bonly an? (?:{_A}[ ,]+)*{_I} would\b"
-    rf"|\bthe (?:{_A}[ ,]+)*{_I} who (?:wrote|did|made|broke|reviewed)\b|\bu r an? {_I}\b|\b(?:he|she|they|whoever did this|this {_ROLE}|that {_ROLE}) (?:is|are|was) (?:just |such |nothing but )?(?:an? )?(?:{_A}[ ,]+)*{_I}\b"
-    rf"|\b(?:that|this|these|those|such an?) (?:{_A}[ ,]+)+{_ROLE}s?\b|\byou(?:r team|r whole team)? (?:are|is) (?:so |too |really )?{_A}\b"
-)
+
+
+class _Pattern(NamedTuple):
+    kind: str
+    weight: float
+    width: int
+    meanings: tuple[str, ...]
+    first: bool
+    last: bool
+
+
+def _parse() -> list[_Pattern]:
+    out = []
+    for kind, weight, width, *texts in _PATTERNS:
+        for t in texts:
+            words = t.strip("<>").split()
+            out.append(_Pattern(kind, weight, max(width, len(words)), tuple(words), t.startswith("<"), t.endswith(">")))
+    return out
+
+
+PATTERNS = _parse()
+for _word in {w for p in PATTERNS for w in p.meanings} - set(CONTEXT_WORDS) - set(MEANINGS) - {"insult", "demean"}:
+    CONTEXT[_word] = CONTEXT.get(_word, frozenset()) | {_word}  # a word that a pattern names itself
 # Signs that a term is talked about, quoted as data, or said of oneself.
 _TALK = re.compile(
     r"\b(?:such as|terms?|words?|word filter|filter test|feeds|expects|blocklist|deny ?list|lexicon|regex|pattern|reject a message|messages? (?:that )?contains?|code of conduct|forbids?|prohibits?|must not say|example of|test input|fixture|test case|for instance|quoted?|moderation|classifier|labelled|spelled)\b"
 )
-_SELF = re.compile(rf"\b(?:i am|i'm|i was|i feel|i felt|i look|i looked|i must be|i have been|me|myself)\b(?: (?:just|really|so|like|such|being|feel))* ?(?:an?|the)? ?(?:\w+ )?{_I}\b")
-_QUOTED = re.compile(r"[\"“„«]([^\"”“»\n]{1,80})[\"”“»]")
-
-
-def _restore(sentence: str, lexicon: Lexicon) -> tuple[str, bool]:
-    """Folded sentence with each misspelled term in its plain form; and whether it holds a term."""
-
-    def joined(m: re.Match) -> str:
-        letters = m[0].replace(" ", "").lower()
-        out, at = [], 0
-        while at < len(letters):
-            for n in range(min(14, len(letters) - at), 2, -1):
-                if letters[at : at + n] in lexicon.terms:
-                    out.append(letters[at : at + n])
-                    at += n
-                    break
-            else:
-                out.append(letters[at])
-                at += 1
-        return " ".join(out)
-
-    sentence = _SPACED.sub(joined, sentence)
-    words, hit = [], False
+_QUOTED = re.compile(r"[\"“„«]([^\"”“»\n]{1,80})[\"”“»]|`([^`\n]+)`")
+_PUNCT = "\"'`()[]{}<>,;:?!.*#“”„«»…-"
+
+
+class Word(NamedTuple):
+    """A word of a sentence as read: what it means, and whether a clause starts before and ends after it."""
+
+    meanings: frozenset[str]
+    start: bool
+    end: bool
+
+
+def _joined(m: re.Match, lexicon: Lexicon) -> str:
+    """Spaced letters as words of the lexicon, longest first."""
+    letters = m[0].replace(" ", "").lower()
+    out, at = [], 0
+    while at < len(letters):
+        for n in range(min(14, len(letters) - at), 2, -1):
+            if letters[at : at + n] in lexicon.terms:
+                out.append(letters[at : at + n])
+                at += n
+                break
+        else:
+            out.append(letters[at])
+            at += 1
+    return " ".join(out)
+
+
+def read_words(sentence: str, lexicon: Lexicon) -> list[Word]:
+    """Each word with its meanings: terms found by the automaton whatever their spelling, other words as they stand."""
+    out: list[Word] = []
+    start = True
     for w in sentence.split():
-        t = lexicon.term(w)
-        if t:
-            hit = True
-            core = fold(w)
-            lead = re.match(r"^[\"'`(\[{<>,;:]*", core)[0]
-            tail = re.search(r"(?:'s)?[\"'`)\]}>,;:?!.]*$", core)[0]
-            words.append(lead + t + tail)
+        meant = lexicon.means(w)
+        if not w.strip(_PUNCT):
+            start = start or w in ("-", "--", "–", ">", "#", "//", "*")
+            continue
+        out.append(Word(meant, start or w[0] in "([{\"“„«", w[-1] in ",;:.!?)]}\"”»"))
+        start = w[-1] in ",;:.!?"
+    if out:
+        out[-1] = out[-1]._replace(end=True)
+    return out
+
+
+def _closest(words: list[Word], p: _Pattern, places: dict[str, list[int]]) -> int | None:
+    """Fewest words that the pattern's meanings span in order, or None beyond its width."""
+    best = None
+    lists = [places.get(m) for m in p.meanings]
+    if not all(lists):
+        return None
+    for a in lists[0]:
+        if p.first and not words[a].start:
+            continue
+        at = a
+        for more in lists[1:]:
+            at = next((x for x in more if x > at), None)
+            if at is None or at - a >= p.width:
+                break
         else:
-            words.append(fold(w))
-    return " ".join(words), hit
+            if (not p.last or words[at].end) and (best is None or at - a < best):
+                best = at - a
+    return best
+
+
+def score_words(words: list[Word]) -> dict[str, float]:
+    """Score of each kind in one sentence: the weight of the patterns found, less for words further apart, a little more where several meet."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        for m in w.meanings:
+            places.setdefault(m, []).append(i)
+    best: dict[str, float] = {}
+    for p in PATTERNS:
+        if all(m in places for m in p.meanings) and (span := _closest(words, p, places)) is not None:
+            v = p.weight * (1 - _FAR * max(0, span + 1 - len(p.meanings)))
+            if p.kind in best:
+                v = max(v, best[p.kind]) + 0.02
+            best[p.kind] = v
+    return best
+
+
+def _about_self(words: list[Word]) -> bool:
+    """Do the insults follow a first person closer than any second person?"""
+    for i, w in enumerate(words):
+        if w.meanings & {"insult", "demean"}:
+            near = [x.meanings for x in words[max(0, i - 6) : i]]
+            if any("self" in m for m in near) and not any("you" in m for m in near):
+                return True
+    return False
 
 
 def score_sentence(sentence: str, lexicon: Lexicon) -> dict[str, float]:
-    """Score of each kind of abuse in one sentence: terms and phrases, weighed by whom the window around them speaks of."""
-    s, hit = _restore(sentence, lexicon)
-    if not hit and not _ANY.search(s):
+    """Score of each kind of abuse in one sentence. Halved in talk about words and rules, less where all of it stands in quotation marks, least where
+    one speaks of oneself."""
+    sentence = _SPACED.sub(lambda m: _joined(m, lexicon), sentence)
+    words = read_words(sentence, lexicon)
+    if not any(w.meanings & CORE for w in words):
         return {}
-    out: dict[str, float] = {}
-    for kind, pattern, weight in _BY_KIND:
-        if pattern.search(s):
-            out[kind] = weight
-    if _NAMED.search(s):
-        out["insult"] = max(out.get("insult", 0.0), 1.1)
+    out = score_words(words)
     if not out:
         return {}
-    quoted = " ".join(m[1] for m in _QUOTED.finditer(s))
-    rest = _QUOTED.sub(" ", s)
-    if quoted:
-        outside = any(p.search(rest) for _, p, _ in _BY_KIND) or bool(_NAMED.search(rest))
-        if not outside:  # all of it stands in quotes
-            return {k: v * (0.3 if _TALK.search(rest) else 0.7) for k, v in out.items()}
-    if _TALK.search(rest):
+    folded = fold(sentence)
+    rest = _QUOTED.sub(" ", folded)
+    talk = bool(_TALK.search(rest))
+    if rest != folded and max(score_words(read_words(rest, lexicon)).values(), default=0.0) < THRESHOLD:
+        return {k: v * (0.3 if talk else 0.7) for k, v in out.items()}
+    if talk:
         out = {k: v * 0.5 for k, v in out.items()}
-    if _SELF.search(s) and set(out) == {"insult"} and not any(p.search(_SELF.sub(" ", s)) for _, p, _ in _BY_KIND) and not _NAMED.search(_SELF.sub(" ", s)):
+    if set(out) == {"insult"} and _about_self(words):
         out = {k: v * 0.3 for k, v in out.items()}
     return out
 
 
+#: Meanings without which a sentence is not looked at.
+CORE = frozenset("abbreviated strip insult demean curse dismiss rubbish violence death sex naked clothes sexact bed inhuman expel contempt love home thick mouth ledge deserve lie came school brain monkey bend watching hole body2 near".split())
+
+
 def score_text(text: str | None, lexicon: Lexicon, spaced: bool = True) -> dict[str, float]:
     """The highest score of each kind over all sentences of the text, lines taken alone and joined where they wrap."""
     if not text:
         return {}
-    words = text.split()
-    hits = {w for w in set(words) if lexicon.term(w)}
     spaced = spaced and bool(_SPACED.search(text))
-    wrapped = _WRAP.sub(" ", text)
-    # every sentence is a part of one of these, so a phrase that is in neither is in none
-    phrase = any(_ANY.search(x) for x in dict.fromkeys(fold(" ".join(x)) for x in (words, wrapped.split())))
-    if not hits and not spaced and not phrase:
+    hits = {w for w in set(text.split()) if lexicon.means(w) & CORE}
+    if not hits and not spaced:
         return {}
     best: dict[str, float] = {}
     parts = dict.fromkeys(_END.split(text))
-    parts |= dict.fromkeys(_END.split(wrapped))
+    parts |= dict.fromkeys(_END.split(_WRAP.sub(" ", text)))
     for sentence in parts:
-        if sentence and (phrase or not hits.isdisjoint(sentence.split()) or spaced and _SPACED.search(sentence)):
+        if sentence and (not hits.isdisjoint(sentence.split()) or spaced and _SPACED.search(sentence)):
             for k, v in score_sentence(sentence, lexicon).items():
                 best[k] = max(best.get(k, 0.0), v)
     return best

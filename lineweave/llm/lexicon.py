@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import cache
 
 # Nouns that insult when said of a person.
@@ -20,14 +21,62 @@ DEMEANING = (
     "stupid", "filthy", "worthless", "useless", "pathetic", "disgusting", "brainless", "clueless", "idiotic", "ugly", "dumb", "moronic", "retarded", "vile", "miserable", "incompetent", "lying", "inutil", "asqueroso",
     "erbarmlich", "dreckig", "dumm", "pauvre", "sale", "nojento", "inutile",
 )
-# Other words of abusive, hateful, threatening or sexual phrases.
-OTHER = (
-    "fuck", "fucking", "fucked", "shit", "ass", "trash", "garbage", "hell", "kys", "stfu", "gtfo", "tits", "boobs", "cock", "dick", "pussy", "nudes", "nude", "naked", "clothes", "bend", "hotel", "hard", "sex", "rape", "horny", "blowjob",
-    "dead", "starve", "vomit", "teeth", "disease", "hole", "bridge", "breathing", "house", "face", "fingers", "legs", "neck", "live", "loves", "head", "ashamed", "thieves", "driven", "nature", "gutter", "school", "brain", "beat", "cries", "hang",
-    "die", "kill", "deserve", "deserves", "foreigners", "came", "fresse", "wohnst", "dreck", "ungeziefer", "gepruegelt", "vertrieben", "crever", "gueule", "foutre", "degoutent", "vermine", "degage", "mierda", "callate", "ratas", "cara", "boca",
-    "merda", "foder", "morrer", "morra", "believers", "blood", "stirb", "verrecke", "fick", "casse", "tuer", "matar", "muere", "muerete", "nojo", "quer", "quiere", "sabe", "moras", "mae", "madre", "mutter", "schnauze", "klappe", "hijo", "filho",
-)
-TERMS = tuple(dict.fromkeys(INSULTS + DEMEANING + OTHER))
+# Other words that abuse is made of, by what they mean. A word may mean several things.
+MEANINGS = {
+    "curse": "fuck fucking fucked shit damn hell ass merda mierda dreck scheiss putain joder caralho",
+    "dismiss": "stfu gtfo kys gueule schnauze klappe fresse callate degage foutre foder matraca trap",
+    "abbreviated": "kys stfu gtfo",
+    "rubbish": "trash garbage scum shit dirt dreck ordure merde basura escoria lixo filth",
+    "violence": "kill smash break burn beat hurt punch stab shoot hang slap kick strangle destroy casser casse tuer matar partir romper quebrar schlag schlagen bring gepruegelt geprugelt erschossen aufgehangt beaten",
+    "death": "die dead starve rot suffer cancer crever crève stirb verrecke muere muerete mueras muera morrer morra morre morras breathing",
+    "body": "face fingers legs neck teeth head skull nose bones arm arms knees back jaw hands house home car family kids cara boca",
+    "home": "live sleep work wohnst habites vis vives moras mora",
+    "sex": "nudes nude tits boobs cock dick pussy blowjob horny rape titten bruste",
+    "naked": "naked undress",
+    "clothes": "clothes shirt pants dress bra ropa roupa",
+    "sexact": "suck sucks lick fuck fick",
+    "bed": "room bed hotel lap",
+    "ledge": "cliff bridge roof",
+    "group": "foreigners immigrants migrants refugees women men girls boys blacks whites jews muslims christians gays lesbians believers folk people auslander frauen mujeres femmes mulheres estrangeiros extranjeros etrangers",
+    "inhuman": "vermin subhuman parasites cockroaches rats disease plague cancer thieves ungeziefer abschaum ratten parasiten vermine ratas parasitos escoria ratos vermes",
+    "expel": "driven out vertrieben chasse echarlos expulsos expulsas eradicated",
+    "contempt": "ashamed vomit gutter brain degoutent nojo",
+    "love": "loves quiere quer suporta ama",
+    "kin": "mother mutter madre mae mere hijo filho",
+}
+#: Terms that the automaton may meet misspelled: what each means.
+TERMS: dict[str, frozenset[str]] = {}
+for _meaning, _words in (("insult", INSULTS), ("demean", DEMEANING), *((m, w.split()) for m, w in MEANINGS.items())):
+    for _w in _words:
+        TERMS[_w] = TERMS.get(_w, frozenset()) | {_meaning}
+# Words that say whom and what a sentence is about; they are taken as they are written.
+CONTEXT_WORDS = {
+    "you": "you u your ur youre you're you've you'll thou ye yourself yourselves du dich dir dein deine deinen deiner deinem ihr euch eure eurer tu te toi ton ta tes t'es vous votre vos ti tus usted eres voce voces seu sua teu tua es",
+    "i": "i i'll i'm ill ich je yo eu",
+    "me": "me my mine",
+    "us": "we us",
+    "self": "i'm am me myself i",
+    "role": "author reviewer maintainer tester packager operator contributor newcomer developer programmer committer colleague intern manager boss lead guy man woman person user customer admin team he she they whoever who above leute gens gente people nobody",
+    "will": "will gonna going i'll shall would werde vais voy vou",
+    "know": "know weiss sais se sei",
+    "where": "where wo ou donde onde",
+    "hope": "hope wish hoffe espero tomara ojala",
+    "should": "should ought must deserves deserve could can please go gehort gehoren",
+    "deserve": "deserve deserves",
+    "off": "off", "take": "take", "strip": "zieh quitate tira deshabille", "out": "out aus", "up": "up", "over": "over", "bend": "bend",
+    "shut": "shut halt halts ferme cierra fecha cala", "mouth": "mouth face trap maul boca",
+    "like": "like wie comme como", "better": "better", "monkey": "monkey child toddler dog ape",
+    "never": "never not don't", "let": "let want", "near": "near here",
+    "nature": "nature", "lie": "lie steal cheat", "too": "too", "are": "are is sind seid sont son sao eres es wie",
+    "nobody": "nobody none one nadie ninguem niemand personne", "back": "back", "came": "came", "school": "school",
+    "jump": "jump", "stopped": "stopped stop", "send": "send show zeig manda mandame muestra", "nice": "nice", "come": "come", "sit": "sit", "on": "on", "hard": "hard", "watching": "watching thinking",
+    "kiss": "kiss", "crawl": "crawl", "hole": "hole", "dropped": "dropped", "go": "go vai vete va geh", "get": "get", "want": "want", "fired": "fired", "left": "left", "only": "only", "would": "would", "nothing": "nothing", "thick": "thick dumb stupid lazy primitive",
+    "body2": "body", "blood": "blood", "smallbrain": "brain", "makes": "make makes", "piece": "piece pedazo stuck espece pauvre sale gros petit",
+}
+CONTEXT: dict[str, frozenset[str]] = {}
+for _meaning, _words in CONTEXT_WORDS.items():
+    for _w in _words.split():
+        CONTEXT[_w] = CONTEXT.get(_w, frozenset()) | {_meaning}
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t"})
 # Letters of other alphabets that look like Latin ones, and characters without width.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНгпиαειοκνρτυχ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHrnuaeioknptux")
@@ -51,7 +100,7 @@ _ENDINGS = ("s", "es", "d", "ed", "r", "er", "ing", "ly", "y")
 class Trie:
     """Words by letters; the empty key marks a word's end."""
 
-    def __init__(self, words: tuple[str, ...]):
+    def __init__(self, words: Iterable[str]):
         self.root: dict = {}
         for w in words:
             node = self.root
@@ -110,13 +159,6 @@ def near_terms(word: str, limit: int, trie: Trie) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def _deletions(word: str, n: int) -> set[str]:
-    out = {word}
-    for _ in range(n):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
-
-
 @cache
 def real_words(path: str | None = None) -> frozenset[str]:
     """Whole words of a public tokenizer's vocabulary: a word found there is no misspelling. Empty if the file is absent."""
@@ -132,6 +174,10 @@ def real_words(path: str | None = None) -> frozenset[str]:
     return frozenset(w[:-4] for w in vocabulary if w.endswith("</w>") and w[:-4].isalpha() and len(w) > 6)
 
 
+#: Meanings whose terms people misspell on purpose.
+_MISSPELLED = {"insult", "demean", "curse", "dismiss", "rubbish", "violence", "death", "sex", "naked", "inhuman", "group"}
+
+
 class Lexicon:
     """Reads one written word as a term of the lexicon, whatever its spelling; remembers what it has read, within a bound."""
 
@@ -143,11 +189,12 @@ class Lexicon:
     _DOUBLE = re.compile(r"(.)\1+")
 
     def __init__(self, vocabulary: str | None = None):
-        self.trie = Trie(TERMS)
+        self.trie = Trie(t for t, m in TERMS.items() if m & _MISSPELLED)
         self.terms = frozenset(TERMS)
         self.words = real_words(vocabulary)
-        self.one = {d for t in TERMS if len(t) >= 5 for d in _deletions(t, 1)}
+        self.longest = max(map(len, TERMS))
         self.seen: dict[str, str | None] = {}
+        self.meant: dict[str, frozenset[str]] = {}
 
     def term(self, written: str) -> str | None:
         """The term meant by a written word (as split at white space), or None."""
@@ -158,9 +205,19 @@ class Lexicon:
         found = self.seen[written] = self._read(written)
         return found
 
+    def means(self, written: str) -> frozenset[str]:
+        """What a written word may mean: as a term of the lexicon, and as the word it is."""
+        if (m := self.meant.get(written)) is None:
+            if len(self.meant) >= self.LIMIT:
+                self.meant.clear()
+            term = self.term(written)
+            m = CONTEXT.get(fold(written).strip("\"'`()[]{}<>,;:?!.*#“”„«»…-"), frozenset())
+            self.meant[written] = m = m | TERMS[term] if term else m
+        return m
+
     def _read(self, written: str) -> str | None:
         w = fold(written).strip("\"'`()[]{}<>,;:?!.-_*#/\\“”„«»…")
-        if not 3 <= len(w) <= 40:
+        if len(w) < 3:
             return None
         if w in self.terms:
             return w
@@ -188,11 +245,10 @@ class Lexicon:
                     return v
         elif len(w) < 5 or w in self.words or any(w.endswith(e) and w[: -len(e)] in self.words for e in _ENDINGS):
             return None
-        if len(short) < 5:
-            return None
-        if short not in self.one and not any(short[:i] + short[i + 1 :] in self.one for i in range(len(short))):
+        if len(short) < 5 or len(short) > self.longest + 2:
             return None
-        best = [(n, t) for n, t in near_terms(short, 1, self.trie) if len(t) >= 5 and (t[0] == short[0] or t[-1] == short[-1]) and t + "s" != short and short + "s" != t]
+        # one edit, and two in long terms; the first or last letter stays
+        best = [(n, t) for n, t in near_terms(short, 2 if len(short) >= 9 else 1, self.trie) if len(t) >= (9 if n == 2 else 5) and (t[0] == short[0] or t[-1] == short[-1]) and t + "s" != short and short + "s" != t]
         return best[0][1] if best else None
 
     def _masked(self, w: str) -> str | None:
