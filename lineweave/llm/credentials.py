@@ -113,20 +113,20 @@ _AUTHORITY = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s/:@'\"`<>]*):([^\s
 _PARAMETER = re.compile(r"[?&;]([A-Za-z_-]{2,30})=([^&\s'\"`#;<>)]{6,})")
 _HEADER = re.compile(r"\b(?:Bearer|Basic|Token|bearer|basic|ApiKey)[ \t]+([A-Za-z0-9._~+/=\-$!#*]{8,})")
 _HOOK = re.compile(r"https?://[^\s'\"`<>]*?(?:hooks?|webhooks?|services)[^\s'\"`<>]*/([A-Za-z0-9_-]{12,})(?=[\s'\"`<>)]|$)")
-_STRING = r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){3,300}?)(?P=q)"
+_STRING = r"(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){3,}?)(?P=q)"
 _KEYED = re.compile(
     r"(?P<k>[A-Za-z_][\w.-]{1,60})[\"'`]?[ \t]*(?::[ \t]*&?(?:'static[ \t]+)?[A-Za-z_][\w<>\[\]. ]{0,30}?)?[ \t]*(?:\)[ \t]*)?(?:={1,3}>?|:=?|,|\(|!=|<-|\?=)[ \t]*"
     r"(?P<f>(?:[A-Za-z_][\w.]{0,40}\([ \t]*)?(?:[bruf]{1,2}(?=[\"']))?)" + _STRING
 )
-_JOINED = re.compile(r"[ \t]*(?:\+|\.\.?|&|\|\|)?[ \t]*(?:\\?\n[ \t]*)?(?:\+|\.\.|&|\|\|)?[ \t]*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){2,300}?)(?P=q)")
-_BARE = re.compile(r"(?m)(?P<k>[A-Za-z_][\w.-]{1,60})[ \t]*[=:][ \t]*(?P<v>[^\s\"'`;,(){}<>\[\]&|]{5,200})(?=[\s;,&|\"'`]|$)")
+_JOINED = re.compile(r"[ \t]*(?:\+|\.\.?|&|\|\|)?[ \t]*(?:\\?\n[ \t]*)?(?:\+|\.\.|&|\|\|)?[ \t]*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){2,}?)(?P=q)")
+_BARE = re.compile(r"(?m)(?P<k>[A-Za-z_][\w.-]{1,60})[ \t]*[=:][ \t]*(?P<v>[^\s\"'`;,(){}<>\[\]&|]{5,}+)(?=[\s;,&|\"'`]|$)")
 _SPOKEN = re.compile(
     r"(?i)\b(?:pass[ -]?phrase|password|passcode|passwort|passwd|pwd|secret|token|api[ -]?key|key|log[ -]?in|login|credentials?|identified by)"
-    r"(?:[ \t]+(?:is|was|ist|lautet|es|est|to|with|of|as)\b|[ \t]+[\w.@-]{1,40}[ \t]*/)?(?:[ \t]*[:=][ \t]*|[ \t]+)(?P<q>[\"'`]?)(?P<v>[^\s\"'`,;(){}<>\[\]]{5,200})(?P=q)"
+    r"(?:[ \t]+(?:is|was|ist|lautet|es|est|to|with|of|as)\b|[ \t]+[\w.@-]{1,40}[ \t]*/)?(?:[ \t]*[:=][ \t]*|[ \t]+)(?P<q>[\"'`]?)(?P<v>[^\s\"'`,;(){}<>\[\]]{5,}+)(?P=q)"
 )
-_FALLBACK = re.compile(r"(?:lookup|getenv|get_env|get|env|environ|setting|config|default)\w*\([ \t]*[\"'`](?P<k>[\w.-]{2,60})[\"'`][ \t]*,[ \t]*(?P<q>[\"'`])(?P<v>[^\"'`\n]{4,200})(?P=q)")
-_TAGGED = re.compile(r"<([A-Za-z_][\w.-]{1,40})>([^<>\s]{5,200})</\1>")
-_CALL = re.compile(r"(?i)\b(?:login|log_in|signin|sign_in|authenticate|auth|connect|basic_auth|credentials|set_credentials)\(\s*[\"'`][^\"'`\n]{1,80}[\"'`]\s*,\s*(?P<q>[\"'`])(?P<v>[^\"'`\n]{4,200})(?P=q)")
+_FALLBACK = re.compile(r"(?:lookup|getenv|get_env|get|env|environ|setting|config|default)\w*\([ \t]*[\"'`](?P<k>[\w.-]{2,60})[\"'`][ \t]*,[ \t]*(?P<q>[\"'`])(?P<v>[^\"'`\n]{4,}+)(?P=q)")
+_TAGGED = re.compile(r"<([A-Za-z_][\w.-]{1,40})>([^<>\s]{5,}+)</\1>")
+_CALL = re.compile(r"(?i)\b(?:login|log_in|signin|sign_in|authenticate|auth|connect|basic_auth|credentials|set_credentials)\(\s*[\"'`][^\"'`\n]{1,80}[\"'`]\s*,\s*(?P<q>[\"'`])(?P<v>[^\"'`\n]{4,}+)(?P=q)")
 _SWITCH = re.compile(r"(?:^|\s)(?:-u|--user|--userpwd)[ =]?['\"]?([\w.@-]+):([^\s'\"]{4,100})")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{18,80}={0,2}(?![A-Za-z0-9+/_-])")
 _COVERED = re.compile(r"data:[a-z]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+|-----BEGIN [A-Z0-9 ]*(?:PUBLIC KEY|CERTIFICATE)[A-Z ]*-----.*?(?:-----END [A-Z0-9 ]+-----|$)|\b(?:sha\d+|md5)[-:][A-Za-z0-9+/=]+", re.S)
@@ -305,6 +305,11 @@ def _line(text: str, lo: int, hi: int, out: list[Found]) -> None:
             out.append(Found(*m.span(), v, "shape"))
 
 
+def unmistakable(f: Found) -> bool:
+    """Is it a private key or an identifier that only a vendor issues?"""
+    return f.rule == "private key" or bool((m := _FORMS.match(f.value)) and (m["id"] or m["sg"]))
+
+
 def structured(f: Found) -> bool:
     """Is the value's own form enough to know it again where no key stands beside it?"""
     return f.rule in ("private key", "form", "shape", "header") or len(f.value) >= 8 and (random_looking(f.value) or _mixed(f.value) or bool(_HEX.match(f.value) and len(f.value) >= 32))

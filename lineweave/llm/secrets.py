@@ -12,18 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm.credentials import HINT, literals, mask, structured
+from lineweave.llm.credentials import HINT, literals, mask, structured, unmistakable
 from lineweave.llm.words import bitmap, has_bit
 from lineweave.plans.durable import durable
+from lineweave.plans.skew import hot_split_join
 from lineweave.sources.tables import table
 
-#: A value in the files of more owners than this is a placeholder that people copy, however random it looks.
-MAX_OWNERS = 20
+#: A value in the files of more owners than this, and than this share of all owners, is a placeholder that people copy, however random it looks.
+MAX_OWNERS, MAX_SHARE = 20, 0.02
 #: Bits of each of the two filters of the re-scan: 4 MB, whatever the number of confirmed values.
 _BITS = 1 << 25
 #: Bytes at a value's end that the re-scan looks for first; shorter values are known only in context.
 _TAIL = 8
-#: Longer values, and private keys, are recognised by their form in every text anyway.
+#: Of longer values the re-scan looks for so many bytes at the end; the automaton then compares them whole.
 _LONGEST = 400
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -51,7 +52,12 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-_INDEX = "owner string, h bigint, value string, n_bytes int, tail_slot bigint, full_slot bigint, known boolean"
+def _key(data: bytes) -> int:
+    """By which a value and a slice of a text are joined."""
+    return _signed(xxhash.xxh64_intdigest(data[-_LONGEST:]))
+
+
+_INDEX = "owner string, h bigint, value string, n_bytes int, tail_slot bigint, full_slot bigint, known boolean, sure boolean"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +69,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             for f in literals(text):
                 data = f.value.encode("utf-8", "surrogatepass")
-                known = structured(f) and f.rule != "private key" and _TAIL <= len(data) <= _LONGEST
-                out[owner, _signed(xxhash.xxh64_intdigest(data)), f.value, len(data), _slot(_poly(data[-_TAIL:])), _slot(_poly(data)), known] = None
+                known = structured(f) and _TAIL <= len(data)
+                end = data[-_LONGEST:]
+                out[owner, _key(data), f.value, len(end), _slot(_poly(data[-_TAIL:])), _slot(_poly(end)), known, unmistakable(f)] = None
         if out:
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _INDEX.split(", ")])
 
 
@@ -94,7 +101,7 @@ def _rescan(tails, fulls, lengths: list[int]):
             texts = batch.column(2)
             rows: dict[int, set[int]] = {}
             for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, HINT), False).to_numpy(zero_copy_only=False)).tolist():
-                found = {_signed(xxhash.xxh64_intdigest(f.value.encode("utf-8", "surrogatepass"))) for f in literals(texts[i].as_py())}
+                found = {_key(f.value.encode("utf-8", "surrogatepass")) for f in literals(texts[i].as_py())}
                 if found:
                     rows[i] = found
             if len(size):
@@ -148,7 +155,7 @@ def _slices(texts: pa.Array, tail_bits: np.ndarray, full_bits: np.ndarray, size:
                     h = (r[e][:, None] - r[a0]) * power[e - 1][:, None]
                     ok &= has_bit(full_bits, _mix(h) & np.uint64(_BITS - 1))
                     for x, y in zip(*np.nonzero(ok)):
-                        yield int(rw[x]), _signed(xxhash.xxh64_intdigest(raw[lo + a[x, y] : lo + e[x]].tobytes()))
+                        yield int(rw[x]), _key(raw[lo + a[x, y] : lo + e[x]].tobytes())
         at = hi
 
 
@@ -156,23 +163,23 @@ _SPANS = "origin string, row_id bigint, line_no int, rule string, start int, len
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact places: the context rules' literals that are confirmed, and every occurrence of a known value, by an automaton of the batch's values."""
+    """Exact places: every occurrence of a row's confirmed values, by an automaton of the batch's values. A value without a form of its own counts only
+    where the context says so too."""
     for batch in batches:
         origin, ident, texts, values, marked = (batch.column(i).to_pylist() for i in range(5))
         auto = ahocorasick.Automaton()
-        for vs, ks in zip(values, marked):
-            for v, k in zip(vs, ks):
-                if k:
-                    auto.add_word(v, v)
-        if len(auto):
-            auto.make_automaton()
+        for vs in values:
+            for v in vs:
+                auto.add_word(v, v)
+        auto.make_automaton()
         out: list[tuple] = []
         for o, i, text, vs, ks in zip(origin, ident, texts, values, marked):
-            confirmed, own = set(vs), {v for v, k in zip(vs, ks) if k}
-            spans = {(f.start, f.end): f.rule for f in literals(text) if f.value in confirmed}
-            for last, v in auto.iter(text) if own else ():
-                a, b = last - len(v) + 1, last + 1
-                if v in own and not (a and text[a - 1].isalnum() and v[0].isalnum()) and not (b < len(text) and text[b].isalnum() and v[-1].isalnum()):
+            confirmed = dict(zip(vs, ks))
+            context = {(f.start, f.end): f.rule for f in literals(text)}
+            found = [(last - len(v) + 1, last + 1, v) for last, v in auto.iter(text) if v in confirmed]
+            spans = {(a, b): context[a, b] for a, b, _ in found if (a, b) in context}
+            for a, b, v in sorted(found, key=lambda x: (x[0], -x[1])):
+                if confirmed[v] and not (a and text[a - 1].isalnum() and v[0].isalnum()) and not (b < len(text) and text[b].isalnum() and v[-1].isalnum()):
                     if not any(x < b and a < y for x, y in spans):
                         spans[a, b] = "known value"
             if spans:
@@ -183,34 +190,38 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _SPANS.split(", ")])
 
 
-def find_secrets(rows: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(rows: DataFrame, max_owners: int = MAX_OWNERS, max_share: float = MAX_SHARE) -> DataFrame:
     """Every literal credential in ``rows`` (origin, row_id, owner, text): ``origin, row_id, line_no, rule, start, length, masked``, a row each.
 
     First all texts are read for literals whose form or context suggests a credential, and each value's owners are counted over the whole input: a
-    value of more than ``max_owners`` owners is a shared placeholder. What remains is confirmed, and all texts are read again: a confirmed value of a
-    form of its own is found wherever it stands, exactly located by an Aho-Corasick automaton; values without such form only where the context says
-    so. ``masked`` is the row's text with all its values masked. ``line_no`` counts from 1 and is the line on which the value starts.
+    value of more than ``max_owners`` owners that are more than ``max_share`` of all owners is a shared placeholder, unless it is a private key or an
+    issued identifier. What remains is confirmed, and all texts are read again: every row comes from an occurrence that an Aho-Corasick automaton finds
+    of a confirmed value. A value of a form of its own counts wherever it stands, one without only where the context says so. ``masked`` is the row's
+    text with all its values masked. ``line_no`` counts from 1 and is the line on which the value starts.
 
-    The second reading knows the confirmed values by two filters of 4 MB whatever their number, one over the values' last 8 bytes and one over whole
-    values, so nothing that grows with the corpus is broadcast; only texts with a hit are joined with the values, by hash, and each task's automaton
-    holds the values of its own rows. Owners are counted with map-side combining.
+    The second reading knows the confirmed values by two filters of 4 MB whatever their number, one over the values' last 8 bytes and one over their
+    last 400, so nothing that grows with the corpus is broadcast; only texts with a hit are joined with the values, by hash, and each task's automaton
+    holds the values of its own rows. Values that a large share of the rows hold are split off that join. Owners are counted with map-side combining.
 
     Null and empty texts have no credentials; a null owner counts as one owner together with others; repeated rows are reported each.
     """
     spark = rows.sparkSession
     rows = rows.select("origin", F.col("row_id").cast("bigint"), F.coalesce("owner", F.lit("")).alias("owner"), "text").filter(F.length("text") > 0)
     index = rows.select("owner", "text").mapInArrow(_index, _INDEX)
-    index = index.groupBy("owner", "h", "value", "n_bytes", "tail_slot", "full_slot").agg(F.max("known").alias("known"))
-    confirmed = index.groupBy("h", "value", "n_bytes", "tail_slot", "full_slot").agg(F.count("*").alias("owners"), F.max("known").alias("known"))
-    confirmed = durable(confirmed.filter(F.col("owners") <= max_owners).drop("owners"), "secret-values")
+    of = ["h", "value", "n_bytes", "tail_slot", "full_slot"]
+    index = durable(index.groupBy("owner", *of).agg(F.max("known").alias("known"), F.max("sure").alias("sure")), "secret-index")
+    owners = rows.agg(F.approx_count_distinct("owner", 0.01)).first()[0]
+    confirmed = index.groupBy(*of).agg(F.count("*").alias("owners"), F.max("known").alias("known"), F.max("sure").alias("sure"))
+    confirmed = durable(confirmed.filter((F.col("owners") <= max(max_owners, max_share * owners)) | F.col("sure")).drop("owners", "sure"), "secret-values")
     known = confirmed.filter("known")
     sizes = sorted(r.n_bytes for r in known.select("n_bytes").distinct().collect())  # at most _LONGEST numbers
     tails = spark.sparkContext.broadcast(bitmap(known, F.col("tail_slot"), _BITS))
     fulls = spark.sparkContext.broadcast(bitmap(known, F.col("full_slot"), _BITS))
     hits = rows.select("origin", "row_id", "text").mapInArrow(_rescan(tails, fulls, sizes), _HITS)
     hits = durable(hits.withColumn("key", F.xxhash64("text")), "secret-hits")
-    pairs = hits.select("origin", "row_id", "key", F.explode("hs").alias("h")).distinct()
-    pairs = pairs.join(confirmed.select("h", "value", "known"), "h")
+    pairs = durable(hits.select("origin", "row_id", "key", F.explode("hs").alias("h")).distinct(), "secret-pairs")
+    times = confirmed.select("h", "value", "known").join(pairs.groupBy("h").agg(F.count("*").alias("times")), "h")
+    pairs = hot_split_join(pairs, times, ["h"], "times", pairs.count())
     own = pairs.groupBy("origin", "row_id", "key").agg(F.collect_list(F.struct("value", "known")).alias("vs"))
     own = own.withColumnsRenamed({"origin": "o2", "row_id": "r2", "key": "k2"})
     same = F.col("origin").eqNullSafe(F.col("o2")) & F.col("row_id").eqNullSafe(F.col("r2")) & (F.col("key") == F.col("k2"))

@@ -63,6 +63,32 @@ def test_confirmed_values_are_found_anywhere_and_shared_ones_are_not(spark, monk
     assert find_secrets(df.limit(0)).count() == 0
 
 
+def test_long_values_and_private_keys_in_many_places(spark):
+    """A value longer than the filters' window is found again where no context tells; a private key of many owners is no placeholder, a random word is."""
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(900))
+    rows = [("c", 1, "a", f'api_key = "{long}"'), ("c", 2, "b", f"see\n\n<{long}>"), ("c", 3, "b", f"see <{long[:-1]}>")]
+    rows += [("k", i, f"o{i}", f'k = """{KEY}"""') for i in range(9)] + [("w", i, f"o{i}", 'password = "Harbor9981!"') for i in range(9)]
+    got = {(x.origin, x.row_id, x.line_no) for x in find_secrets(spark.createDataFrame(rows, SCHEMA), max_owners=5).collect()}
+    assert got == {("c", 1, 1), ("c", 2, 3), *(("k", i, 1) for i in range(9))}
+
+
+def test_without_the_automaton_nothing_is_found(spark, monkeypatch):
+    """The ablation: every row stems from an occurrence that the automaton finds."""
+    from lineweave.llm.secrets import _locate
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"origin": ["c"], "row_id": [1], "text": ['password = "Harbor9981!"'], "values": [["Harbor9981!"]], "known": [[False]]})
+    assert sum(b.num_rows for b in _locate(iter([batch]))) == 1
+
+    class Deaf:
+        add_word = make_automaton = lambda *_: None
+        iter = lambda *_: ()
+
+    monkeypatch.setattr(secrets.ahocorasick, "Automaton", Deaf)
+    assert sum(b.num_rows for b in _locate(iter([batch]))) == 0
+
+
 def test_slices_find_every_known_value_and_nothing_else(monkeypatch):
     import numpy as np
     import pyarrow as pa
