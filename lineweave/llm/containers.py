@@ -17,7 +17,7 @@ from lineweave.plans.durable import durable
 from lineweave.sources.tables import table
 
 #: Items of a shard, islands a shard, epochs between migrations, individuals an island, offspring an epoch.
-SHARD, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 1000, 2, 2, 5, 10
+SHARD, ISLANDS, EPOCHS, POPULATION, OFFSPRING = 1000, 3, 3, 8, 40
 #: Containers filled less than this share are emptied and packed again across shards.
 WELL_FILLED = 0.97
 _PIECE = re.compile(r" (?=\S)")
@@ -149,10 +149,57 @@ def _cross(a: _Packing, b: _Packing, rng: random.Random) -> _Packing:
             loose += [i for i in items if i not in moved]
         else:
             child.add_bin(list(items), a.load[x])
-    child.best_fit(loose)
+    child.best_fit(_exchange(child, loose))
     return child
 
 
+def _exchange(p: _Packing, loose: list[int]) -> list[int]:
+    """Displaced items in place of one or two items of a bin, where they fill it better: what is displaced then is smaller and easier to place."""
+    sizes, capacity = p.sizes, p.capacity
+    loose = sorted(loose, key=sizes.__getitem__, reverse=True)
+    for x in sorted(p.load, key=p.load.__getitem__):
+        room = capacity - p.load[x]
+        if not room or not loose:
+            continue
+        best = (0, None, None)
+        items = p.bins[x]
+        one = [(sizes[i], (i,)) for i in items]
+        two = [(sizes[i] + sizes[j], (i, j)) for n, i in enumerate(items) for j in items[:n]]
+        for gone, out in (*one, *two):
+            for into in _best_entry(loose, sizes, gone + room):
+                gain = sum(sizes[i] for i in into) - gone
+                if best[0] < gain <= room and len(into) <= len(out):
+                    best = (gain, out, into)
+            if best[0] == room:
+                break
+        gain, out, into = best
+        if out:
+            p.bins[x] = [i for i in items if i not in out] + list(into)
+            p.room.remove((room, x))
+            p.load[x] += gain
+            insort(p.room, (room - gain, x))
+            loose = sorted([i for i in loose if i not in into] + list(out), key=sizes.__getitem__, reverse=True)
+    return loose
+
+
+def _best_entry(loose: list[int], sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """The one item, and the two items, of ``loose`` (largest first) that fill ``room`` best."""
+    at = bisect_left(loose, -room, key=lambda i: -sizes[i])
+    if at < len(loose):
+        yield (loose[at],)
+    best, lo, hi = None, 0, len(loose) - 1
+    while lo < hi:
+        total = sizes[loose[lo]] + sizes[loose[hi]]
+        if total > room:
+            lo += 1
+        else:
+            if best is None or total > best[0]:
+                best = (total, (loose[lo], loose[hi]))
+            hi -= 1
+    if best:
+        yield best[1]
+
+
 def evolve(sizes: list[int], capacity: int, population: list[list[int]], seed: int, offspring: int = OFFSPRING) -> list[list[int]]:
     """One island's epoch: the population (filled up with new individuals) after ``offspring`` crossings, best first.
 
@@ -197,25 +244,44 @@ def _epoch(capacity: int, number: int):
     return run
 
 
+_PLACED = "doc_id bigint, part int, token_start bigint, size int, bin bigint, load bigint"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item of a shard with its bin and the bin's load."""
+    for batch in batches:
+        for shard, items, genes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            load: dict[int, int] = {}
+            for x, g in zip(items, genes):
+                load[g] = load.get(g, 0) + x["size"]
+            columns = [[x[k] for x in items] for k in ("doc_id", "part", "token_start", "size")]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            rows = (*columns, [shard * 10_000_000 + g for g in genes], [load[g] for g in genes])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=[x.split()[0] for x in _PLACED.split(", ")])
+
+
 def _pack_items(items: DataFrame, capacity: int, shard_items: int, tag: str) -> DataFrame:
-    """``uid, bin`` for every row of ``items`` (uid unique, size up to the capacity); bins are unique strings of digits by shard."""
+    """Every row of ``items`` (doc_id, part, token_start, size up to the capacity) with its ``bin``, a number unique in all shards, and the bin's ``load``.
+
+    The state of a shard (about ``shard_items`` items, whatever the data) moves through merge joins only, so nothing is broadcast.
+    """
     n = items.count()
     shards = max(1, -(-n // shard_items))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    grouped = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("uid", "size"))).alias("x"))  # about shard_items rows each, whatever the data
-    grouped = durable(grouped.select("shard", F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes")), f"{tag}-shards")
+    of = F.struct("doc_id", "part", "token_start", "size")
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.col("uid")), F.lit(shards)))
+    grouped = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("uid", of.alias("of")))).alias("x"))
+    grouped = durable(grouped.select("shard", F.col("x.of").alias("items")), f"{tag}-shards")
     tasks = max(1, min(shards * ISLANDS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    state = grouped.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("people"))
+    state = grouped.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.col("items.size").alias("sizes"), F.array().cast("array<array<int>>").alias("people"))
     for e in range(EPOCHS):
         state = state.repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, e), _STATE)
         if e + 1 < EPOCHS:  # each island's best individual moves on to the next island of its shard, in place of the worst there
             state = durable(state, f"{tag}-epoch")
             elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("people")[0].alias("guest"))
             kept = F.slice("people", 1, F.greatest(F.size("people") - 1, F.lit(1)))
-            state = state.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.concat(kept, F.array("guest")).alias("people"))
+            state = state.join(elite.hint("merge"), ["shard", "island"]).select("shard", "island", "sizes", F.concat(kept, F.array("guest")).alias("people"))
     best = state.groupBy("shard").agg(F.max_by(F.col("people")[0], F.struct(F.col("fitness"), -F.col("island"))).alias("genes"))
-    placed = grouped.select("shard", "uids").join(best, "shard").select("shard", F.explode(F.arrays_zip("uids", "genes")).alias("x"))
-    return placed.select(F.col("x.uids").alias("uid"), (F.col("shard") * 10_000_000 + F.col("x.genes")).alias("bin"))
+    return grouped.join(best.hint("merge"), "shard").select("shard", "items", "genes").mapInArrow(_place, _PLACED)
 
 
 def pack_documents(sizes: DataFrame, capacity: int, shard_items: int = SHARD) -> DataFrame:
@@ -239,16 +305,14 @@ def pack_documents(sizes: DataFrame, capacity: int, shard_items: int = SHARD) ->
     start = (F.col("part") - 1) * capacity
     parts = parts.select("doc_id", F.col("part").cast("int").alias("part"), start.alias("token_start"), F.least(F.col("t") - start, F.lit(capacity)).cast("int").alias("tokens"))
     parts = durable(parts.withColumn("uid", F.monotonically_increasing_id()), "containers-parts")
-    full = parts.filter(F.col("tokens") == capacity).select("uid", (-F.col("uid") - 1).alias("bin"))
-    rest = parts.filter(F.col("tokens") < capacity).select("uid", F.col("tokens").alias("size"))
-
-    first = durable(_pack_items(rest, capacity, shard_items, "containers-1").join(rest, "uid"), "containers-first")
-    load = first.groupBy("bin").agg(F.sum("size").alias("load"))
-    poor = durable(first.join(load.filter(F.col("load") < WELL_FILLED * capacity), "bin", "left_semi").select("uid", "size"), "containers-poor")
-    again = _pack_items(poor, capacity, shard_items, "containers-2").withColumn("bin", F.col("bin") + (1 << 60))
-    good = first.join(poor.select("uid"), "uid", "left_anti").select("uid", "bin")
-    bins = full.unionByName(good).unionByName(again)
-    return parts.join(bins, "uid").select("doc_id", "part", "token_start", "tokens", F.col("bin").alias("container_id"))
+    rest = parts.filter(F.col("tokens") < capacity).select("uid", "doc_id", "part", "token_start", F.col("tokens").alias("size"))
+    first = durable(_pack_items(rest, capacity, shard_items, "containers-1"), "containers-first")
+    poor = first.filter(F.col("load") < WELL_FILLED * capacity).withColumn("uid", F.monotonically_increasing_id())
+    again = _pack_items(durable(poor.select("uid", "doc_id", "part", "token_start", "size"), "containers-poor"), capacity, shard_items, "containers-2")
+    out = ["doc_id", "part", "token_start", F.col("size").alias("tokens")]
+    full = parts.filter(F.col("tokens") == capacity).select("doc_id", "part", "token_start", "tokens", (-F.col("uid") - 1).alias("container_id"))
+    good = first.filter(F.col("load") >= WELL_FILLED * capacity).select(*out, F.col("bin").alias("container_id"))
+    return full.unionByName(good).unionByName(again.select(*out, (F.col("bin") + (1 << 60)).alias("container_id")))
 
 
 #: Tokens a container of the query holds.
