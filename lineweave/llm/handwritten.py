@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +74,18 @@ _EMACS = re.compile(r"-\*-.*buffer-read-only: t.*-\*-|\bmachine output of\b", re
 _COMMENT = re.compile(_LEAD + r"[^\n]*", re.M)
 
 
-def telling_notes(text: str) -> list[tuple[str, str]]:
-    """The comment lines of a text that say something of their file, with what they say. A text in which one says that it was written by hand has none."""
+def telling_notes(text: str) -> tuple[list[tuple[str, str]], bool]:
+    """The comment lines of a text that say something of their file, with what they say; and whether one says that it was written by hand."""
     lines = _COMMENT.findall(text)
+    if not lines:
+        return [], False
+    notes = "\n".join(lines)
+    if hand := bool(_BY_HAND.search(notes)):
+        return [], True
     if "sourceMappingURL" not in text:
-        notes = "\n".join(lines)
-        if not notes or not (_GENERATED.search(notes) or _EMACS.search(notes) or _VENDORED.search(notes) or _HOLDER_FORM.search(notes)):
-            return []
-    return [(x.strip(), kind) for x in dict.fromkeys(lines) if (kind := note_kind(x))]
+        if not (_GENERATED.search(notes) or _EMACS.search(notes) or _VENDORED.search(notes) or _HOLDER_FORM.search(notes)):
+            return [], hand
+    return [(x.strip(), kind) for x in dict.fromkeys(lines) if (kind := note_kind(x))], hand
 
 
 _SLOT = re.compile(r"\S*\d\S*|\w+(?:[./_@-]\w+)+")
@@ -172,8 +176,7 @@ def own_shape(path: str | None, size: int | None, text: str | None, repo: str |
     if ext in PROSE:
         said = [k for k in said if k == "vendored: path"]
     elif text:
-        if not _BY_HAND.search(text):
-            said += [k if k != "holder" else None if says_own(x, repo, path) else "vendored: holder" for x, k in telling_notes(text)]
+        said += [k if k != "holder" else None if says_own(x, repo, path) else "vendored: holder" for x, k in telling_notes(text)[0]]
         said.append("minified: density" if dense(text, ext) else None)
     return next((k for k in said if k), None)
 
@@ -200,23 +203,33 @@ def _kind(token: str) -> str:
     return token
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(4095, _BASE, dtype=np.uint64)]))
+class _Powers:
+    """Powers of an odd number and of its inverse, as many as have been asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            base = 0x9E3779B97F4A7C15
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(2 * n, b, dtype=np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def _segments(kinds: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and hash of each non-empty run of kinds between breaks."""
+    """Start, length and hash of each non-empty run of kinds between breaks: differences of a running hash, shifted to the run's start."""
     at = np.flatnonzero(breaks)
     starts = np.concatenate(([0], at + 1))
-    sizes = np.concatenate((at, [len(kinds)])) - starts
-    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
-    if not len(starts):
-        return starts, sizes, np.empty(0, dtype=np.uint64)
-    place = np.arange(len(kinds)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(kinds)])))) if starts[0] == 0 else None
-    if place is None:
-        place = np.arange(len(kinds)) - np.concatenate((np.zeros(starts[0], dtype=np.int64), np.repeat(starts, np.diff(np.concatenate((starts, [len(kinds)]))))))
-    x = np.where(breaks, np.uint64(0), kinds * _POWERS[place & 4095] + (place >> 12).astype(np.uint64) * np.where(breaks, np.uint64(0), kinds))
-    return starts, sizes, np.add.reduceat(x, starts)
+    ends = np.concatenate((at, [len(kinds)]))
+    some = ends > starts
+    starts, ends = starts[some], ends[some]
+    up, down = _POWERS.of(len(kinds) + 1)
+    running = np.zeros(len(kinds) + 1, dtype=np.uint64)
+    np.cumsum(kinds * up[:-1], dtype=np.uint64, out=running[1:])
+    return starts, ends - starts, (running[ends] - running[starts]) * down[starts]
 
 
 def repetition(text: str, literal: float, count: int, longest: int, config: bool, kinds: np.ndarray, breaks: np.ndarray) -> str | None:
@@ -285,10 +298,10 @@ def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.min(out, axis=0).astype(np.uint64)
 
 
-def _sketch(low: np.ndarray) -> list[int]:
+def _sketch(low: np.ndarray) -> np.ndarray:
     """Two bits of each minimum, 32 minima a number."""
     bits = ((low >> np.uint64(7)) & np.uint64(3)).reshape(-1, 32)
-    return (bits << _TWOS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+    return (bits << _TWOS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 _TWOS = np.arange(0, 64, 2, dtype=np.uint64)
@@ -329,12 +342,21 @@ def form_shingles(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, boo
     return every, bool(np.minimum(*times).sum() >= SIMILAR * np.maximum(*times).sum())
 
 
-def _class(shingles: np.ndarray, names: np.ndarray | None, view: bytes) -> tuple[int, int, list[int], list[int]]:
+_NONE = np.empty(0, dtype=np.int64)
+
+
+def _lists(arrays: Sequence[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as one list column."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
+def _class(shingles: np.ndarray, names: np.ndarray | None, view: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     bands, rows = _MASKED
     m = _minima(shingles, _SKETCH)
     more = _minima(names, _NAME_SKETCH) if names is not None else np.zeros(_NAME_SKETCH, dtype=np.uint64)
     key = view + shingles.tobytes() + (b"/" + names.tobytes() if names is not None else b"")
-    return int(np.int64(xxhash.xxh64_intdigest(key) >> 1)), len(shingles), _grouped(m, bands, rows).tolist(), _sketch(m) + _sketch(more)
+    return int(np.int64(xxhash.xxh64_intdigest(key) >> 1)), len(shingles), _grouped(m, bands, rows), np.concatenate([_sketch(m), _sketch(more)])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,10 +371,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ext = extension(path)
             repo_key, path_key = xxhash.xxh64_intdigest(repo) >> 1, xxhash.xxh64_intdigest(path) >> 1
             hand, notes, lit, shape, alone = False, [], False, None, False
-            body = form = (None, 0, (), ())
+            body = form = (None, 0, _NONE, _NONE)
             if text and ext not in PROSE:
-                hand = bool(_BY_HAND.search(text))
-                for x, kind in () if hand else telling_notes(text):
+                told, hand = telling_notes(text)
+                for x, kind in told:
                     if kind != "holder" or not says_own(x, repo, path):
                         notes.append(f"{'vendored: holder' if kind == 'holder' else kind}|{' '.join(note_words(x))}")
                 tokens = _TOKEN.findall(text)
@@ -381,7 +403,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = [f"{kind}|{m}" for m in marks if (kind := mark_kind(m)) and (ext not in PROSE or kind.startswith("vendored"))]
             out.append((ident, repo_key, path_key, hand, notes, marks, *body, lit, shape, *form, alone))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _OWN.split(", ")])
+            yield pa.RecordBatch.from_arrays([_lists(c) if t is longs else pa.array(c, t) for c, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _OWN.split(", ")])
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -451,21 +473,21 @@ def _note_shingles(note: str, known: WordHashes) -> np.ndarray:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles, and names of a body, of one text a class."""
     known, words = _Tokens(), WordHashes()
-    longs = pa.list_(pa.int64())
     for batch in batches:
         out: list[tuple] = []
         for ident, text, view in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if view == "n":
-                out.append((ident, _note_shingles(text, words).view(np.int64).tolist(), []))
+                out.append((ident, _note_shingles(text, words).view(np.int64), _NONE))
                 continue
             k, w, sizes = known.read(_TOKEN.findall(text))
             if view == "f":
-                out.append((ident, form_shingles(k, sizes)[0].view(np.int64).tolist(), []))
+                out.append((ident, form_shingles(k, sizes)[0].view(np.int64), _NONE))
             else:
                 code = k != np.uint64(_LINE)
-                out.append((ident, _shingles(k[code]).view(np.int64).tolist(), np.unique(w[k == np.uint64(_I)]).view(np.int64).tolist()))
+                out.append((ident, _shingles(k[code]).view(np.int64), np.unique(w[k == np.uint64(_I)]).view(np.int64)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), longs, longs))], names=[x.split()[0] for x in _COMPARED.split(", ")])
+            ids, shingles, names = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(shingles), _lists(names)], names=[x.split()[0] for x in _COMPARED.split(", ")])
 
 
 _NOTED = "masked string, cls bigint, n bigint, keys array<bigint>, sketch array<bigint>"
@@ -479,7 +501,7 @@ def _note_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         notes = batch.column(0).to_pylist()
         out = [(x, *_class(_note_shingles(x.split("|", 1)[1], known), None, b"n" + x.encode())) for x in notes]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), longs, longs))], names=[x.split()[0] for x in _NOTED.split(", ")])
+            yield pa.RecordBatch.from_arrays([_lists(c) if t is longs else pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), longs, longs))], names=[x.split()[0] for x in _NOTED.split(", ")])
 
 
 def _masked_notes(own: DataFrame) -> DataFrame:
@@ -509,7 +531,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
 
     A missing text is clustered by path, and by size beyond what anybody types. Rows delivered twice have one path and never count as copies of each
     other. Prose is clustered by folder only, configuration not by its whole text. Null paths count as empty. ``file_id`` must be unique. The work in a
-    bucket grows with the square of its different classes, and a bucket is one task's; joins by a mark or note split keys that many files share.
+    bucket grows with the square of its different classes, and a bucket is one task's; files clustered by their forms are not paired by their bodies; joins by a mark or note split keys that many files share.
     """
     files = files.select(F.col("file_id").cast("bigint"), F.coalesce("repo", F.lit("")).alias("repo"), F.col("relative_path"), F.col("size_bytes").cast("bigint"), "text")
     own = durable(files.mapInArrow(_own, _OWN), "files-own")
@@ -525,7 +547,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     by_path = hot_split_join(marks, shared, ["mark"], "files", total).select("file_id", F.split_part("mark", F.lit("|"), F.lit(1)).alias("reason"))
 
     bodies = own.filter("cls is not null").groupBy("cls").agg(
-        F.min("file_id").alias("one"), *places, F.lit(True).alias("need"), F.max("lit").alias("lit"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+        F.min("file_id").alias("one"), *places, F.max(F.col("shape").isNull()).alias("need"), F.max("lit").alias("lit"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
     )
     forms = own.filter("fcls is not null").groupBy(F.col("fcls").alias("cls")).agg(
         F.min("file_id").alias("one"), *places, F.min("alone").alias("alone"), F.first("fn").alias("n"), F.first("fkeys").alias("keys"), F.first("fsketch").alias("sketch"),
