@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -48,6 +48,7 @@ class _Pattern(NamedTuple):
     meanings: tuple[str, ...]
     first: bool
     last: bool
+    needs: frozenset[str]
 
 
 def _parse() -> list[_Pattern]:
@@ -55,7 +56,7 @@ def _parse() -> list[_Pattern]:
     for kind, weight, width, *texts in _PATTERNS:
         for t in texts:
             words = t.strip("<>").split()
-            out.append(_Pattern(kind, weight, max(width, len(words)), tuple(words), t.startswith("<"), t.endswith(">")))
+            out.append(_Pattern(kind, weight, max(width, len(words)), tuple(words), t.startswith("<"), t.endswith(">"), frozenset(words)))
     return out
 
 
@@ -130,15 +131,25 @@ def _closest(words: list[Word], p: _Pattern, places: dict[str, list[int]]) -> in
     return best
 
 
-def score_words(words: list[Word]) -> dict[str, float]:
+#: Meanings without which a sentence is not looked at.
+CORE = frozenset("shut dropped let abbreviated strip insult demean curse dismiss rubbish violence death sex naked clothes sexact bed inhuman expel contempt love home thick mouth ledge deserve lie came school brain monkey bend watching hole body2 near".split())
+
+
+def possible(words: Iterable[str], lexicon: Lexicon) -> list[_Pattern]:
+    """The patterns whose meanings all occur among the words."""
+    seen = frozenset().union(*{lexicon.means(w) for w in words})
+    return [p for p in PATTERNS if p.needs <= seen] if not CORE.isdisjoint(seen) else []
+
+
+def score_words(words: list[Word], patterns: Iterable[_Pattern] = PATTERNS) -> dict[str, float]:
     """Score of each kind in one sentence: the weight of the patterns found, less for words further apart, a little more where several meet."""
     places: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         for m in w.meanings:
             places.setdefault(m, []).append(i)
     best: dict[str, float] = {}
-    for p in PATTERNS:
-        if all(m in places for m in p.meanings) and (span := _closest(words, p, places)) is not None:
+    for p in patterns:
+        if (span := _closest(words, p, places)) is not None:
             v = p.weight * (1 - _FAR * max(0, span + 1 - len(p.meanings)))
             if p.kind in best:
                 v = max(v, best[p.kind]) + 0.02
@@ -160,16 +171,17 @@ def score_sentence(sentence: str, lexicon: Lexicon) -> dict[str, float]:
     """Score of each kind of abuse in one sentence. Halved in talk about words and rules, less where all of it stands in quotation marks, least where
     one speaks of oneself."""
     sentence = _SPACED.sub(lambda m: _joined(m, lexicon), sentence)
-    words = read_words(sentence, lexicon)
-    if not any(w.meanings & CORE for w in words):
+    patterns = possible(sentence.split(), lexicon)
+    if not patterns:
         return {}
-    out = score_words(words)
+    words = read_words(sentence, lexicon)
+    out = score_words(words, patterns)
     if not out:
         return {}
     folded = fold(sentence)
     rest = _QUOTED.sub(" ", folded)
     talk = bool(_TALK.search(rest))
-    if rest != folded and max(score_words(read_words(rest, lexicon)).values(), default=0.0) < THRESHOLD:
+    if rest != folded and max(score_words(read_words(rest, lexicon), patterns).values(), default=0.0) < THRESHOLD:
         return {k: v * (0.3 if talk else 0.7) for k, v in out.items()}
     if talk:
         out = {k: v * 0.5 for k, v in out.items()}
@@ -178,18 +190,15 @@ def score_sentence(sentence: str, lexicon: Lexicon) -> dict[str, float]:
     return out
 
 
-#: Meanings without which a sentence is not looked at.
-CORE = frozenset("abbreviated strip insult demean curse dismiss rubbish violence death sex naked clothes sexact bed inhuman expel contempt love home thick mouth ledge deserve lie came school brain monkey bend watching hole body2 near".split())
-
-
 def score_text(text: str | None, lexicon: Lexicon, spaced: bool = True) -> dict[str, float]:
     """The highest score of each kind over all sentences of the text, lines taken alone and joined where they wrap."""
     if not text:
         return {}
     spaced = spaced and bool(_SPACED.search(text))
-    hits = {w for w in set(text.split()) if lexicon.means(w) & CORE}
-    if not hits and not spaced:
+    written = set(text.split())
+    if not spaced and not possible(written, lexicon):
         return {}
+    hits = {w for w in written if not CORE.isdisjoint(lexicon.means(w))}
     best: dict[str, float] = {}
     parts = dict.fromkeys(_END.split(text))
     parts |= dict.fromkeys(_END.split(_WRAP.sub(" ", text)))

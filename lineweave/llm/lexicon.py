@@ -110,23 +110,41 @@ class Trie:
 
 
 class Levenshtein:
-    """Automaton of all strings within ``limit`` edits of ``word``. A state lists (position, edits) as positions and edits in two tuples."""
+    """Automaton of all strings within ``limit`` edits of ``word``. A state is a first position, further positions relative to it, and the edits at each.
+
+    What a step does depends only on which of the next letters match, so steps are computed once for all words and remembered.
+    """
+
+    _STEPS: dict[tuple, tuple[int, tuple[int, ...], tuple[int, ...]] | None] = {}
 
     def __init__(self, word: str, limit: int):
-        self.word, self.limit = word, limit
+        self.word, self.limit, self.length = word, limit, len(word)
+        self.where: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.where[c] = self.where.get(c, 0) | 1 << i
+
+    def start(self) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+        n = min(self.limit, self.length) + 1
+        return 0, tuple(range(n)), tuple(range(n))
 
-    def start(self) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        n = min(self.limit, len(self.word)) + 1
-        return tuple(range(n)), tuple(range(n))
+    def step(self, state: tuple[int, tuple[int, ...], tuple[int, ...]], c: str) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        base, at, cost = state
+        span = at[-1] + 1
+        room = self.length - base
+        key = (at, cost, (self.where.get(c, 0) >> base) & ((1 << span) - 1), room if room < span else span, base == 0, self.limit)
+        try:
+            after = self._STEPS[key]
+        except KeyError:
+            after = self._STEPS[key] = self._step(*key)
+        return None if after is None else (base + after[0], after[1], after[2])
 
-    def step(self, state: tuple[tuple[int, ...], tuple[int, ...]], c: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        at, cost = state
-        word, limit = self.word, self.limit
-        places, costs = ([at[0]], [cost[0] + 1]) if at and at[0] == 0 and cost[0] < limit else ([], [])
+    @staticmethod
+    def _step(at: tuple[int, ...], cost: tuple[int, ...], match: int, room: int, first: bool, limit: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        places, costs = ([0], [cost[0] + 1]) if first and at[0] == 0 and cost[0] < limit else ([], [])
         for j, i in enumerate(at):
-            if i == len(word):
+            if i == room:
                 break
-            v = cost[j] + (word[i] != c)
+            v = cost[j] + (not match >> i & 1)
             if places and places[-1] == i:
                 v = min(v, costs[-1] + 1)
             if j + 1 < len(at) and at[j + 1] == i + 1:
@@ -134,17 +152,18 @@ class Levenshtein:
             if v <= limit:
                 places.append(i + 1)
                 costs.append(v)
-        return tuple(places), tuple(costs)
+        return (places[0], tuple(p - places[0] for p in places), tuple(costs)) if places else None
 
-    def edits(self, state: tuple[tuple[int, ...], tuple[int, ...]]) -> int | None:
-        at, cost = state
-        return cost[-1] if at and at[-1] == len(self.word) else None
+    def edits(self, state: tuple[int, tuple[int, ...], tuple[int, ...]]) -> int | None:
+        base, at, cost = state
+        return cost[-1] if base + at[-1] == self.length else None
 
 
 def near_terms(word: str, limit: int, trie: Trie) -> list[tuple[int, str]]:
     """(edits, term) of the trie's words within ``limit`` edits of ``word``: the automaton's states and the trie's nodes, walked together."""
     auto = Levenshtein(word, limit)
     out, todo = [], [(trie.root, auto.start())]
+    step = auto.step
     while todo:
         node, state = todo.pop()
         for c, child in node.items():
@@ -152,10 +171,8 @@ def near_terms(word: str, limit: int, trie: Trie) -> list[tuple[int, str]]:
                 d = auto.edits(state)
                 if d is not None:
                     out.append((d, child))
-            else:
-                after = auto.step(state, c)
-                if after[0]:
-                    todo.append((child, after))
+            elif (after := step(state, c)) is not None:
+                todo.append((child, after))
     return sorted(out)
 
 
