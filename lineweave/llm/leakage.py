@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm.words import WordHashes, bitmap, has_bit, ngrams
 from lineweave.plans.durable import durable
+from lineweave.plans.skew import hot_split_join
 from lineweave.sources.tables import table
 
 _WORD = re.compile("[A-Za-z0-9]+")
@@ -19,8 +20,10 @@ _WORD = re.compile("[A-Za-z0-9]+")
 RUN, SEED = 10, 5
 #: A run that more items than this hold is a stock phrase.
 MAX_ITEMS = 3
-#: Bits of the filter that keeps corpus runs without a partner from being shuffled: 4 MB, whatever the number of items.
-_BITS = 1 << 25
+#: Bits of the filter that keeps corpus runs without a partner from being shuffled: 16 a seed, at least 4 MB and at most 128 MB.
+_BITS, _MOST_BITS = 1 << 25, 1 << 30
+#: Cells of the alignment tables that are filled at once.
+_CELLS = 1 << 22
 #: Up to so many seeds (24 bytes each) are broadcast; more go through a shuffle join.
 BROADCAST_SEEDS = 1_000_000
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
@@ -50,6 +53,7 @@ def _passages(bits, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         filled = np.frombuffer(bits.value, dtype=np.uint8)
+        last = np.uint64(8 * len(filled) - 1)
         for batch in batches:
             ids, words, lengths = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -66,7 +70,7 @@ def _passages(bits, reach: int):
             hits: list[tuple[np.ndarray, np.ndarray]] = []
             for n in (SEED, RUN):
                 g = ngrams(h, n)
-                slot = g.view(np.uint64) & np.uint64(_BITS - 1)
+                slot = g.view(np.uint64) & last
                 at = np.flatnonzero(has_bit(filled, slot))
                 doc = np.searchsorted(ends, at, side="right")
                 at = at[at + n <= ends[doc]]  # a run over two documents is none
@@ -123,8 +127,13 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, item, passage, text, field, runs = (batch.column(i).to_pylist() for i in range(6))
         order = sorted(range(len(doc)), key=lambda i: len(passage[i]))
         out: list[tuple] = []
-        for s in range(0, len(order), 128):
-            part = order[s : s + 128]
+        s = 0
+        while s < len(order):
+            n = 1  # passages come by length, so the last of a part is its longest
+            while n < 128 and s + n < len(order) and (n + 1) * len(passage[order[s + n]]) <= _CELLS:
+                n += 1
+            part = order[s : s + n]
+            s += n
             pairs = [(known.of(words_of(text[i])), known.of(passage[i].split())) for i in part]
             for i, (a, b), score in zip(part, pairs, align(pairs).tolist()):
                 shown = bool(runs[i]) and bool(np.isin(ngrams(b, RUN), np.array(runs[i], dtype=np.int64)).any())
@@ -147,7 +156,9 @@ def leaked(items: DataFrame, documents: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters and digits without case. Null and empty texts show nothing. Repeated documents each give their rows under their
     own identifiers; pairs come once. Documents are read once; only passages around seeds are shuffled. The filter that finds them is 4 MB whatever
-    the number of items (it lets more through as it fills), and seeds are broadcast only up to a checked number.
+    the number of items up to 2 million seeds, and 16 bits a seed up to 128 MB; seeds are broadcast only up to a checked number, beyond it those that many
+    passages hold are split off the shuffle. Rarity is counted over items: a run that the corpus repeats costs an alignment each time, as each
+    document that holds it is to be reported.
     """
     spark = documents.sparkSession
     items = items.select(F.col("item_id").cast("bigint"), F.col("field").cast("string"), "text").filter(F.col("text").isNotNull()).distinct()
@@ -155,16 +166,23 @@ def leaked(items: DataFrame, documents: DataFrame) -> DataFrame:
     holders = seeds.groupBy("h").agg(F.countDistinct("item_id").alias("k")).filter(F.col("k") <= MAX_ITEMS).select("h")
     rare = durable(seeds.join(holders, "h"), "leak-seeds")
 
-    bits = spark.sparkContext.broadcast(bitmap(rare, F.col("h").bitwiseAND(F.lit(_BITS - 1)), _BITS))
+    n_seeds = rare.count()
+    slots = _BITS
+    while slots < min(_MOST_BITS, 16 * n_seeds):
+        slots *= 2
+    bits = spark.sparkContext.broadcast(bitmap(rare, F.col("h").bitwiseAND(F.lit(slots - 1)), slots))
 
     longest = items.agg(F.coalesce(F.max(F.regexp_count("text", F.lit("[A-Za-z0-9]+"))), F.lit(0))).first()[0]
-    reach = min(max(longest, RUN), 2000)
+    reach = max(longest, RUN)
     found = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_passages(bits, reach), "doc_id bigint, at int, passage string, hs array<bigint>")
     found = durable(found, "leak-passages")
-    n_seeds = rare.count()
     keys = rare.select("h", "item_id", "field").distinct()
-    keys = F.broadcast(keys) if n_seeds <= BROADCAST_SEEDS else keys
-    pairs = found.select("doc_id", "at", F.explode("hs").alias("h")).join(keys, "h").select("doc_id", "at", "item_id", "field").distinct()
+    held = found.select("doc_id", "at", F.explode("hs").alias("h"))
+    if n_seeds <= BROADCAST_SEEDS:
+        met = held.join(F.broadcast(keys), "h")
+    else:  # a seed that much of the corpus holds is split off the shuffle
+        met = hot_split_join(held, keys.join(held.groupBy("h").agg(F.count("*").alias("times")), "h"), ["h"], "times", held.count())
+    pairs = met.select("doc_id", "at", "item_id", "field").distinct()
     runs = rare.filter(F.col("n") == RUN).groupBy("item_id", "field").agg(F.collect_set("h").alias("runs"))
     texts = items.join(runs, ["item_id", "field"], "left")
     texts = F.broadcast(texts) if n_seeds <= BROADCAST_SEEDS else texts

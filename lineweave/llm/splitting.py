@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lineweave.sources.tables import table
 
@@ -70,14 +71,20 @@ class _Tree:
     def pieces(self) -> list[tuple[int, int]]:
         return self._pack()
 
-    def _merge(self, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Siblings in order, neighbours joined while they fit."""
+    def _merge(self, parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """Pieces of siblings in order. Neighbours that are whole (one piece each) are joined while they fit, and a node's own first line with whatever
+        follows it; the pieces of an oversized sibling are joined with nothing else, so that a cut never lies beside a boundary it could have used."""
         out: list[tuple[int, int]] = []
-        for a, b in parts:
-            if out and b - out[-1][0] <= self.limit:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
+        open_, head = False, False
+        for n, pieces in enumerate(parts):
+            whole = len(pieces) == 1
+            for k, (a, b) in enumerate(pieces):
+                if out and k == 0 and open_ and (whole or head) and b - out[-1][0] <= self.limit:
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+            if pieces:
+                open_, head = whole, n == 0
         return out
 
     def _pack(self) -> list[tuple[int, int]]:
@@ -87,7 +94,7 @@ class _Tree:
             i, j, a, b = todo.pop()
             if i < 0:  # all -i children are done
                 parts = [done.pop() for _ in range(-i)]
-                done.append(self._merge([x for part in reversed(parts) for x in part]))
+                done.append(self._merge(parts[::-1]))
                 continue
             if b - a <= self.limit:
                 done.append([(a, b)] if b > a else [])
@@ -110,10 +117,7 @@ class _Tree:
             ends = {m.end() for m in boundary.finditer(self.text, lo, hi)}
             cuts = [a, *(t for t in range(a + 1, b) if self.tokens[t][0] in ends), b]
             if len(cuts) > 2:
-                parts: list[tuple[int, int]] = []
-                for x, y in zip(cuts, cuts[1:]):
-                    parts += [(x, y)] if y - x <= self.limit else self._line(x, y)
-                return self._merge(parts)
+                return self._merge([[], *([(x, y)] if y - x <= self.limit else self._line(x, y) for x, y in zip(cuts, cuts[1:]))])
         return [(x, min(x + self.limit, b)) for x in range(a, b, self.limit)]
 
 
@@ -201,11 +205,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).filter(F.col("piece_no") == 2).select("origin", "row_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p6_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each cut row must satisfy: without the tokens shared with the piece before they are the row's tokens in order, none is over the
+    limit, and every later piece shares the asked overlap."""
+    p = p6_pieces(spark, sf_dir)
+    own = F.slice(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), 1), F.col("shared_tokens") + 1, F.col("token_count"))
+    before = F.sum(F.col("token_count") - F.col("shared_tokens")).over(Window.partitionBy("origin", "row_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("own", own).withColumn("fits", (F.col("token_count") <= 256) & (F.col("shared_tokens") == F.least(F.lit(32), F.coalesce(before, F.lit(0)))) & (F.size("own") == F.col("token_count") - F.col("shared_tokens")))
+    rows = p.groupBy("origin", "row_id").agg(F.bool_and("fits").alias("fits"), F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("x"))
+    tokens = F.flatten(F.transform("x", lambda y: y.own))
+    return rows.select("origin", "row_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("digest"), "fits")
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_partition": p6_partition}
+_BIG = r"""from (
+  select 'raw_spans' as origin, span_id as row_id, regexp_extract_all(text, '[^ \t\n\r]+') as w from raw_spans
+  union all select 'symbols', symbol_id, regexp_extract_all(text, '[^ \t\n\r]+') from symbols)
+where len(w) > 256"""
 SQL = {
-    "p6_found": r"""
-select origin, row_id from (
-  select 'raw_spans' as origin, span_id as row_id, text from raw_spans
-  union all select 'symbols', symbol_id, text from symbols)
-where len(regexp_extract_all(text, '[^ \t\n\r]+')) > 256"""
+    "p6_found": f"select origin, row_id {_BIG}",
+    "p6_partition": f"select origin, row_id, len(w)::bigint as n_tokens, md5(array_to_string(w, ' ')) as digest, true as fits {_BIG}",
 }

@@ -67,3 +67,24 @@ def test_edited_copies_score_high_and_empty_tables_give_nothing(spark):
     (row,) = leaked(i, d).collect()
     assert row.doc_id == 1 and not row.shown and 0.75 < row.share < 1
     assert leaked(i.limit(0), d).count() == 0 and leaked(i, d.limit(0)).count() == 0
+
+
+def test_recall_of_edited_copies(spark):
+    """Items of 40 words copied with a share of their words dropped, replaced or doubled, in the midst of other text."""
+    r = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, "a", " ".join(r.choice(vocabulary) for _ in range(40))) for i in range(200)]
+    docs, rates = [], {}
+    for i, _, text in items:
+        for k, rate in enumerate((0.05, 0.1, 0.15)):
+            out = []
+            for w in text.split():
+                x = r.random()
+                out += [] if x < rate / 3 else [r.choice(vocabulary)] if x < 2 * rate / 3 else [w, w] if x < rate else [w]
+            noise = lambda: [r.choice(vocabulary) for _ in range(60)]
+            docs.append((1000 * k + i, " ".join([*noise(), *out, *noise()])))
+    got = {(x.item_id, x.doc_id) for x in leaked(spark.createDataFrame(items, "item_id bigint, field string, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")).filter("share >= 0.6").collect()}
+    for k in range(3):
+        rates[k] = sum((i, 1000 * k + i) in got for i in range(200)) / 200
+    assert rates[0] >= 0.99 and rates[1] >= 0.97 and rates[2] >= 0.9, rates
+    assert all(d % 1000 == i for i, d in got)

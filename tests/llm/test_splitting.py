@@ -36,6 +36,15 @@ def test_cuts_at_headings_before_lines_and_at_lines_before_words():
     assert [code[a:b].split("(")[0] for a, b, *_ in split_text(code, 8, 0)] == ["def f", "def g"]
 
 
+def test_only_whole_siblings_share_a_piece():
+    first = "# A\n\n" + "a " * 196 + "\n\n" + "b " * 100 + "\n\n"
+    text = first + "# B\n\n" + "c " * 88 + "\n"
+    pieces = check(text, 256, 0)
+    assert len(first) in {a for a, *_ in pieces}  # section B begins a piece of its own
+    small = check("# A\n\nx y z\n\n# B\n\nx y z\n\n" + "# C\n\n" + "w w w w w w w w w. " * 30, 256, 0)
+    assert [n for _, _, n, _ in small] == [10, 2 + 28 * 9, 2 * 9]  # whole sections together, a heading with the first sentences below it
+
+
 def test_one_endless_line_wide_and_deep_trees():
     assert len(check("x " * 5000, 256, 32)) == 23
     check("word word\n" * 60_000, 256, 32)
