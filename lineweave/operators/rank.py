@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
-from lineweave.plans.skew import in_blocks, running_total
+from lineweave.operators import score
+from lineweave.plans.skew import in_blocks
 
 SPAN = ["source", "token_start", "token_end"]
 
@@ -33,13 +34,13 @@ def bm25(spans: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """``query_id``, span key and score > 0. A term counts once a span; a span's length is its number of distinct terms.
 
     Corpus statistics (number of spans, mean length, document frequency) are one pass each with map-side sums; only the postings of asked terms
-    are scored. With ``top_k`` the spans are numbered in the order of their keys first, so that scores are summed and ranked by two numbers instead of
-    whole keys; ties at the end go by key, scores being compared to nine places.
+    are scored. With ``top_k`` nothing but the best of each task is shuffled (see ``score``); ties go by key, scores being compared to nine places.
     """
-    key = SPAN
     if top_k:
-        numbered = running_total(spans.select(*SPAN, "text"), [], [F.col(c) for c in SPAN], F.lit(1), "span_no", "bm25-spans")
-        spans, key = numbered, ["span_no"]
+        index = score.keyword_index(spans)
+        found = [score.top(index, score.Bm25(index, q, k1, b), top_k) for q in score.question_blocks(queries, T.keywords(F.col("query_text")))]
+        return _with_keys(found, index, queries).select("query_id", *SPAN, (F.col("points") / score.PLACES).alias("score"))
+    key = SPAN
     terms = spans.select(*key, T.keywords(F.col("text")).alias("k")).withColumn("dl", F.size("k"))
     corpus = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     q = query_terms(queries)
@@ -51,11 +52,50 @@ def bm25(spans: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     df = df.crossJoin(F.broadcast(corpus))  # one row of statistics
     scored = postings.join(df, "term").withColumn("w", weight).select("term", *key, "w")
     scored = scored.join(q.select("query_id", "term"), "term").groupBy("query_id", *key).agg(F.sum("w").alias("score")).filter(F.col("score") > 0)
-    if not top_k:
-        return scored
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *key)
-    best = scored.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= top_k).drop("__n")
-    return best.join(numbered.select("span_no", *SPAN), "span_no").drop("span_no")
+    return scored
+
+
+def _with_keys(found: list[DataFrame], index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The found rows of all blocks of questions with their spans' keys."""
+    if not found:
+        found = [queries.select("query_id", F.lit(0).cast("bigint").alias("span_no"), F.lit(0).cast("bigint").alias("points"), F.lit(1).alias("rank")).limit(0)]
+    return reduce(DataFrame.unionByName, found).join(index.select("span_no", *SPAN), "span_no")
+
+
+def lexical_top(spans: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best spans of each question by ``lexical_coverage``, with its parts; nothing but the best of each task is shuffled."""
+    index = score.keyword_index(spans)
+    found = [score.top(index, score.Coverage(index, q), k) for q in score.question_blocks(queries, T.keywords(F.col("query_text")))]
+    best = _with_keys(found, index, queries).select("query_id", "span_no", *SPAN)
+    terms = queries.select("query_id", T.keywords(F.col("query_text")).alias("k"))
+    x = best.join(index.select("span_no", "terms", "path_terms", "n_tokens"), "span_no").join(terms, "query_id")
+    n = F.size("k")
+    hits, path = F.size(F.array_intersect("k", "terms")).cast("bigint"), F.size(F.array_intersect("k", "path_terms"))
+    cover, density, bonus = hits / n, hits / F.col("n_tokens"), 0.5 * path / n
+    return x.select(
+        "query_id", *SPAN, cover.alias("lexical_coverage"), density.alias("lexical_density"), hits.alias("lexical_match_count"), bonus.alias("path_bonus"), (cover + density + bonus).alias("score"),
+        F.when(hits > 0, "lexical_anchor").otherwise("path_anchor").alias("reason"),
+    )
+
+
+def fused_top(spans: DataFrame, queries: DataFrame, k: int = 64) -> DataFrame:
+    """The ``k`` best spans of each question by reciprocal rank fusion of BM25 and coverage, exactly as over complete rankings: ``query_id``, span key,
+    ``rrf, bm25, coverage, n_signals``."""
+    index = score.keyword_index(spans)
+    found = [score.fused_top(index, q, k) for q in score.question_blocks(queries, T.keywords(F.col("query_text")))]
+    if not found:
+        return spans.select(F.lit(0).cast("bigint").alias("query_id"), *SPAN, *[F.lit(0.0).alias(c) for c in ("rrf", "bm25", "coverage")], F.lit(0).alias("n_signals")).limit(0)
+    x = reduce(DataFrame.unionByName, found).join(index.select("span_no", *SPAN), "span_no")
+    return x.select("query_id", *SPAN, "rrf", "bm25", "coverage", (F.col("bm25").isNotNull().cast("int") + F.col("coverage").isNotNull().cast("int")).alias("n_signals"))
+
+
+def duplicate_ratio(spans: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, duplicate_ratio`` of the rankings by BM25 and coverage, counted where the spans lie; one sum a question and task is shuffled."""
+    index = score.keyword_index(spans)
+    found = [score.signal_counts(index, q) for q in score.question_blocks(queries, T.keywords(F.col("query_text")))]
+    if not found:
+        return queries.select("query_id", F.lit(0.0).alias("duplicate_ratio")).limit(0)
+    return reduce(DataFrame.unionByName, found).select("query_id", ((F.col("entries") - F.col("spans")) / F.col("entries")).alias("duplicate_ratio"))
 
 
 def lexical_coverage(spans: DataFrame, queries: DataFrame) -> DataFrame:
@@ -150,18 +190,16 @@ def token_blocks(texts: DataFrame, block: int) -> DataFrame:
     return x.select("source", "block", (F.col("block") * block).alias("start"), F.least((F.col("block") + 1) * block, F.col("n")).alias("end"))
 
 
-def tf_bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 with term frequencies over camel-case-split words of at least two characters: ``query_id, chunk, score``."""
+def camel_words(c: Column) -> Column:
+    """Lower-case words of at least two characters, camel case split, as often as they occur."""
+    split = F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.regexp_extract_all(F.lower(split), F.lit("([a-z0-9]+)"), 1), lambda t: F.length(t) > 1)
 
-    def words(c: Column) -> Column:
-        split = F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-        return F.filter(F.regexp_extract_all(F.lower(split), F.lit("([a-z0-9]+)"), 1), lambda t: F.length(t) > 1)
 
-    t = chunks.select("chunk", words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    corpus = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query_text")))).alias("term"))
-    tf = t.select("chunk", "dl", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("chunk", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row of statistics
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(df, "term").withColumn("x", w).select("chunk", "term", "x").join(q, "term").groupBy("query_id", "chunk").agg(F.sum("x").alias("score"))
+def tf_bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best chunks of each question by BM25 with term frequencies over camel-case-split words: ``query_id, chunk, score, rank``. Ties by chunk."""
+    index = score.numbered_spans(chunks, camel_words(F.col("text")), key=["chunk"])
+    found = [score.top(index, score.Bm25(index, q, k1, b, repeated=True), k) for q in score.question_blocks(queries, F.array_distinct(camel_words(F.col("query_text"))))]
+    if not found:
+        return chunks.select(F.lit(0).cast("bigint").alias("query_id"), "chunk", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, found).join(index.select("span_no", "chunk"), "span_no").select("query_id", "chunk", (F.col("points") / score.PLACES).alias("score"), "rank")

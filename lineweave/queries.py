@@ -287,12 +287,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, rank, source, token_start, token_end, round(lexical_coverage, 6) as lexical_coverage, round(lexical_density, 6) as lexical_density, round(path_bonus, 6) as path_bonus, round(score, 6) as score from r where rank <= 10"""
 )
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(rank.lexical_coverage(spans(spark, sf_dir), table(spark, sf_dir, "queries")), 10, ["lexical_coverage", "lexical_density", "path_bonus", "score"])
-
-
-def _groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    s, q = spans(spark, sf_dir), table(spark, sf_dir, "queries")
-    return {"bm25": rank.bm25(s, q), "lexical": rank.lexical_coverage(s, q)}
+    return _top(rank.lexical_top(spans(spark, sf_dir), table(spark, sf_dir, "queries"), 10), 10, ["lexical_coverage", "lexical_density", "path_bonus", "score"])
 
 
 _FUSED = f"""with {_BM25}, {_LEX.split(_QT + ',')[1].replace('st as', 'st2 as').replace('from st join', 'from st2 join')},
@@ -304,14 +299,14 @@ g as (select 'bm25' as grp, query_id, source, token_start, token_end, {_RANKED}
 select query_id, rank, source, token_start, token_end, round(score, 6) as score, n_signals from r where rank <= 10"""
 )
 def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = rank.fuse(_groups(spark, sf_dir)).withColumnRenamed("rrf", "score").withColumn("n_signals", F.size("selection_reasons").cast("bigint"))
+    f = rank.fused_top(spans(spark, sf_dir), table(spark, sf_dir, "queries"), 10).withColumnRenamed("rrf", "score").withColumn("n_signals", F.col("n_signals").cast("bigint"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *rank.SPAN)
     return f.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "rank", *rank.SPAN, F.round("score", 6).alias("score"), "n_signals")
 
 
 @query(f"{_FUSED}, d as (select query_id, source, token_start, token_end, count(*) as c from g group by 1, 2, 3, 4) select query_id, round((sum(c) - count(*)) / sum(c), 6) as duplicate_ratio from d group by 1")
 def duplicate_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.duplicate_span_ratio(_groups(spark, sf_dir)).select("query_id", F.round("duplicate_ratio", 6).alias("duplicate_ratio"))
+    return rank.duplicate_ratio(spans(spark, sf_dir), table(spark, sf_dir, "queries")).select("query_id", F.round("duplicate_ratio", 6).alias("duplicate_ratio"))
 
 
 @query()
@@ -356,9 +351,7 @@ r as (select *, row_number() over (partition by query_id order by round(score, 9
 )
 def tf_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "raw_spans").filter("text is not null").select(F.col("span_id").alias("chunk"), "text")
-    x = rank.tf_bm25(c, table(spark, sf_dir, "queries"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk")
-    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "chunk", "rank", F.round("score", 6).alias("score"))
+    return rank.tf_bm25(c, table(spark, sf_dir, "queries"), 5).select("query_id", "chunk", "rank", F.round("score", 6).alias("score"))
 
 
 # --- packing -------------------------------------------------------------------------------------------------------------------------------------------
@@ -397,7 +390,7 @@ def pack_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank spans for every question by BM25 and coverage, fuse, and pack under a budget with provenance."""
     s = spans(spark, sf_dir)
-    f = rank.fuse(_groups(spark, sf_dir)).join(s, rank.SPAN)
+    f = rank.fused_top(s, table(spark, sf_dir, "queries")).join(s, rank.SPAN)
     c = f.select("query_id", "source", F.col("token_start").alias("start"), F.col("token_end").alias("end"), F.col("rrf").alias("rank_score"), "text", "line_start")
     return pack.pack(c, table(spark, sf_dir, "queries"), 600)
 
