@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
+from lineweave.functions.subword import SubwordFeatures
 from lineweave.plans.durable import durable
 from lineweave.plans.skew import running_total
 
@@ -154,6 +155,34 @@ class Coverage:
         return cover + density + bonus
 
 
+class Subword:
+    """Cosine of hashed sub-word features; spans keep their heaviest. What is at most ``floor`` counts as nothing."""
+
+    columns = ("span_no", "folded")
+
+    def __init__(self, q: Questions, vectors: np.ndarray, floor: float = 0.02):
+        self.q, self.vectors, self.floor = q, vectors, floor
+        self.features = SubwordFeatures()
+
+    def table(self, b: pa.RecordBatch) -> np.ndarray:
+        spans = np.stack([self.features.dense(t or "") for t in b.column("folded").to_pylist()])
+        out = self.vectors @ spans.T
+        out[out <= self.floor] = 0.0
+        return out
+
+
+def subword_blocks(queries: DataFrame, block: int = 512) -> Iterator[tuple[Questions, np.ndarray]]:
+    """Blocks of questions (query_id, query_text) with their feature vectors, a row each."""
+    q = queries.filter("query_text is not null").select("query_id", T.casefold(F.col("query_text")).alias("t"))
+    parts = max(1, -(-q.count() // block))
+    features = SubwordFeatures()
+    for i in range(parts):
+        rows = sorted(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect(), key=lambda r: r.query_id)
+        if rows:
+            none = np.empty(0, dtype=np.int64)
+            yield Questions(np.array([r.query_id for r in rows], dtype=np.int64), [], none, none, none), np.stack([features.dense(r.t, None) for r in rows])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Parts of the batches with the spans' numbers in order."""
     for batch in batches:
@@ -171,7 +200,7 @@ def _best(score: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray, np
     return score, number
 
 
-def top(index: DataFrame, ranker: Bm25 | Coverage, k: int) -> DataFrame:
+def top(index: DataFrame, ranker: Bm25 | Coverage | Subword, k: int) -> DataFrame:
     """``query_id, span_no, points``: the ``k`` best spans of each question with a score above 0; ``points`` is the score times 1e9 as a whole number."""
     q = ranker.q
 

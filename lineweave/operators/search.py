@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
+from lineweave.functions.subword import SubwordFeatures
+from lineweave.operators import score
 from lineweave.plans.durable import durable
-from lineweave.plans.skew import in_blocks
 
 # Names for one kind of definition.
 KIND_ALIASES = {"fn": "function", "func": "function", "method": "function", "def": "function", "class": "struct", "interface": "trait", "var": "variable", "const": "variable", "static": "variable", "mod": "module", "type_alias": "type"}
@@ -101,17 +107,114 @@ def evidence_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", k.alias("k")).select("query_id", F.size("k").alias("n_terms"), F.explode("k").alias("term"))
 
 
+def _substrings(words: list[str]):
+    """Which of the words each text holds as substrings, by one Aho-Corasick automaton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = ahocorasick.Automaton()
+        for w in words:
+            auto.add_word(w, w)
+        auto.make_automaton()
+        for b in batches:
+            held = [sorted({w for _, w in auto.iter(t)}) if t and words else [] for t in b.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(h) for h in held]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array([w for h in held for w in h], pa.string())], names=["source", "n_lines", "term"])
+
+    return run
+
+
+#: Files of a question's ranking that are compared again, and lines of a block that is compared.
+RERANK, RERANK_LINES = 250, 60
+_RANKED = "query_id bigint, source string, bonus double"
+
+
+def _similar(blocks: list[tuple[np.ndarray, np.ndarray]]):
+    """``query_id, source, similarity`` of each file with the questions that have it in their head: the best of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = SubwordFeatures()
+        at = {i: (n, k) for n, (ids, _) in enumerate(blocks) for k, i in enumerate(ids.tolist())}
+        for b in batches:
+            out: list[tuple] = []
+            for source, folded, lines, asking in zip(*(b.column(i).to_pylist() for i in range(4))):
+                cuts = range(0, max(len(lines), 1), RERANK_LINES)
+                x = np.stack([features.dense(f"{folded}\n" + "\n".join(lines[c : c + RERANK_LINES])) for c in cuts])
+                for i in asking:
+                    if i in at:
+                        n, k = at[i]
+                        out.append((i, source, float((x @ blocks[n][1][k]).max())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], names=["query_id", "source", "similarity"])
+
+    return run
+
+
+def _head_rank(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Similarity and reference rank of one question's head (at most 250 files), each over its largest value, added."""
+    n = len(pdf)
+    holders: dict[int, list[int]] = {}
+    for i, names in enumerate(pdf.defines):
+        for h in names if names is not None else ():
+            holders.setdefault(h, []).append(i)
+    out = np.zeros((n, n))
+    for i, names in enumerate(pdf.mentions):
+        for h in names if names is not None else ():
+            out[i, holders.get(h, [])] = 1.0
+    np.fill_diagonal(out, 0.0)
+    degree = out.sum(axis=1)
+    moves = np.where(degree[:, None] > 0, out / np.maximum(degree, 1)[:, None], 1.0 / n)
+    start = pdf.lexical.to_numpy() / (pdf.lexical.sum() or 1.0)
+    rank = start
+    for _ in range(12):
+        rank = 0.15 * start + 0.85 * (rank @ moves)
+    similar = pdf.similarity.fillna(0.0).to_numpy()
+    scaled = lambda x: x / x.max() if n and x.max() > 0 else np.zeros(n)
+    return pd.DataFrame({"query_id": pdf.query_id, "source": pdf.source, "bonus": scaled(similar) + scaled(rank)})
+
+
+def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, scores: DataFrame, head: int = RERANK) -> DataFrame:
+    """``scores`` (query_id, source, score ...) with the score of each file over the question's largest, plus for the first ``head`` files of a question
+    their sub-word similarity and their rank in the graph of files that name what another defines, each over its largest. A question with one file keeps
+    its score.
+
+    The head of a question is one bounded group; features and names are computed once a file, wherever it is asked for. Names travel as hashes.
+    """
+    w = Window.partitionBy("query_id")
+    scores = durable(scores.withColumns({"lexical": F.coalesce(F.col("score") / F.max("score").over(w), F.lit(0.0)), "__files": F.count("*").over(w)}), "rerank-scores")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
+    first = scores.filter("__files > 1").select("query_id", "source", "score", "lexical").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= head)
+    first = durable(first.select("query_id", "source", "lexical"), "rerank-head")
+    asking = first.groupBy("source").agg(F.collect_list("query_id").alias("asking"))  # at most the stated questions
+    texts = files.select("source", T.casefold(F.col("source")).alias("folded"), T.physical_lines(T.casefold(F.col("text"))).alias("lines")).join(asking, "source")
+    vectors = [(q.ids, v) for q, v in score.subword_blocks(queries)]
+    near = [texts.mapInArrow(_similar([b]), "query_id bigint, source string, similarity double") for b in vectors]
+    near = reduce(DataFrame.unionByName, near) if near else first.select("query_id", "source", F.lit(0.0).alias("similarity")).limit(0)
+    named = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), 1)), lambda n: F.xxhash64(n))
+    defined = definitions.filter((F.col("name") != "") & (F.col("name") != "<anonymous>")).select("source", F.xxhash64("name").alias("h"))
+    names = files.select("source", F.explode(named).alias("h")).join(defined.select("h").distinct(), "h", "left_semi").groupBy("source").agg(F.collect_list("h").alias("mentions"))
+    nodes = first.join(near, ["query_id", "source"], "left").join(names, "source", "left").join(defined.groupBy("source").agg(F.collect_set("h").alias("defines")), "source", "left")
+    bonus = nodes.select("query_id", "source", "lexical", "similarity", "mentions", "defines").groupBy("query_id").applyInPandas(_head_rank, _RANKED)
+    x = scores.join(bonus, ["query_id", "source"], "left")
+    blended = F.when(F.col("__files") > 1, F.col("lexical") + F.coalesce("bonus", F.lit(0.0))).otherwise(F.col("score"))
+    return x.withColumn("score", blended).drop("lexical", "__files", "bonus")
+
+
 def evidence_file_scores(files: DataFrame, terms: DataFrame, share: float = 0.2, length_norm: float = 0.5, block: int = 20_000) -> DataFrame:
     """``query_id, source, score, terms``: rarity of the query's terms present in a file (as substrings of the folded text), its path's prior and length.
 
-    Terms in more than a fifth of all files weigh nothing. ``terms`` is the set of questions the caller states; its distinct terms are matched against
-    each file's text as substrings, in blocks of ``block`` terms, one scan a block; only hits are shuffled.
+    Terms in more than a fifth of all files weigh nothing. ``terms`` is the set of questions the caller states; its distinct terms go to the tasks in
+    blocks of ``block``, and one automaton of a block finds all of them in one pass over each text, however many there are; only hits are shuffled.
     """
     total = files.count()
     common = max(1, int(total * share))
     folded = files.select("source", T.casefold(F.col("text")).alias("t"), F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"))
-    asked = in_blocks(terms.select("term").distinct(), ["term"], block)
-    present = reduce(DataFrame.unionByName, [folded.join(a, F.contains(F.col("t"), F.col("term"))).select("source", "n_lines", "term") for a in asked])
+    asked = terms.select("term").distinct()
+    parts = max(1, -(-asked.count() // block))
+    found = []
+    for i in range(parts):
+        words = [r.term for r in asked.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()]  # about ``block`` rows
+        found.append(folded.mapInArrow(_substrings(words), "source string, n_lines int, term string"))
+    present = reduce(DataFrame.unionByName, found)
     present = durable(present, "evidence-hits")
     df = present.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.when(F.col("df") <= common, F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(0.0)

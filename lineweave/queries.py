@@ -312,9 +312,7 @@ def duplicate_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def subword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by hashed sub-word cosine, their 256 heaviest features."""
-    s = rank.heaviest(rank.hash_features(spans(spark, sf_dir), rank.SPAN), rank.SPAN)
-    q = rank.hash_features(table(spark, sf_dir, "queries").select("query_id", F.col("query_text").alias("text")), ["query_id"])
-    return _top(rank.sparse_cosine(q, s, ["query_id"], rank.SPAN), 5, ["score"])
+    return _top(rank.subword_top(spans(spark, sf_dir), table(spark, sf_dir, "queries"), 5), 5, ["score"])
 
 
 @query(
@@ -479,6 +477,24 @@ def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.evidence_hits(chunk.lines(f), s)
 
 
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, q = files(spark, sf_dir), table(spark, sf_dir, "queries")
+    return search.rerank(f, definitions(spark, sf_dir), q, search.evidence_file_scores(f, search.evidence_terms(q)))
+
+
+@query()
+def evidence_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by rarity of terms, their first 250 moved by sub-word similarity and by who refers to whom among them. Tested against brute force."""
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
+    return _reranked(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def find_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best lines of the re-ranked files, two a file."""
+    return search.evidence_hits(chunk.lines(files(spark, sf_dir)), _reranked(spark, sf_dir))
+
+
 @query(
     f"""with q0 as (select query_id, {_kw('query_text')} as k, list_distinct(regexp_extract_all(query_text, '[A-Za-z0-9_]+')) as words, regexp_full_match(trim(query_text), '[A-Za-z0-9_]+') as single, query_text from queries where query_text is not null),
 q as (select query_id, words, case when single then [{_cf('trim(query_text)')}] else k end as names, list_filter({_ident('list_concat(k, words)')}, lambda t: not list_contains({_STOP}, t)) as parts from q0),
