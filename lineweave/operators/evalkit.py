@@ -33,24 +33,28 @@ def savings(means: DataFrame, arm: str, baseline: str, measure: str) -> DataFram
     return means.crossJoin(F.broadcast(base)).select(arm, (1 - F.col(measure) / F.col("base")).alias("saving"))  # one row
 
 
-def bootstrap(values: list[float], draws: int = 10_000, level: float = 0.95, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of the mean from resamples with a seeded generator."""
-    if not values:
-        return 0.0, 0.0
+def bootstrap(values: list[float], draws: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
+    """Percentile interval and mean of resamples with a seeded generator, each to four places; the values count in the given order."""
+    n = len(values)
+    if not n:
+        return 0.0, 0.0, 0.0
     rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(draws))
-    return means[int((1 - level) / 2 * draws)], means[min(draws - 1, int((1 + level) / 2 * draws))]
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
+    return round(means[int(0.025 * draws)], 4), round(means[min(int(0.975 * draws), draws - 1)], 4), round(sum(values) / n, 4)
 
 
-def intervals(deltas: DataFrame, group: list[str], margin: float = -0.05, draws: int = 2000) -> DataFrame:
-    """Mean, bootstrap interval and non-inferiority (lower end above the margin) of ``delta`` per group. A group is one paired comparison."""
+def intervals(deltas: DataFrame, group: list[str], key: str, margin: float = -0.05, draws: int = 10_000) -> DataFrame:
+    """Mean, bootstrap interval and non-inferiority of ``delta`` per group: the mean, and the lower end, at or above the margin.
+
+    A group is one paired comparison of an evaluation plan; its values count in the order of ``key``, as the generator's draws depend on it.
+    """
     fields = {f.name: f.dataType.simpleString() for f in deltas.schema}
-    schema = ", ".join([*[f"{g} {fields[g]}" for g in group], "n bigint, mean double, low double, high double, non_inferior boolean"])
+    schema = ", ".join([*[f"{g} {fields[g]}" for g in group], "n_pairs bigint, delta_mean double, low double, high double, passes_point boolean, passes_ci boolean"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = sorted(pdf.delta.dropna().tolist())
-        low, high = bootstrap(v, draws)
-        return pd.DataFrame([(*[pdf[g].iloc[0] for g in group], len(v), sum(v) / len(v) if v else 0.0, round(low, 4), round(high, 4), low > margin)], columns=[*group, "n", "mean", "low", "high", "non_inferior"])
+        v = pdf.dropna(subset=["delta"]).sort_values(key).delta.tolist()
+        low, high, mean = bootstrap(v, draws)
+        return pd.DataFrame([(*[pdf[g].iloc[0] for g in group], len(v), mean, low, high, mean >= margin, low >= margin)], columns=[*group, "n_pairs", "delta_mean", "low", "high", "passes_point", "passes_ci"])
 
     return deltas.groupBy(*group).applyInPandas(run, schema)
 

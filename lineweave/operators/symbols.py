@@ -31,12 +31,11 @@ def python_symbols(text: str) -> list[_ROW]:
                 params = {p.arg for p in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))}
             defines = {node.name, *params}
             refs = {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} | {n.attr for n in ast.walk(node) if isinstance(n, ast.Attribute)}
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            out.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", first, node.end_lineno or first, sorted(defines), sorted(refs - defines), False))
+            out.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.end_lineno or node.lineno, sorted(defines), sorted(refs - defines), False))
     for node in tree.body:
         if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            names = sorted({n.id for t in targets for n in ast.walk(t) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)})
+            names = sorted({t.id for t in targets if isinstance(t, ast.Name)})
             refs = {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} - set(names)
             out.append((names[0] if names else "<assignment>", "variable", node.lineno, node.end_lineno or node.lineno, names, sorted(refs), False))
     for node in ast.walk(tree):
@@ -99,13 +98,16 @@ def parse_symbols(files: DataFrame) -> DataFrame:
     return files.filter("text is not null").select("source", "text").mapInArrow(_parse, _SCHEMA)
 
 
-def symbol_candidates(symbols: DataFrame, queries: DataFrame, max_tokens: int = 160) -> DataFrame:
+def symbol_candidates(symbols: DataFrame, queries: DataFrame, max_tokens: int | None = 160) -> DataFrame:
     """Definitions that share terms with a query by their names and references, or by their text: coverage of each and the name match.
 
-    ``symbols`` has ``source, name, kind, start, end, defines, refs, text``; longer definitions than ``max_tokens`` are left out.
+    ``symbols`` has ``source, name, kind, start, end, defines, refs, text``; definitions of more than ``max_tokens`` white-space tokens are left out, none
+    where it is None.
     """
     q = queries.select("query_id", T.keywords(F.col("query_text")).alias("qt"), F.regexp_extract_all("query_text", F.lit("([A-Za-z0-9_]+)"), 1).alias("qw")).filter(F.size("qt") > 0)
-    s = symbols.filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") <= max_tokens))
+    s = symbols.filter(F.col("end") > F.col("start"))
+    if max_tokens is not None:
+        s = s.filter(T.token_count(F.coalesce("text", F.lit(""))) <= max_tokens)
     names = T.identifier_terms(F.filter(F.concat(F.coalesce("defines", F.array().cast("array<string>")), F.coalesce("refs", F.array().cast("array<string>"))), lambda x: x.isNotNull()))
     s = s.select("symbol_id", "source", "name", "kind", "start", "end", names.alias("st"), T.keywords(F.coalesce("text", F.lit(""))).alias("lt"))
     t = s.select("symbol_id", F.explode(F.array_distinct(F.concat("st", "lt"))).alias("term"), F.col("st"), F.col("lt"))

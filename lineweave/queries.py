@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
-from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, symbols
+from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, symbols, trace
 from lineweave.sources import workspace
 from lineweave.sources.tables import table
 from lineweave.streaming import usage
@@ -112,8 +112,8 @@ where lower(regexp_extract(relative_path, '(\.[^./]+)$', 1)) in {_EXT} and coale
 and not regexp_matches(relative_path, '^(venv|node_modules|dist|build|__pycache__)/')"""
 )
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "files", "relative_path", "size_bytes")
-    return workspace.discover(f).select("relative_path", "ext").distinct()
+    f = table(spark, sf_dir, "files", "relative_path", "size_bytes", "ingested_at")
+    return workspace.discover(f).select("relative_path", "ext")
 
 
 @query("select relative_path, count(*) as n from files where regexp_matches(relative_path, '/(src|lib)/') and relative_path like '%.py' group by 1")
@@ -516,7 +516,7 @@ def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with q as (select query_id, {_kw('query_text')} as qt, regexp_extract_all(query_text, '[A-Za-z0-9_]+') as qw from queries where len({_kw('query_text')}) > 0),
-s as (select symbol_id, sym_name as name, kind, {_ident("list_filter(list_concat(coalesce(defines, []), coalesce(refs, [])), lambda x: x is not null)")} as st, {_kw("coalesce(text, '')")} as lt from symbols where char_end > char_start and char_end - char_start <= 4000),
+s as (select symbol_id, sym_name as name, kind, {_ident("list_filter(list_concat(coalesce(defines, []), coalesce(refs, [])), lambda x: x is not null)")} as st, {_kw("coalesce(text, '')")} as lt from symbols where char_end > char_start),
 x as (select query_id, symbol_id, name, len(list_intersect(qt, st)) / len(qt) + len(list_intersect(qt, lt)) / len(qt) as score, (kind <> 'import' and list_contains(qw, name) and not list_contains({_STOP}, {_cf('name')}))::int::double as symbol_name_match
 from q, s where len(list_intersect(qt, st)) > 0 or len(list_intersect(qt, lt)) > 0),
 r as (select *, row_number() over (partition by query_id order by symbol_name_match desc, round(score, 9) desc, symbol_id)::int as rank from x)
@@ -524,7 +524,7 @@ select query_id, rank, symbol_id, name, round(score, 6) as score, symbol_name_ma
 )
 def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "symbols").withColumnsRenamed({"sym_name": "name", "char_start": "start", "char_end": "end"})
-    x = symbols.symbol_candidates(s, table(spark, sf_dir, "queries"), 4000).withColumn("score", F.col("symbol_coverage") + F.col("lexical_coverage"))
+    x = symbols.symbol_candidates(s, table(spark, sf_dir, "queries"), None).withColumn("score", F.col("symbol_coverage") + F.col("lexical_coverage"))
     w = Window.partitionBy("query_id").orderBy(F.col("symbol_name_match").desc(), F.round("score", 9).desc(), "symbol_id")
     return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "rank", "symbol_id", "name", F.round("score", 6).alias("score"), "symbol_name_match")
 
@@ -563,22 +563,105 @@ def reference_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reach(callers: bool) -> str:
     a, b = ("dst", "src") if callers else ("src", "dst")
-    return f"""with recursive {_EDGES}, roots as (select distinct source as node from files_ where source like 'monolith/%'),
-w as (select node, 0 as depth from roots union select e.{b}, w.depth + 1 from w join ed e on e.{a} = w.node where w.depth < 3) select node, min(depth)::int as depth from w group by 1"""
+    return f"""with recursive {_EDGES}, roots as (select distinct source as node from files_ where source in (select source from (select source, row_number() over (partition by query_id order by rank_score desc, cand_id) as k from candidates where rank_score is not null and not isnan(rank_score)) where k = 1)),
+w as (select node, 0 as depth from roots union select e.{b}, w.depth + 1 from w join ed e on e.{a} = w.node where w.depth < 4) select node, min(depth)::int as depth from w group by 1"""
 
 
 def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).filter(F.col("source").startswith("monolith/")).select(F.col("source").alias("node"))
+    c = table(spark, sf_dir, "candidates").filter("rank_score is not null and not isnan(rank_score)")
+    best = c.groupBy("query_id").agg(F.max_by("source", F.struct("rank_score", -F.col("cand_id"))).alias("node"))
+    stated = best.select("node").distinct()
+    return files(spark, sf_dir).select(F.col("source").alias("node")).distinct().join(stated, "node", "left_semi")
 
 
 @query(_reach(False))
 def closure_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_roots(spark, sf_dir), edges(spark, sf_dir), 3)
+    return graph.closure(_roots(spark, sf_dir), edges(spark, sf_dir), 4)
 
 
 @query(_reach(True))
 def closure_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_roots(spark, sf_dir), graph.callers(edges(spark, sf_dir)), 3)
+    return graph.closure(_roots(spark, sf_dir), graph.callers(edges(spark, sf_dir)), 4)
+
+
+def _traceable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "symbols").filter("sym_name is not null and line_start is not null and source is not null")
+    return s.select(F.col("sym_name").alias("name"), "kind", "source", "line_start", "line_end", "defines", "refs", F.col("symbol_id").alias("ordinal"), T.token_count(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_tokens"))
+
+
+def _asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that the questions hold as words."""
+    return table(spark, sf_dir, "queries").select(F.explode(F.regexp_extract_all("query_text", F.lit("([A-Za-z0-9_]+)"), 1)).alias("name")).distinct()
+
+
+_TRACE = r"""with recursive s as (select sym_name as name, source, line_start, arg_max({'kind': kind, 'defines': defines, 'refs': refs, 'n': len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda t: t <> ''))}, symbol_id) as x
+  from symbols where sym_name is not null and line_start is not null and source is not null group by 1, 2, 3),
+d as (select row_number() over (order by source, name, line_start) as id, source, name, line_start, x.n as n, list_distinct(list_filter(coalesce(x.refs, []), lambda r: r is not null and r <> '')) as uses,
+  case when x.kind in ('import', 'variable') and len(list_filter(coalesce(x.defines, []), lambda r: r is not null and r <> '')) > 0 then list_distinct(list_filter(x.defines, lambda r: r is not null and r <> '')) else [name] end as known from s),
+u as (select id, unnest(uses) as nm from d), k as (select id, unnest(known) as nm from d),
+roots as (select distinct unnest(regexp_extract_all(query_text, '[A-Za-z0-9_]+')) as nm from queries),
+w as (select distinct id, 0 as depth from k join roots using (nm) union select b.id, w.depth + 1 from w join {lead} a on a.id = w.id join {meet} b on b.nm = a.nm where w.depth < {depth}),
+r as (select id, min(depth)::int as depth from w group by 1)"""
+
+
+def _trace_sql(direction: str, depth: int = 4) -> str:
+    lead, meet = ("u", "k") if direction == "dependencies" else ("k", "u")
+    return _TRACE.replace("{lead}", lead).replace("{meet}", meet).replace("{depth}", str(depth))
+
+
+@query(_trace_sql("dependencies") + " select source, name, line_start, depth, n::bigint as n_tokens from r join d using (id)")
+def trace_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the definitions that questions name depend on, to a depth of 4."""
+    return trace.trace(_traceable(spark, sf_dir), _asked_names(spark, sf_dir))[0].select("source", "name", "line_start", "depth", "n_tokens")
+
+
+@query(_trace_sql("callers") + " select source, name, line_start, depth, n::bigint as n_tokens from r join d using (id)")
+def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.trace(_traceable(spark, sf_dir), _asked_names(spark, sf_dir), direction="callers")[0].select("source", "name", "line_start", "depth", "n_tokens")
+
+
+@query(
+    _trace_sql("dependencies", 2)
+    + """, t as (select count(*) as definitions, coalesce(sum(n), 0)::bigint as tokens, coalesce(max(depth), 0) as depth from r join d using (id) where depth <= 1), i as (select count(*) as index_definitions, sum(n)::bigint as index_tokens from d)
+select definitions, tokens, depth, index_definitions, index_tokens, round(1 - tokens / index_tokens, 4) as token_reduction, (select count(*) > 0 from r where depth = 2) as truncated_by_depth, tokens > 4000 as over_budget from t, i"""
+)
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of one step in figures; what a second step would add makes it truncated."""
+    d = _traceable(spark, sf_dir)
+    return trace.summary(*trace.trace(d, _asked_names(spark, sf_dir), 1), d)
+
+
+@query(_trace_sql("dependencies", 1) + ", p as (select source, name, line_start, n, sum(n) over (order by source, line_start, name) as used from r join d using (id)) select source, name, line_start, n::bigint as n_tokens from p where used <= 4000")
+def trace_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of one step in the order of source and line, up to the first definition that overflows 4000 tokens."""
+    return trace.pack_trace(trace.trace(_traceable(spark, sf_dir), _asked_names(spark, sf_dir), 1)[0], 4000).select("source", "name", "line_start", "n_tokens")
+
+
+_RANGES = "rg as (select distinct source, line_start as low, line_end as high from raw_spans where span_id % 20 = 0 and line_start is not null and line_end is not null)"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of requested ranges: the lines of every twentieth span."""
+    s = table(spark, sf_dir, "raw_spans").filter("span_id % 20 = 0 and line_start is not null and line_end is not null")
+    return s.select("source", F.col("line_start").alias("low"), F.col("line_end").alias("high")).distinct()
+
+
+@query(f"with {_LINES}, {_RANGES} select source, line::int as line, case when source not in (select source from rg) or exists (select 1 from rg where rg.source = l.source and line between low and high) then text else '' end as text from lines_ l")
+def blanked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all files, those outside requested ranges emptied."""
+    return trace.blank_outside(chunk.lines(files(spark, sf_dir)).select("source", "line", "text"), _ranges(spark, sf_dir)).withColumn("line", F.col("line").cast("int"))
+
+
+@query(
+    r"""with f as (select distinct relative_path as path, string_split(relative_path, '/') as p from files), e as (select path, array_to_string(p[i:], '/') as token from (select path, p, unnest(range(1, len(p) + 1)) as i from f)),
+o as (select token, min(path) as path from e group by 1 having count(*) = 1), q as (select query_id, unnest(list_transform(regexp_extract_all(query_text, '[A-Za-z0-9_./-]+'), lambda t: trim(t, './'))) as token from named)
+select distinct query_id, path from q join o using (token) where contains(token, '.')""".replace("from named", "from (select item_id as query_id, query_text || ' see ' || critical_source || ', ' || regexp_extract(critical_source, '[^/]+$') as query_text from tasks)")
+)
+def named_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that texts name: the evaluation questions with their critical source and its base name."""
+    t = table(spark, sf_dir, "tasks")
+    text = F.concat("query_text", F.lit(" see "), "critical_source", F.lit(", "), F.regexp_extract("critical_source", "([^/]+)$", 1))
+    return trace.named_paths(t.select(F.col("item_id").alias("query_id"), text.alias("query_text")), table(spark, sf_dir, "files").select(F.col("relative_path").alias("path")))
 
 
 # --- review --------------------------------------------------------------------------------------------------------------------------------------------
@@ -669,28 +752,28 @@ def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.ledger_summary(ledger(spark, sf_dir)).drop("reduction", "usd")
 
 
-@query(
-    """with a as (select distinct relative_path as source, fingerprint as old from files), b as (select distinct relative_path as source, sha256(text) as new from files where text is not null)
-select source, case when old is null then 'added' when new is null then 'removed' else 'changed' end as change from a full join b using (source) where old is distinct from new"""
-)
+_STATES = """a as (select relative_path as source, arg_min(fingerprint, file_id) as old from files where file_id % 10 <> 3 group by 1),
+b as (select relative_path as source, arg_min(sha256(case when file_id % 10 = 1 then text || 'x' else text end), file_id) as new from files where text is not null and file_id % 10 <> 2 group by 1)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the files: between them a tenth was changed, a tenth removed and a tenth added."""
+    f = table(spark, sf_dir, "files", "file_id", "relative_path", "fingerprint", "text").withColumnRenamed("relative_path", "source")
+    a = f.filter("file_id % 10 <> 3").groupBy("source").agg(F.min_by("fingerprint", "file_id").alias("fingerprint"))
+    now = F.sha2(F.when(F.col("file_id") % 10 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)
+    b = f.filter("text is not null and file_id % 10 <> 2").groupBy("source").agg(F.min_by(now, "file_id").alias("fingerprint"))
+    return a, b
+
+
+@query(f"with {_STATES} select source, case when old is null then 'added' when new is null then 'removed' else 'changed' end as change from a full join b using (source) where old is distinct from new")
 def source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "files")
-    a = f.select(F.col("relative_path").alias("source"), "fingerprint").distinct()
-    b = f.filter("text is not null").select(F.col("relative_path").alias("source"), F.sha2("text", 256).alias("fingerprint")).distinct()
-    return accounting.drift(a, b)
+    return accounting.drift(*_states(spark, sf_dir))
 
 
-@query(
-    """with p as (select distinct source from candidates), f as (select relative_path as source, min(fingerprint) as fp from files group by 1)
-select source from p left join f using (source) where fp is null or fp not in (select fingerprint from files where text is not null)"""
-)
+@query(f"with {_STATES} select source from a left join b using (source) where new is null or new <> old")
 def pack_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of candidates whose file is gone or can't be read."""
-    f = table(spark, sf_dir, "files")
-    fp = f.groupBy(F.col("relative_path").alias("source")).agg(F.min("fingerprint").alias("fingerprint"))
-    p = table(spark, sf_dir, "candidates", "source").distinct().join(fp, "source", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
-    readable = f.filter("text is not null").select("fingerprint").distinct()
-    return accounting.stale(p, p.join(readable, "fingerprint", "left_semi").select("source", "fingerprint"))
+    """Saved sources whose file has changed, is gone or can't be read."""
+    return accounting.stale(*_states(spark, sf_dir))
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------------------------------------
@@ -717,7 +800,7 @@ def non_inferiority(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "candidates").filter("rank_score is not null and not isnan(rank_score)")
     c = c.groupBy("query_id", F.array_contains("selection_reasons", "symbol").alias("arm")).agg(F.max("rank_score").alias("v"))
     d = evalkit.paired(c, "arm", True, False, "query_id", "v").join(table(spark, sf_dir, "queries", "query_id", "query_class"), "query_id")
-    return evalkit.intervals(d.select("query_class", F.round("delta", 9).alias("delta")), ["query_class"])
+    return evalkit.intervals(d.select("query_class", "query_id", F.round("delta", 9).alias("delta")), ["query_class"], "query_id")
 
 
 @query("select o_orderpriority, count(o_totalprice) as n, round(avg(o_totalprice), 4) as mean, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.95), 4) as p95 from orders group by 1")

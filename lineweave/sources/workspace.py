@@ -76,7 +76,13 @@ def discover(files: DataFrame, patterns: list[str] | None = None, config: ScanCo
     path = F.col("relative_path")
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
     x = files.filter(ext.isin(*EXTENSIONS) & included(path, patterns or ["."]) & ~excluded(path, config) & (F.coalesce("size_bytes", F.lit(0)) <= config.max_bytes))
-    return x.withColumn("ext", ext)
+    x = x.withColumn("ext", ext)
+    if "ingested_at" not in x.columns:
+        return x
+    # the newest delivery of a path, by a partial maximum on its time and content; equal rows stay one
+    rest = [c for c in x.columns if c not in ("relative_path", "ingested_at")]
+    newest = F.max_by(F.struct(*rest), F.struct(F.col("ingested_at"), F.xxhash64(*rest))).alias("x")
+    return x.groupBy("relative_path").agg(F.max("ingested_at").alias("ingested_at"), newest).select("relative_path", "ingested_at", "x.*")
 
 
 def decode(content: Column) -> Column:
