@@ -144,21 +144,28 @@ _PACKED = "query_id bigint, position int, source string, start bigint, end bigin
 def pack(candidates: DataFrame, queries: DataFrame, budget: int, strategy: str = "coverage", k: int = 64) -> DataFrame:
     """Selected spans of each query in order: ``query_id, position, source, start, end, n_tokens, n_united``.
 
-    ``candidates`` has ``query_id, source, start, end, rank_score, text`` and may have ``line_start``; ``queries`` has ``query_id, query_text``.
+    ``candidates`` has ``query_id, source, start, end, rank_score, text`` and may have ``line_start``, the ``names`` a span defines, those it ``needs`` and
+    whether the question ``named`` one of them; ``queries`` has ``query_id, query_text`` and may have a ``budget`` of its own.
     """
     c = head(candidates, k).withColumn("terms", T.keywords(F.col("text")))
     if "line_start" not in c.columns:
         c = c.withColumn("line_start", F.lit(None).cast("int"))
-    q = queries.select("query_id", T.keywords(F.col("query_text")).alias("query_terms"))
-    c = c.join(q, "query_id").select("query_id", "rank", "source", "start", "end", "rank_score", "terms", "query_terms", "line_start", "text")
+    none = F.array().cast("array<string>")
+    for name, absent in (("names", none), ("needs", none), ("named", F.lit(False))):
+        if name not in c.columns:
+            c = c.withColumn(name, absent)
+    own = F.col("budget") if "budget" in queries.columns else F.lit(budget)
+    q = queries.select("query_id", T.keywords(F.col("query_text")).alias("query_terms"), own.cast("bigint").alias("budget"))
+    c = c.drop("budget").join(q, "query_id").select("query_id", "rank", "source", "start", "end", "rank_score", "terms", "query_terms", "line_start", "text", "names", "needs", "named", "budget")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         spans = [
-            Span(r.source, int(r.start), int(r.end), r.rank_score, frozenset(r.terms), tuple((r.text or "").splitlines(keepends=True)), None if pd.isna(r.line_start) else int(r.line_start), parts=(int(r.rank),))
+            Span(r.source, int(r.start), int(r.end), r.rank_score, frozenset(r.terms), tuple((r.text or "").splitlines(keepends=True)), None if pd.isna(r.line_start) else int(r.line_start), frozenset(r.names), frozenset(r.needs), bool(r.named), (int(r.rank),))
             for r in pdf.itertuples()
         ]
-        out = pack_by_score(spans, budget) if strategy == "score" else pack_by_coverage(spans, frozenset(pdf.query_terms.iloc[0]), budget)
+        most = int(pdf.budget.iloc[0])
+        out = pack_by_score(spans, most) if strategy == "score" else pack_by_coverage(spans, frozenset(pdf.query_terms.iloc[0]), most)
         rows = [(pdf.query_id.iloc[0], n, s.source, s.start, s.end, s.tokens, len(s.parts)) for n, s in enumerate(out, 1)]
         return pd.DataFrame(rows, columns=["query_id", "position", "source", "start", "end", "n_tokens", "n_united"])
 

@@ -34,7 +34,7 @@ def diff_hunks(text: str) -> list[tuple[str, int, int]]:
     """(path, first line, lines) of the new side of each hunk. A hunk's own lines are counted off, so an added line ``++ x`` is no path."""
     out, path, old, new = [], None, 0, 0
     for line in text.split("\n"):
-        if old > 0 or new > 0:
+        if (old > 0 or new > 0) and line[:1] in (" ", "-", "+", "\\", ""):
             old -= line[:1] in (" ", "-", "")
             new -= line[:1] in (" ", "+", "")
         elif line.startswith("+++ "):

@@ -37,11 +37,21 @@ class Questions:
     start: np.ndarray
     of: np.ndarray
     sizes: np.ndarray
+    scopes: list[str] | None = None
+
+    def within(self, b: pa.RecordBatch) -> np.ndarray | float:
+        """1 where a span lies in the question's scope, else 0."""
+        if self.scopes is None:
+            return 1.0
+        both = pa.array([*self.scopes, *b.column("scope").to_pylist()], pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        n = len(self.scopes)
+        return (both[:n, None] == both[None, n:]).astype(np.float64)
 
 
 def question_blocks(queries: DataFrame, terms: Column, block: int = BLOCK) -> Iterator[Questions]:
     """The questions (query_id and a column of terms) in blocks of about ``block``; those without terms are left out. Only one block is held at a time."""
-    q = queries.select("query_id", terms.alias("k")).filter(F.size("k") > 0)
+    scoped = "scope" in queries.columns
+    q = queries.select("query_id", terms.alias("k"), *(["scope"] if scoped else [])).filter(F.size("k") > 0)
     n = q.count()
     parts = max(1, -(-n // block))
     for i in range(parts):
@@ -53,7 +63,7 @@ def question_blocks(queries: DataFrame, terms: Column, block: int = BLOCK) -> It
         at = {t: j for j, t in enumerate(words)}
         pairs = np.array(sorted((at[t], j) for j, r in enumerate(rows) for t in set(r.k)), dtype=np.int64).reshape(-1, 2)
         start = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
-        yield Questions(np.array([r.query_id for r in rows], dtype=np.int64), words, start, pairs[:, 1], np.array([len(r.k) for r in rows], dtype=np.float64))
+        yield Questions(np.array([r.query_id for r in rows], dtype=np.int64), words, start, pairs[:, 1], np.array([len(r.k) for r in rows], dtype=np.float64), [r.scope for r in rows] if scoped else None)
 
 
 def numbered_spans(spans: DataFrame, terms: Column, more: dict[str, Column] | None = None, key: list[str] | None = None) -> DataFrame:
@@ -117,10 +127,9 @@ def statistics(index: DataFrame, q: Questions, repeated: bool = False) -> Statis
 class Bm25:
     """BM25; with ``repeated`` a term counts as often as it occurs, else once."""
 
-    columns = ("span_no", "terms")
-
     def __init__(self, index: DataFrame, q: Questions, k1: float = 1.5, b: float = 0.75, repeated: bool = False):
         self.q, self.k1, self.b, self.repeated = q, k1, b, repeated
+        self.columns = ("span_no", "terms") if q.scopes is None else ("span_no", "terms", "scope")
         s = statistics(index, q, repeated)
         self.mean = s.mean
         self.idf = np.log(1 + (s.n - s.holders + 0.5) / (s.holders + 0.5))
@@ -133,16 +142,15 @@ class Bm25:
             rows, terms = both
         size = pc.fill_null(pc.list_value_length(b.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.float64)
         norm = self.k1 * (1 - self.b + self.b * size[rows] / (self.mean or 1.0))
-        return _spread(self.q, rows, terms, self.idf[terms] * often * (self.k1 + 1) / (often + norm), b.num_rows)
+        return _spread(self.q, rows, terms, self.idf[terms] * often * (self.k1 + 1) / (often + norm), b.num_rows) * self.q.within(b)
 
 
 class Coverage:
     """Share of a question's terms in the text, their density, and half the share in the path."""
 
-    columns = ("span_no", "terms", "path_terms", "n_tokens")
-
     def __init__(self, index: DataFrame, q: Questions):
         self.q = q
+        self.columns = ("span_no", "terms", "path_terms", "n_tokens") + (() if q.scopes is None else ("scope",))
 
     def parts(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         asked = pa.array(self.q.terms, pa.string())
@@ -152,7 +160,7 @@ class Coverage:
 
     def table(self, b: pa.RecordBatch) -> np.ndarray:
         _, cover, density, bonus = self.parts(b)
-        return cover + density + bonus
+        return (cover + density + bonus) * self.q.within(b)
 
 
 class Subword:
@@ -290,9 +298,10 @@ def fused_top(index: DataFrame, q: Questions, k: int = 64, rrf: int = 60) -> Dat
 
 
 def keyword_index(spans: DataFrame) -> DataFrame:
-    """Numbered spans for BM25 and coverage."""
+    """Numbered spans for BM25 and coverage; questions with a ``scope`` see only spans of the same."""
     n = F.greatest(F.col("token_end") - F.col("token_start"), F.lit(1)).cast("double")
-    return numbered_spans(spans, T.keywords(F.col("text")), {"path_terms": T.path_keywords(F.col("source")), "n_tokens": n})
+    more = {"path_terms": T.path_keywords(F.col("source")), "n_tokens": n} | ({"scope": F.col("scope")} if "scope" in spans.columns else {})
+    return numbered_spans(spans, T.keywords(F.col("text")), more)
 
 
 def signal_counts(index: DataFrame, q: Questions) -> DataFrame:

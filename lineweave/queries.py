@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
-from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, symbols, trace
+from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, select, symbols, trace
 from lineweave.sources import workspace
 from lineweave.sources.tables import table
 from lineweave.streaming import usage
@@ -393,7 +393,124 @@ def assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(c, table(spark, sf_dir, "queries"), 600)
 
 
-flagship = assemble_context
+_RANGES = "rg as (select distinct source, line_start as low, line_end as high from raw_spans where span_id % 20 = 0 and line_start is not null and line_end is not null)"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated set of requested ranges: the lines of every twentieth span."""
+    s = table(spark, sf_dir, "raw_spans").filter("span_id % 20 = 0 and line_start is not null and line_end is not null")
+    return s.select("source", F.col("line_start").alias("low"), F.col("line_end").alias("high")).distinct()
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spans with their repository as scope, and questions asked in one."""
+    s = table(spark, sf_dir, "raw_spans").filter("text is not null and token_end > token_start")
+    first = F.min_by(F.struct("text", "line_start", "line_end"), "span_id").alias("x")
+    s = s.groupBy("source", "token_start", "token_end").agg(first).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("scope"), "source", "token_start", "token_end", "x.*")
+    return s, table(spark, sf_dir, "queries").select("query_id", "query_text", F.col("repo").alias("scope"))
+
+
+@query()
+def select_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context for every question out of its repository: all of it within 3000 tokens, else the active window and the packed best. Tested by brute force."""
+    return select.select_context(*_scoped(spark, sf_dir), definitions(spark, sf_dir), 3000)
+
+
+flagship = select_context
+
+
+_SCOPED = """sp as (select split_part(source, '/', 1) as scope, source, token_start, token_end, arg_min(text, span_id) as text from raw_spans where text is not null and token_end > token_start group by 2, 3, 4),
+tot as (select scope, sum(token_end - token_start) as total from sp group by 1)"""
+
+
+@query(
+    f"""with {_SCOPED}, q as (select query_id, repo as scope from queries join tot on repo = scope where total <= 3000)
+select query_id, source, token_start as "start", token_end as "end", row_number() over (partition by query_id order by source, token_start, token_end)::int as position from q join sp using (scope)"""
+)
+def lossless_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions whose whole scope fits."""
+    x = select.select_context(*_scoped(spark, sf_dir), definitions(spark, sf_dir), 3000)
+    return x.filter("route = 'lossless'").select("query_id", "source", "start", "end", "position")
+
+
+@query(
+    """with x as (select *, case when lag(char_end) over (partition by source order by char_start, char_end) = char_start then 0 else 1 end as n from (select distinct source, char_start, char_end, line_start, line_end from raw_spans where char_start is not null)),
+y as (select *, sum(n) over (partition by source order by char_start, char_end rows unbounded preceding) as run from x)
+select source, min(line_start) as line_start, max(line_end) as line_end, min(char_start) as char_start, max(char_end) as char_end, count(*) as n_spans from y group by source, run"""
+)
+def lossless_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "raw_spans", "source", "char_start", "char_end", "line_start", "line_end").filter("char_start is not null").distinct()
+    return select.lossless_groups(s)
+
+
+@query(
+    f"""with {_LINES}, {_RANGES}, r as (select source, low, high, row_number() over (order by source, low, high)::int as place from rg where source in (select source from rg)),
+x as (select 0 as request_id, place, r.source, line, n_tokens + (line = low)::int as cost from r join toks t on t.source = r.source and t.line between low and high),
+y as (select *, sum(cost) over (order by place, line rows unbounded preceding) as used from x), z as (select *, used <= 5000 as fits from y)
+select r.place, r.source as path, r.low, r.high, max(line) filter (fits)::int as read_to, coalesce(sum(cost) filter (fits), 0)::bigint as n_tokens, min(line) filter (not fits)::int as continue_at from r left join z using (place) group by 1, 2, 3, 4"""
+)
+def read_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for the lines of every twentieth span in order, up to 5000 tokens, and where to continue."""
+    r = _ranges(spark, sf_dir)
+    w = Window.orderBy("source", "low", "high")  # one request's ranges
+    r = r.select(F.lit(0).alias("request_id"), F.row_number().over(w).alias("place"), F.col("source").alias("path"), "low", "high")
+    x = select.read_ranges(chunk.lines(files(spark, sf_dir)), r, 5000).drop("request_id")
+    return x.withColumns({"read_to": F.col("read_to").cast("int"), "continue_at": F.col("continue_at").cast("int")})
+
+
+@query(
+    f"""with {_SCOPED.replace('text from raw', 'text from raw')}, c as (select distinct query_id, source, tok_start as "start", tok_end as "end", token_count::bigint as n_tokens from candidates where tok_start is not null and tok_end is not null),
+k as (select *, row_number() over (partition by query_id order by n_tokens desc, source, "start", "end") as n from c), s as (select * from k where n <= 3),
+d as (select c.query_id, count(*) as n_dropped from (select distinct query_id, source, "start", "end" from c) c where not exists (select 1 from s where s.query_id = c.query_id and s.source = c.source and s."start" <= c."start" and c."end" <= s."end") group by 1),
+g as (select query_id, count(*) as n_kept, sum(n_tokens)::bigint as kept_tokens, list_sort(list(source || '#tokens=' || "start" || ':' || "end")) as kept from s group by 1)
+select query_id, n_kept, kept_tokens, kept, coalesce(n_dropped, 0) as n_dropped, sha256(query_id || chr(10) || array_to_string(kept, chr(10))) as receipt_id from g left join d using (query_id)"""
+)
+def selection_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of a selection that keeps each question's three largest candidates."""
+    c = table(spark, sf_dir, "candidates").filter("tok_start is not null and tok_end is not null")
+    c = c.select("query_id", "source", F.col("tok_start").alias("start"), F.col("tok_end").alias("end"), F.col("token_count").cast("bigint").alias("n_tokens")).distinct()
+    w = Window.partitionBy("query_id").orderBy(F.col("n_tokens").desc(), "source", "start", "end")
+    kept = c.withColumn("n", F.row_number().over(w)).filter("n <= 3").drop("n")
+    return select.receipts(c, kept)
+
+
+@query(
+    """select cand_id, query_id, coalesce(metadata.provenance, source || ':' || case when metadata.line_start = metadata.line_end then metadata.line_start::varchar else metadata.line_start || '-' || metadata.line_end end) as provenance,
+source || '#tokens=' || tok_start || ':' || tok_end as span_id, token_count, selection_reasons, rank_score, text from candidates"""
+)
+def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.response(table(spark, sf_dir, "candidates"))
+
+
+@query(
+    """with c as (select distinct query_id, source, tok_start, tok_end from candidates where tok_start is not null), t as (select * from c where tok_start = 0)
+select query_id, source, tok_start as "start", tok_end as "end" from c where not exists (select 1 from t where t.query_id = c.query_id and t.source = c.source and c.tok_start < t.tok_end and t.tok_start < c.tok_end)"""
+)
+def outside_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that overlap no candidate at the head of its file."""
+    c = table(spark, sf_dir, "candidates").filter("tok_start is not null").select("query_id", "source", F.col("tok_start").alias("start"), F.col("tok_end").alias("end")).distinct()
+    return select.without(c, c.filter("start = 0"))
+
+
+@query(
+    """with r as (select distinct query_id as request_id, source as path, metadata.line_start as low, metadata.line_end as high, cand_id as place from candidates where metadata.line_start is not null and metadata.line_end >= metadata.line_start),
+s as (select *, case when low <= max(high) over (partition by request_id, path order by low, high rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as n from r),
+i as (select *, sum(n) over (partition by request_id, path order by low, high rows unbounded preceding) as k from s), m as (select request_id, path, min(low) as low, max(high) as high from i group by request_id, path, k),
+f as (select request_id, path, min(place) as first from r group by 1, 2)
+select request_id, row_number() over (partition by request_id order by first, path, low)::int as place, path, low, high from m join f using (request_id, path)"""
+)
+def resolve_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges that a question's candidates name, as one request each: files in the order asked for, touching ranges united."""
+    c = table(spark, sf_dir, "candidates").filter("metadata.line_start is not null and metadata.line_end >= metadata.line_start")
+    r = c.select(F.col("query_id").alias("request_id"), F.col("cand_id").alias("place"), F.col("source").alias("path"), F.col("metadata.line_start").alias("low"), F.col("metadata.line_end").alias("high"))
+    return select.resolve(r, r.select("request_id", "path").limit(0), 10_000)
+
+
+@query()
+def symbol_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map of the definitions of each question's repository within 200 tokens. Tested by brute force."""
+    d = definitions(spark, sf_dir).withColumn("scope", F.split_part("source", F.lit("/"), F.lit(1)))
+    return select.symbol_map(d, table(spark, sf_dir, "queries").select("query_id", "query_text", F.col("repo").alias("scope")), 200)
 
 
 # --- search --------------------------------------------------------------------------------------------------------------------------------------------
@@ -637,15 +754,6 @@ def trace_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.pack_trace(trace.trace(_traceable(spark, sf_dir), _asked_names(spark, sf_dir), 1)[0], 4000).select("source", "name", "line_start", "n_tokens")
 
 
-_RANGES = "rg as (select distinct source, line_start as low, line_end as high from raw_spans where span_id % 20 = 0 and line_start is not null and line_end is not null)"
-
-
-def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of requested ranges: the lines of every twentieth span."""
-    s = table(spark, sf_dir, "raw_spans").filter("span_id % 20 = 0 and line_start is not null and line_end is not null")
-    return s.select("source", F.col("line_start").alias("low"), F.col("line_end").alias("high")).distinct()
-
-
 @query(f"with {_LINES}, {_RANGES} select source, line::int as line, case when source not in (select source from rg) or exists (select 1 from rg where rg.source = l.source and line between low and high) then text else '' end as text from lines_ l")
 def blanked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all files, those outside requested ranges emptied."""
