@@ -41,6 +41,27 @@ def pagerank(seed: DataFrame, edges: DataFrame, iterations: int = 12, damping: f
     return rank
 
 
+def weighted_pagerank(seed: DataFrame, edges: DataFrame, iterations: int = 12, damping: float = 0.85) -> DataFrame:
+    """``node, rank`` as ``pagerank``, with each node's rank split over its edges (src, dst, weight) by weight. Parallel edges add up; nodes without edges
+    and edges of no weight pass their mass on by the seed."""
+    total = seed.agg(F.sum("score")).first()[0]
+    if not total:
+        return seed.select("node", F.lit(0.0).alias("rank")).limit(0)
+    e = edges.filter(F.col("weight") > 0).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    out = e.groupBy("src").agg(F.sum("weight").alias("out"))
+    base = durable(seed.select("node", (F.col("score") / total).alias("start")).join(out, F.col("node") == F.col("src"), "left").select("node", "start", "out"), "wrank-nodes")
+    links = durable(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "wrank-links")
+    rank = base.select("node", F.col("start").alias("rank"))
+    for i in range(iterations):
+        moved = links.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(damping * F.col("rank") * F.col("share")).alias("gain"))
+        idle = base.join(rank, "node").filter(F.col("out").isNull()).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
+        x = base.join(moved, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(idle))  # one row
+        rank = x.select("node", ((1 - damping + damping * F.col("idle")) * F.col("start") + F.coalesce("gain", F.lit(0.0))).alias("rank"))
+        if i % 4 == 3 and i + 1 < iterations:
+            rank = durable(rank, f"wrank-{i}")
+    return rank
+
+
 def closure(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """``node, depth`` of everything reached from ``roots`` (node) along ``edges`` (src, dst) in at most ``max_depth`` steps, each node at its least depth."""
     seen = durable(roots.select("node").distinct().withColumn("depth", F.lit(0)), "closure-0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
-from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, select, symbols, trace
+from lineweave.operators import accounting, chunk, evalkit, graph, pack, rank, review, search, select, symbols, trace, trials
 from lineweave.sources import workspace
 from lineweave.sources.tables import table
 from lineweave.streaming import usage
@@ -940,6 +940,159 @@ def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "tasks").select("item_id", evalkit.grounded(F.col("answer"), F.col("answer_keywords"), F.col("critical_source").isNotNull()).alias("success"))
 
 
+@query(
+    """with c as (select distinct query_id, source, tok_start, tok_end, token_count from candidates where tok_start is not null and token_count is not null), x as (select *, (sum(token_count) over (partition by query_id order by source, tok_start, tok_end rows unbounded preceding)) as used from c)
+select query_id, source, tok_start, tok_end, token_count::bigint as n_tokens from x where used <= 1000"""
+)
+def pack_until_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's candidates in the order of their places up to the first that overflows."""
+    c = table(spark, sf_dir, "candidates", "query_id", "source", "tok_start", "tok_end", "token_count").filter("tok_start is not null and token_count is not null").distinct()
+    return trials.pack_until(c, ["query_id"], [F.col(x) for x in ("source", "tok_start", "tok_end")], F.col("token_count"), 1000).drop("token_count")
+
+
+_DOCS = r"""d as (select source, doc_id, (len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda t: t <> '')))::bigint as n from documents where text is not null)"""
+
+
+@query(f"with {_DOCS}, x as (select *, (sum(n) over (partition by source order by doc_id rows unbounded preceding)) - n as before from d) select source, doc_id, least(n, 2000 - before)::bigint as n_tokens from x where before < 2000")
+def pack_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source in order within 2000 tokens, the last one cut."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("source", "doc_id", T.token_count(F.col("text")).alias("n"))
+    return trials.pack_until(d, ["source"], [F.col("doc_id")], F.col("n"), 2000, clip=True).select("source", "doc_id", "n_tokens")
+
+
+@query(
+    f"""with {_FILES}, p as (select source, (len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '')))::bigint as n, (contains({_cf('source')}, '/test') or contains({_cf('source')}, 'test_') or contains({_cf('source')}, '_test.') or contains({_cf('source')}, '/tests/') or contains({_cf('source')}, 'conftest'))::int * 2
++ (suffix({_cf('source')}, '.md') or suffix({_cf('source')}, '.rst') or suffix({_cf('source')}, '.txt'))::int as priority from files_), x as (select *, (sum(n) over (order by priority, source, n rows unbounded preceding)) - n as before from p)
+select source, priority, least(n, 60000 - before)::bigint as n_tokens from x where before < 60000"""
+)
+def broad_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files, code first, within 60000 tokens."""
+    f = files(spark, sf_dir).select("source", trials.source_priority(F.col("source")).alias("priority"), T.token_count(F.col("text")).alias("n"))
+    return trials.pack_until(f, [], [F.col("priority"), F.col("source"), F.col("n")], F.col("n"), 60_000, clip=True).select("source", "priority", "n_tokens")
+
+
+@query(
+    f"""with {_FILES}, f as (select split_part(source, '/', 1) as scope, source, {_cf('text')} as t, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '')) as n from files_),
+q as (select query_id, repo as scope, unnest({_kw('query_text')}) as term from queries where repo is not null),
+x as (select query_id, source, sum((length(t) - length(replace(t, term, ''))) // length(term))::bigint as hits, any_value(n) as n from q join f using (scope) group by 1, 2 having hits > 0),
+r as (select *, row_number() over (partition by query_id order by hits desc, source)::int as place from x) select query_id, place, source, hits, least(n, 4000)::int as n_tokens from r where place <= 6"""
+)
+def native_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("scope", F.split_part("source", F.lit("/"), F.lit(1)))
+    return trials.native_search(f, table(spark, sf_dir, "queries").select("query_id", "query_text", F.col("repo").alias("scope")))
+
+
+@query(f"with {_LINES}, m as (select *, row_number() over (partition by source order by line) as n from lines_ where regexp_matches(text, '(?i)ledger|queue')) select source, line::int as line, substr(trim(text), 1, 200) as text from m where n <= 5 order by source, line limit 40")
+def grep_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.grep(chunk.lines(files(spark, sf_dir)), "ledger|queue").withColumn("line", F.col("line").cast("int"))
+
+
+_ATTEMPTS = "a as (select event_type as arm, event_id, value >= 5 as supported, value < 1 as failed, case when event_id % 97 <> 0 or event_type = 'click' then floor(value * 100)::bigint end as tokens, case when event_type <> 'view' or event_id % 53 <> 0 then round(value, 2) end as cost, round(value, 2) + 1 as bound from events)"
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts, some of unknown usage or cost."""
+    known = (F.col("event_id") % 97 != 0) | (F.col("event_type") == "click")
+    priced = (F.col("event_type") != "view") | (F.col("event_id") % 53 != 0)
+    cost = F.round("value", 2)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("arm"), "event_id", (F.col("value") >= 5).alias("supported"), (F.col("value") < 1).alias("failed"), F.when(known, F.floor(F.col("value") * 100)).alias("tokens"), F.when(priced, cost).alias("cost"), (cost + 1).alias("bound")
+    )
+
+
+@query(
+    f"""with {_ATTEMPTS}, g as (select arm, count(*) as n, sum(supported::int)::bigint as supported, sum(failed::int)::bigint as failed, count(*) filter (tokens is null) as unknown_usage, count(*) filter (cost is null) as unknown_cost, coalesce(sum(tokens), 0)::bigint as tokens_at_least,
+case when count(tokens) = count(*) then sum(tokens)::bigint end as tokens, case when count(cost) = count(*) then sum(cost) end as cost, sum(bound) as cost_at_most from a group by 1)
+select arm, n, supported, failed, unknown_usage, unknown_cost, tokens_at_least, tokens, round(cost, 4) as cost, round(cost_at_most, 4) as cost_at_most, round(tokens / nullif(supported, 0), 4) as tokens_per_supported, round(cost / nullif(supported, 0), 4) as cost_per_supported, round(cost / n, 4) as mean_cost from g"""
+)
+def attempts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = trials.attempts_summary(_attempts(spark, sf_dir), ["arm"])
+    return x.withColumns({c: F.round(c, 4) for c in ("cost", "cost_at_most", "tokens_per_supported", "cost_per_supported", "mean_cost")})
+
+
+@query()
+def paired_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over the questions of each class: candidates found by names against those that were not. Bootstrap draws are tested against the generator."""
+    c = table(spark, sf_dir, "candidates").filter("rank_score is not null and not isnan(rank_score)")
+    arm = lambda a, flag: c.filter(F.array_contains("selection_reasons", "symbol") == flag).groupBy("query_id").agg(
+        (F.max("rank_score") > 0.5).cast("int").alias(f"supported_{a}"), (F.min("rank_score") < 0).cast("int").alias(f"errors_{a}"), F.sum("token_count").cast("double").alias(f"tokens_{a}")
+    )
+    rows = arm("a", True).join(arm("b", False), "query_id").join(table(spark, sf_dir, "queries", "query_id", "query_class"), "query_id")
+    return trials.paired_gate(rows, ["query_class"], "query_id", 2000)
+
+
+@query(
+    """with t as (select user_id as run, event_id as turn, 100 as fixed, floor(value)::bigint as output, case when event_type <> 'view' then floor(value * 3)::bigint end as reply from events),
+x as (select *, fixed + coalesce(sum(output + coalesce(reply, 0)) over (partition by run order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as prompt from t)
+select run, turn, prompt, (sum(prompt + output) over (partition by run order by turn rows unbounded preceding))::bigint as total from x"""
+)
+def replay_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.when(F.col("event_type") != "view", F.floor(F.col("value") * 3))
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("turn"), F.lit(100).cast("bigint").alias("fixed"), F.floor("value").alias("output"), reply.alias("reply"))
+    return trials.replay(t)
+
+
+@query(
+    """with c as (select cand_id as cite_id, source, metadata.line_start as low, metadata.line_end as high from candidates where metadata.line_start is not null and metadata.line_end >= metadata.line_start),
+d as (select distinct source, line_start as low, line_end as high from raw_spans where line_end >= line_start and span_id % 2 = 0), cl as (select distinct source, unnest(range(low, high + 1)) as line from d),
+x as (select cite_id, high - low + 1 as n, (select count(*) from cl where cl.source = c.source and line between c.low and c.high) as m from c) select cite_id, case when m = n then 'whole' when m > 0 then 'fragment' else 'never' end as delivery from x"""
+)
+def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the lines that candidates cite lie within every second span, as delivered."""
+    c = table(spark, sf_dir, "candidates").filter("metadata.line_start is not null and metadata.line_end >= metadata.line_start")
+    d = table(spark, sf_dir, "raw_spans").filter("span_id % 2 = 0").select("source", F.col("line_start").alias("low"), F.col("line_end").alias("high"))
+    return trials.citations(c.select(F.col("cand_id").alias("cite_id"), "source", F.col("metadata.line_start").alias("low"), F.col("metadata.line_end").alias("high")), d)
+
+
+@query("with want as (select distinct c_custkey as task_id, unnest(['F', 'O', 'P']) as arm from customer) select task_id, arm from want anti join (select distinct o_custkey as task_id, o_orderstatus as arm from orders) using (task_id, arm)")
+def pending_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderstatus").alias("arm"))
+    return trials.pending(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id")), ["F", "O", "P"], done)
+
+
+@query(
+    f"""with p as (select query_class, case when coalesce(n, 0) < 2 then 'unknown' when {_any(accounting.TRACE_SIGNALS)} then 'trace' when {_any(accounting.AGGREGATION_SIGNALS)} then 'aggregation' else 'localized' end as predicted
+from (select query_class, {_cf('query_text')} as q, len({_kw('query_text')}) as n from queries) where query_class is not null)
+select query_class, count(*) as n, round(avg((predicted = query_class)::int), 6) as accuracy from p group by grouping sets ((), (query_class))"""
+)
+def router_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "queries").withColumn("predicted", accounting.query_class(F.col("query_text")))
+    return trials.router_accuracy(q, "predicted", "query_class").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(
+    """with s as (select item_id, list(source) as sources from (select distinct query_id, source from candidates) join (select item_id, row_number() over (order by item_id) as k from tasks) on k % 200 = query_id % 200 group by 1)
+select item_id, case when critical_source is not null then len(list_filter(sources, lambda x: contains(x, critical_source))) > 0 end as hit, len(list_filter(answer_keywords, lambda w: contains(w, '_') or regexp_matches(w, '^.+[A-Z]'))) as name_like from tasks join s using (item_id)"""
+)
+def source_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sources found for a question hold a task's critical source, and how many of its keywords look like names."""
+    t = table(spark, sf_dir, "tasks").withColumn("k", F.row_number().over(Window.orderBy("item_id")) % 200)  # 320 tasks
+    c = table(spark, sf_dir, "candidates", "query_id", "source").distinct().withColumn("k", F.col("query_id") % 200).groupBy("k").agg(F.collect_set("source").alias("sources"))
+    x = t.join(c, "k")
+    return x.select("item_id", trials.source_hit(F.col("sources"), F.col("critical_source")).alias("hit"), F.size(F.filter("answer_keywords", trials.name_like)).cast("bigint").alias("name_like"))
+
+
+def _weighted_sql(steps: int = 12) -> str:
+    step = """, r{j} as (select a.node, (0.15 + 0.85 * i.idle) * a.start + coalesce(m.gain, 0) as rank from nodes a left join (
+  select dst, sum(0.85 * rank * w / outs) as gain from we join r{i} on r{i}.node = we.src join nodes using (node) group by 1) m on m.dst = a.node, (select coalesce(sum(rank), 0) as idle from r{i} join nodes using (node) where outs is null) i)"""
+    head = f"""with {_FILES}, nm as (select source as src, name, sqrt(count(*)) as w from (select source, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) as name from files_) group by 1, 2),
+dd as (select distinct sym_name as name, source as dst from symbols where kind <> 'import' and sym_name <> '' and sym_name <> '<anonymous>'),
+we as materialized (select src, dst, sum(w) as w from nm join dd using (name) where src <> dst and dst in (select source from files_) group by 1, 2), cnt as (select count(distinct source) as n from files_),
+nodes as materialized (select node, 1.0::double / n as start, n, outs from (select distinct source as node from files_) left join (select src as node, sum(w) as outs from we group by 1) using (node), cnt), r0 as (select node, start as rank from nodes)"""
+    return head + "".join(step.format(i=i, j=i + 1) for i in range(steps)) + f" select node, round(rank, 9) as rank from r{steps}"
+
+
+@query(_weighted_sql())
+def weighted_reference_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by who names their definitions, an edge weighing the square root of the mentions."""
+    f = files(spark, sf_dir)
+    seed = f.groupBy(F.col("source").alias("node")).agg(F.lit(1.0).alias("score"))
+    d = definitions(spark, sf_dir).filter("name <> '' and name <> '<anonymous>'").select("name", F.col("source").alias("dst")).distinct()
+    n = f.select(F.col("source").alias("src"), F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), 1)).alias("name")).groupBy("src", "name").agg(F.sqrt(F.count("*")).alias("weight"))
+    e = n.join(d, "name").filter("src <> dst").join(seed.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+    return graph.weighted_pagerank(seed, e).select("node", F.round("rank", 9).alias("rank"))
+
+
 # --- usage over time -----------------------------------------------------------------------------------------------------------------------------------
 
 
