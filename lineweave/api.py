@@ -88,11 +88,12 @@ class Engine:
     def find_evidence(self, query: str, include: list[str] | None = None, top_k: int = 30) -> Answer:
         f, note = self.within(include)
         q = self._one(query)
-        terms = search.evidence_terms(q)
-        scores = search.rerank(f, self.definitions.select("name", "kind", "source", "line_start", "line_end", F.col("ordinal").cast("bigint").alias("ordinal"), "refs"), q, search.evidence_file_scores(f, terms))
-        hits = search.evidence_hits(chunk.lines(f), scores, top_k).drop("query_id")
-        have = scores.select(F.explode("terms.term").alias("term")).distinct()
-        absent = sorted(r.term for r in terms.select("term").distinct().join(have, "term", "left_anti").collect())  # words of one query
+        d = self.definitions.select("name", "kind", "source", "line_start", "line_end", F.col("ordinal").cast("bigint").alias("ordinal"), "refs")
+        hits = search.evidence_hits(f, chunk.lines(f), q, d, top_k).drop("query_id")
+        terms = [r.term for r in search.evidence_terms(q).select("term").distinct().collect()]  # words of one query
+        folded = T.casefold(F.col("text"))
+        have = f.agg(*[F.coalesce(F.bool_or(F.contains(folded, F.lit(t))), F.lit(False)).alias(f"t{i}") for i, t in enumerate(terms)] or [F.lit(True).alias("t")]).first()
+        absent = sorted(t for t, h in zip(terms, have) if not h)
         return Answer(hits, [*([note] if note else []), *([f"no file holds: {', '.join(absent)}"] if absent else [])])
 
     def _spans(self, files: DataFrame, block: int) -> DataFrame:

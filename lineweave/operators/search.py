@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
@@ -116,13 +117,79 @@ def _substrings(words: list[str]):
             auto.add_word(w, w)
         auto.make_automaton()
         for b in batches:
-            held = [sorted({w for _, w in auto.iter(t)}) if t and words else [] for t in b.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(h) for h in held]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array([w for h in held for w in h], pa.string())], names=["source", "n_lines", "term"])
+            held = [sorted({w for _, w in auto.iter(t)}) if t and words else [] for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(held, pa.list_(pa.string()))], names=["source", "n_lines", "prior", "terms"])
 
     return run
 
 
+class _Rarity:
+    """Score of a file for a question: rarity of the terms it holds and their share, by its path's prior and its length."""
+
+    columns = ("span_no", "terms", "n_lines", "prior")
+
+    def __init__(self, index: DataFrame, q: score.Questions, share: float, length_norm: float):
+        self.q, self.norm = q, length_norm
+        s = score.statistics(index, q)
+        common = max(1, int(s.n * share))
+        self.idf = np.where(s.holders <= common, np.log(1 + (s.n - s.holders + 0.5) / (s.holders + 0.5)), 0.0)
+        self.mean, self.files = np.ones(len(q.ids)), np.zeros(len(q.ids), dtype=np.int64)
+        for r in index.select(*self.columns).mapInArrow(self._lengths, "i bigint, n bigint, lines double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines")).collect():  # a row a question
+            self.mean[r.i], self.files[r.i] = r.lines / r.n, r.n
+
+    def _lengths(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lines = np.zeros(len(self.q.ids), dtype=np.int64), np.zeros(len(self.q.ids))
+        for b, _ in score._chunks(batches):
+            some = self._held(b) > 0
+            n += some.sum(axis=1)
+            lines += some @ b.column("n_lines").to_numpy(zero_copy_only=False).astype(np.float64)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(lines[at])], names=["i", "n", "lines"])
+
+    def _held(self, b: pa.RecordBatch) -> np.ndarray:
+        return score._spread(self.q, *score._postings(b.column("terms"), pa.array(self.q.terms, pa.string())), None, b.num_rows)
+
+    def table(self, b: pa.RecordBatch) -> np.ndarray:
+        rows, terms = score._postings(b.column("terms"), pa.array(self.q.terms, pa.string()))
+        rarity, m = score._spread(self.q, rows, terms, self.idf[terms], b.num_rows), score._spread(self.q, rows, terms, None, b.num_rows)
+        n_lines, prior = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[None, :] for c in ("n_lines", "prior"))
+        return np.where(m > 0, prior * (rarity + m / (self.q.sizes[:, None] + 1)) / (1 - self.norm + self.norm * n_lines / self.mean[:, None]), 0.0)
+
+
+@dataclass
+class Evidence:
+    """A block of questions against all files: the files' terms, the ranker, and which question is which."""
+
+    index: DataFrame
+    ranker: _Rarity
+
+    def head(self, depth: int) -> DataFrame:
+        """``query_id, source, score, rank`` of the first ``depth`` files of each question."""
+        x = score.top(self.index, self.ranker, depth).join(self.index.select("span_no", "source"), "span_no")
+        return x.select("query_id", "source", (F.col("points") / score.PLACES).alias("score"), "rank")
+
+    def terms(self) -> DataFrame:
+        """``query_id, term, idf`` of the block's questions."""
+        q = self.ranker.q
+        at = np.repeat(np.arange(len(q.terms)), np.diff(q.start))
+        rows = [(int(q.ids[i]), q.terms[t], float(self.ranker.idf[t])) for t, i in zip(at, q.of)]
+        return self.index.sparkSession.createDataFrame(rows, "query_id bigint, term string, idf double")
+
+
+def evidence(files: DataFrame, queries: DataFrame, share: float = 0.2, length_norm: float = 0.5) -> Iterator[Evidence]:
+    """Blocks of questions ready to be ranked over all files (source, text).
+
+    A file holds a term if its folded text does as a substring; terms in more than a fifth of all files weigh nothing. One automaton of a block's terms
+    finds all of them in one pass over each text; files are then scored in place, and only the best of each task are shuffled.
+    """
+    k = F.filter(T.keywords(F.col("query_text")), lambda t: ~t.isin(*T.PROSE_WORDS))
+    x = files.select("source", F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"), path_prior(F.col("source")).alias("prior"), T.casefold(F.col("text")).alias("t"))
+    for q in score.question_blocks(queries, k):
+        held = x.mapInArrow(_substrings(q.terms), "source string, n_lines int, prior double, terms array<string>")
+        index = score.numbered_spans(held, F.col("terms"), {"n_lines": F.col("n_lines"), "prior": F.col("prior")}, ["source"])
+        yield Evidence(index, _Rarity(index, q, share, length_norm))
+
+
 #: Files of a question's ranking that are compared again, and lines of a block that is compared.
 RERANK, RERANK_LINES = 250, 60
 _RANKED = "query_id bigint, source string, bonus double"
@@ -172,18 +239,16 @@ def _head_rank(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"query_id": pdf.query_id, "source": pdf.source, "bonus": scaled(similar) + scaled(rank)})
 
 
-def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, scores: DataFrame, head: int = RERANK) -> DataFrame:
-    """``scores`` (query_id, source, score ...) with the score of each file over the question's largest, plus for the first ``head`` files of a question
-    their sub-word similarity and their rank in the graph of files that name what another defines, each over its largest. A question with one file keeps
-    its score.
+def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, first: DataFrame) -> DataFrame:
+    """``first`` (query_id, source, score: the head of each question's ranking) with the score of each file over the question's largest, plus its sub-word
+    similarity and its rank in the graph of files that name what another defines, each over its largest. A question with one file keeps its score.
 
-    The head of a question is one bounded group; features and names are computed once a file, wherever it is asked for. Names travel as hashes.
+    Only the head is compared again, and as nothing is taken away, what lies beyond can't overtake it. The head of a question is one bounded group;
+    features and names are computed once a file, wherever it is asked for. Names travel as hashes.
     """
     w = Window.partitionBy("query_id")
-    scores = durable(scores.withColumns({"lexical": F.coalesce(F.col("score") / F.max("score").over(w), F.lit(0.0)), "__files": F.count("*").over(w)}), "rerank-scores")
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
-    first = scores.filter("__files > 1").select("query_id", "source", "score", "lexical").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= head)
-    first = durable(first.select("query_id", "source", "lexical"), "rerank-head")
+    scores = durable(first.select("query_id", "source", "score").withColumns({"lexical": F.coalesce(F.col("score") / F.max("score").over(w), F.lit(0.0)), "__files": F.count("*").over(w)}), "rerank-scores")
+    first = scores.filter("__files > 1").select("query_id", "source", "lexical")
     asking = first.groupBy("source").agg(F.collect_list("query_id").alias("asking"))  # at most the stated questions
     texts = files.select("source", T.casefold(F.col("source")).alias("folded"), T.physical_lines(T.casefold(F.col("text"))).alias("lines")).join(asking, "source")
     vectors = [(q.ids, v) for q, v in score.subword_blocks(queries)]
@@ -199,41 +264,60 @@ def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, scores:
     return x.withColumn("score", blended).drop("lexical", "__files", "bonus")
 
 
-def evidence_file_scores(files: DataFrame, terms: DataFrame, share: float = 0.2, length_norm: float = 0.5, block: int = 20_000) -> DataFrame:
-    """``query_id, source, score, terms``: rarity of the query's terms present in a file (as substrings of the folded text), its path's prior and length.
+def evidence_files(files: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """``query_id, source, score, rank``: the best files of each question by rarity of terms, prior and length; ties by source."""
+    found = [e.head(top_k) for e in evidence(files, queries)]
+    if not found:
+        return files.select(F.lit(0).cast("bigint").alias("query_id"), "source", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, found)
 
-    Terms in more than a fifth of all files weigh nothing. ``terms`` is the set of questions the caller states; its distinct terms go to the tasks in
-    blocks of ``block``, and one automaton of a block finds all of them in one pass over each text, however many there are; only hits are shuffled.
-    """
-    total = files.count()
-    common = max(1, int(total * share))
-    folded = files.select("source", T.casefold(F.col("text")).alias("t"), F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"))
-    asked = terms.select("term").distinct()
-    parts = max(1, -(-asked.count() // block))
-    found = []
-    for i in range(parts):
-        words = [r.term for r in asked.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()]  # about ``block`` rows
-        found.append(folded.mapInArrow(_substrings(words), "source string, n_lines int, term string"))
-    present = reduce(DataFrame.unionByName, found)
-    present = durable(present, "evidence-hits")
-    df = present.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.when(F.col("df") <= common, F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(0.0)
-    x = present.join(df.select("term", idf.alias("idf")), "term").join(terms, "term")
-    per = x.groupBy("query_id", "source", "n_lines", "n_terms").agg(F.sum("idf").alias("rarity"), F.count("*").alias("m"), F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-    mean = F.avg("n_lines").over(Window.partitionBy("query_id"))
-    score = path_prior(F.col("source")) * (F.col("rarity") + F.col("m") / (F.col("n_terms") + 1)) / (1 - length_norm + length_norm * F.col("n_lines") / mean)
-    return per.withColumn("score", score)
-
-
-def evidence_hits(line_rows: DataFrame, scores: DataFrame, top_k: int = 30, per_file: int = 2) -> DataFrame:
-    """The best lines of the best files: a line's worth is the rarity of the query terms among its words; ``per_file`` lines of a file, files by score."""
-    words = line_rows.select("source", "line", "text", F.explode(T.line_words(F.col("text"))).alias("term"))
-    wanted = scores.select("query_id", "source", "score", F.explode("terms").alias("t")).select("query_id", "source", "score", F.col("t.term").alias("term"), F.col("t.idf").alias("idf"))
-    x = words.join(wanted, ["source", "term"]).groupBy("query_id", "source", "line", "text", "score").agg(F.sum("idf").alias("worth"))
+
+def _best_lines(line_rows: DataFrame, head: DataFrame, terms: DataFrame, index: DataFrame, per_file: int) -> DataFrame:
+    """The ``per_file`` lines of each (query_id, source, score) with the rarest words of the question."""
+    held = index.select("source", F.explode("terms").alias("term")).join(head.select("source").distinct(), "source", "left_semi")
+    wanted = head.join(held, "source").join(terms, ["query_id", "term"]).select("query_id", "source", "score", "term", "idf")
+    lines = line_rows.join(head.select("source").distinct(), "source", "left_semi")
+    words = lines.select("source", "line", "text", F.explode(T.line_words(F.col("text"))).alias("term"))
+    x = words.join(wanted, ["source", "term"]).groupBy("query_id", "source", "line", "score").agg(F.sum("idf").alias("worth"), F.first("text").alias("text"))
     w = Window.partitionBy("query_id", "source").orderBy(F.round("worth", 9).desc(), "line")
-    x = x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_file)
+    return x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_file).drop("n", "worth")
+
+
+def evidence_hits(files: DataFrame, line_rows: DataFrame, queries: DataFrame, definitions: DataFrame | None = None, top_k: int = 30, per_file: int = 2, head: int = RERANK) -> DataFrame:
+    """The best lines of the best files: a line's worth is the rarity of the question's terms among its words; ``per_file`` lines of a file, files by score.
+    With ``definitions`` the first ``head`` files are re-ranked.
+
+    The first ``head`` files of a question nearly always hold ``top_k`` lines; for the questions where they don't, eight times as many are looked at, and
+    so on to the last file, so the result is that over all files.
+    """
+    parts = []
+    for e in evidence(files, queries):
+        terms, depth = durable(e.terms(), "evidence-terms"), head
+        open_, most = queries.select("query_id").distinct(), int(e.ranker.files.max(initial=0))
+        while True:
+            x = durable(e.head(depth).join(open_, "query_id", "left_semi"), "evidence-head")
+            first = x.filter(F.col("rank") <= head)
+            scores = x.select("query_id", "source", "score")
+            if definitions is not None:
+                moved = rerank(files, definitions, queries, first)
+                rest = x.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).filter(F.col("rank") > head)
+                scores = moved.select("query_id", "source", "score").unionByName(rest.select("query_id", "source", "score"))
+            best = durable(_best_lines(line_rows, scores, terms, e.index, per_file), "evidence-lines")
+            if depth >= most:
+                parts.append(best)
+                break
+            short = x.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= depth).select("query_id")
+            short = short.join(best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k), "query_id", "left_anti")
+            short = durable(short, "evidence-short")
+            parts.append(best.join(short, "query_id", "left_anti"))
+            if short.isEmpty():
+                break
+            open_, depth = short, depth * 8
+    if not parts:
+        return line_rows.select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), "source", "line", "text").limit(0)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source", "line")
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("query_id", "rank", "source", "line", F.substring(F.trim("text"), 1, 160).alias("text"))
+    x = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return x.select("query_id", "rank", "source", "line", F.substring(F.trim("text"), 1, 160).alias("text"))
 
 
 def find_symbols(symbols: DataFrame, queries: DataFrame, kinds: list[str] | None = None, top_k: int = 30) -> DataFrame:

@@ -571,9 +571,8 @@ sc as (select query_id, source, (case when regexp_matches(lower(source), '(^|/)(
 
 @query(f"with {_EV}, r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, source)::int as rank from sc) select query_id, source, rank, round(score, 6) as score from r where rank <= 20")
 def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = search.evidence_file_scores(files(spark, sf_dir), search.evidence_terms(table(spark, sf_dir, "queries")))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
+    x = search.evidence_files(files(spark, sf_dir), table(spark, sf_dir, "queries"), 20)
+    return x.select("query_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
 _W = "regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*')"
@@ -590,26 +589,23 @@ select query_id, rank, source, line::int as line, substr(trim(text), 1, 160) as
 )
 def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    s = search.evidence_file_scores(f, search.evidence_terms(table(spark, sf_dir, "queries")))
-    return search.evidence_hits(chunk.lines(f), s)
-
-
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, q = files(spark, sf_dir), table(spark, sf_dir, "queries")
-    return search.rerank(f, definitions(spark, sf_dir), q, search.evidence_file_scores(f, search.evidence_terms(q)))
+    return search.evidence_hits(f, chunk.lines(f), table(spark, sf_dir, "queries"))
 
 
 @query()
 def evidence_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by rarity of terms, their first 250 moved by sub-word similarity and by who refers to whom among them. Tested against brute force."""
+    f, q = files(spark, sf_dir), table(spark, sf_dir, "queries")
+    x = search.rerank(f, definitions(spark, sf_dir), q, search.evidence_files(f, q, search.RERANK))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source")
-    return _reranked(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
+    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "source", "rank", F.round("score", 6).alias("score"))
 
 
 @query()
 def find_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best lines of the re-ranked files, two a file."""
-    return search.evidence_hits(chunk.lines(files(spark, sf_dir)), _reranked(spark, sf_dir))
+    f = files(spark, sf_dir)
+    return search.evidence_hits(f, chunk.lines(f), table(spark, sf_dir, "queries"), definitions(spark, sf_dir))
 
 
 @query(

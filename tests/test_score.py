@@ -111,7 +111,7 @@ def test_rerank_equals_plain_python(spark):
     f = spark.createDataFrame(files, "source string, text string")
     d = spark.createDataFrame(defs, "name string, kind string, source string, line_start int, line_end int, ordinal bigint, refs array<string>")
     q = spark.createDataFrame([(1, query), (2, query)], "query_id bigint, query_text string")
-    got = {(x.query_id, x.source): x.score for x in search.rerank(f, d, q, spark.createDataFrame(scores, "query_id bigint, source string, score double"), head=6).collect()}
+    got = {(x.query_id, x.source): x.score for x in search.rerank(f, d, q, spark.createDataFrame([x for x in scores if x[2] > 2], "query_id bigint, source string, score double")).collect()}
     assert got.pop((2, "src/f3.py")) == 4.0
 
     text = dict(files)
@@ -138,5 +138,16 @@ def test_rerank_equals_plain_python(spark):
                 after[t] += 0.85 * walk[s] / len(out[s] or head)
         walk = after
     scaled = lambda x: {s: v / max(x.values()) for s, v in x.items()}
-    want = {(1, s): lexical[s] + scaled(similar).get(s, 0.0) + scaled(walk).get(s, 0.0) for s in lexical}
+    want = {(1, s): lexical[s] + scaled(similar)[s] + scaled(walk)[s] for s in head}
     assert got == pytest.approx(want)
+
+
+def test_lines_beyond_the_head_are_found_where_the_head_has_too_few(spark):
+    """The rarest words stand in files whose lines hold them only within other words, so the head alone gives no line."""
+    files = [(f"a{i}.py", f"xxledgerxx {i}") for i in range(20)] + [(f"z{i}.py", "\n" * 50 + "the ledger\nthe queue") for i in range(6)]
+    f = spark.createDataFrame(files, "source string, text string").withColumn("term", F.lit("clash"))
+    lines = f.select("source", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    q = spark.createDataFrame([(1, "ledger"), (2, "queue"), (3, ""), (4, None)], "query_id bigint, query_text string")
+    some = lambda head: sorted((r.query_id, r["rank"], r.source, r.line) for r in search.evidence_hits(f, lines, q, top_k=4, head=head).collect())
+    assert some(2) == some(1000) and [x[2:] for x in some(2) if x[0] == 1] == [(f"z{i}.py", 51) for i in range(4)]
+    assert search.evidence_hits(f, lines, q.limit(0)).count() == 0 == search.evidence_hits(f.limit(0), lines.limit(0), q).count()
