@@ -19,7 +19,8 @@ PROSE_WORDS = tuple(
     while why will with would you your become became get got make made use used using like may might could need want see look know knows knowing thing things way ways one two first last new old""".split()
 )
 # Characters whose case folding is more than lower case and yields ASCII letters.
-FOLDS = (("ß", "ss"), ("ẞ", "ss"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ſ", "s"))
+FOLDS = (("ß", "ss"), ("ẞ", "ss"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ſ", "s"), ("ŉ", "\u02bcn"), ("ǰ", "j\u030c"), ("ẖ", "h\u0331"), ("ẗ", "t\u0308"),
+         ("ẘ", "w\u030a"), ("ẙ", "y\u030a"), ("ẚ", "a\u02be"))
 
 TERM = "[A-Za-z_][A-Za-z0-9_.-]*|[0-9]+"
 WHITE = "[ \\t\\n\\r\\f\\x0B\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"

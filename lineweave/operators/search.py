@@ -43,21 +43,33 @@ def path_prior(path: Column) -> Column:
 
 
 def find_files(files: DataFrame, queries: DataFrame, top_k: int = 30) -> DataFrame:
-    """Files whose path holds words of the query: ``query_id, path, match_score``, ranked by the share of words, then path.
+    """Files whose path holds words of the query: ``query_id, path, match_score, rank``, ranked by the share of words, then path. Scored where the paths lie.
 
     A query that is one path or identifier is taken literally: all its words count, stop words too.
     """
     trimmed = F.trim("query_text")
     literal = trimmed.rlike("^[A-Za-z0-9_./\\\\:-]+$")
     typed = F.array_distinct(F.regexp_extract_all(T.casefold(F.col("query_text")), F.lit("([a-z0-9]+)"), 1))
-    q = queries.filter(trimmed != "").select("query_id", literal.alias("literal"), F.when(literal, typed).otherwise(T.keywords(F.col("query_text"))).alias("terms"))
-    q = q.select("query_id", "literal", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(T.casefold(F.col("path")), F.lit("([a-z0-9]+)"), 1))).alias("term")).distinct()
-    usable = F.col("literal") | ~F.col("term").isin(*T.STOPWORDS)
-    x = words.join(q, "term").filter(usable).groupBy("query_id", "path", "n").agg(F.count("*").alias("m"))
-    x = x.select("query_id", "path", (F.col("m") / F.col("n")).alias("match_score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("match_score").desc(), "path")
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    terms = F.when(literal, typed).otherwise(T.keywords(F.col("query_text")))
+    words = F.array_distinct(F.regexp_extract_all(T.casefold(F.col("path")), F.lit("([a-z0-9]+)"), 1))
+    index = score.numbered_spans(files.select("path").filter("path is not null").distinct(), words, key=["path"])
+    found = [score.top(index, _Share(q), top_k) for q in score.question_blocks(queries.filter(trimmed != ""), terms)]
+    if not found:
+        return index.select(F.lit(0).cast("bigint").alias("query_id"), "path", F.lit(0.0).alias("match_score"), F.lit(0).alias("rank")).limit(0)
+    x = reduce(DataFrame.unionByName, found).join(index.select("span_no", "path"), "span_no")
+    return x.select("query_id", "path", (F.col("points") / score.PLACES).alias("match_score"), "rank")
+
+
+class _Share:
+    """Share of a question's terms that a row holds."""
+
+    columns = ("span_no", "terms")
+
+    def __init__(self, q: score.Questions):
+        self.q = q
+
+    def table(self, b: pa.RecordBatch) -> np.ndarray:
+        return score._spread(self.q, *score._postings(b.column("terms"), pa.array(self.q.terms, pa.string())), None, b.num_rows) / self.q.sizes[:, None]
 
 
 def owners(points: DataFrame, definitions: DataFrame, key: list[str], bin_lines: int = 64) -> DataFrame:

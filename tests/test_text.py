@@ -71,3 +71,11 @@ def test_nulls_and_provenance(spark):
     assert [r.p for r in rows] == ["a.py:3", "a.py:3-5"] and rows[0].k is None
     x = spark.createDataFrame([("u", 1), ("u", None), ("v", 2)], "g string, n int").groupBy("g").agg(T.strict_sum(F.col("n")).alias("n")).collect()
     assert {r.g: r.n for r in x} == {"u": None, "v": 2}
+
+
+def test_folding_gives_the_ascii_letters_of_every_character(spark):
+    """Against Python's own case folding, over all characters whose folding holds an ASCII letter."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and any(x.isascii() and x.isalpha() for x in chr(c).casefold())]
+    df = spark.createDataFrame([(c,) for c in every], "c string").select("c", T.casefold(F.col("c")).alias("f"))
+    letters = lambda t: "".join(x for x in t if x.isascii() and x.isalpha())
+    assert len(every) > 60 and [(r.c, r.f) for r in df.collect() if letters(r.f) != letters(r.c.casefold())] == []
