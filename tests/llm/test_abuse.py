@@ -92,3 +92,24 @@ def test_phrases_without_a_word_of_the_lexicon(text):
 @pytest.mark.parametrize("text", ["I will find the fault and tell you.", "I will find you a reviewer.", "I will cut a release once you approve.", "We do not want caches here.", "Never let requests near the lock.", "Os testes sao um problema."])
 def test_open_ends_of_phrases_need_a_word_of_the_lexicon(text):
     assert max(score_text(text, LEXICON).values(), default=0) < THRESHOLD
+
+
+def test_scores_fall_with_distance_and_by_context():
+    """The window grades: meanings further apart weigh less, and quotation, talk about words and self-reference less again."""
+    score = lambda t: max(score_text(t, LEXICON).values(), default=0.0)
+    near, far = score("You moron."), score("You with all of these slow moron.")
+    assert near > far >= THRESHOLD
+    assert THRESHOLD > score('He wrote "you moron" to them.') > score('The word filter test feeds "you moron".') > 0
+    assert score("I feel like a moron.") < THRESHOLD
+    assert len({round(score(t), 3) for t in ("You moron.", "You slow moron.", "You and your slow moron.", "Shut your mouth, moron.", "moron", 'A "you moron" here.')}) >= 5
+
+
+def test_without_the_automaton_nothing_scores(monkeypatch):
+    """The ablation: exact terms alone lose every misspelling, and no term at all leaves nothing of what the terms carry."""
+    texts = ["You morron.", "You are a filthhy dimwit.", "Halt die Fresse, du Versagger.", "You m0ron.", "You moron."]
+    scored = lambda: [max(score_text(t, Lexicon()).values(), default=0.0) >= THRESHOLD for t in texts]
+    assert scored() == [True] * 5
+    monkeypatch.setattr("lineweave.llm.lexicon.near_terms", lambda *_: [])
+    assert scored()[0] is False and scored()[4] is True
+    monkeypatch.setattr(Lexicon, "_read", lambda *_: None)
+    assert scored() == [False] * 5
