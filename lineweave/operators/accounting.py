@@ -42,6 +42,18 @@ def claims(queries: DataFrame, spans: DataFrame) -> DataFrame:
     return x.select("query_id", (F.col("n") + 1).alias("claim_no"), "claim", total.alias("n_keywords"), F.col("matched").alias("n_matched"), F.when(total > 0, F.col("matched") / total).alias("coverage"), status.alias("status"))
 
 
+def evidence_summary(claimed: DataFrame) -> DataFrame:
+    """Of each query's claims (rows of ``claims``): how many of each status, and the share of all keywords found; 1 where there is none to find."""
+    n = F.sum("n_keywords")
+    of = lambda s: F.sum((F.col("status") == s).cast("bigint")).alias(s)
+    return claimed.groupBy("query_id").agg(F.count("*").alias("claims"), of("supported"), of("partial"), of("unsupported"), of("not_evaluable"), F.when(n > 0, F.sum("n_matched") / n).otherwise(1.0).alias("coverage"))
+
+
+def keyword_cover(asked: Column, held: Column) -> Column:
+    """The asked keywords that are held and those that are not, each sorted."""
+    return F.struct(F.array_sort(F.array_intersect(asked, held)).alias("covered"), F.array_sort(F.array_except(asked, held)).alias("uncovered"))
+
+
 def confidence(df: DataFrame) -> Column:
     """How far a selection can be trusted, from ``lossless, coverage, multi_signal, n_scored, n_skipped, window_dropped, query_class``."""
     pressure = F.col("n_skipped") / F.greatest(F.col("n_scored") + F.col("n_skipped"), F.lit(1))

@@ -823,17 +823,46 @@ def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.claims(q, table(spark, sf_dir, "candidates")).withColumn("coverage", F.round("coverage", 6))
 
 
+_CLAIMED = f"""c0 as (select query_id, query_text, list_filter(list_transform(string_split_regex(query_text, '[.!?;\\n]+'), lambda x: trim(x)), lambda x: x <> '') as l from queries where query_text is not null),
+c1 as (select query_id, case when len(l) > 0 then l else [trim(query_text)] end as l from c0), c2 as (select query_id, unnest(range(1, len(l) + 1))::int as claim_no, unnest(l) as claim from c1),
+c as (select *, {_plain('claim')} as k from c2), have as (select distinct query_id, unnest(list_concat({_plain("coalesce(text, '')")}, {_pk("coalesce(source, '')")})) as term from candidates),
+a as (select query_id, claim_no, count(h.term) as m from (select query_id, claim_no, unnest(k) as term from c) x left join have h using (query_id, term) group by 1, 2),
+e as (select query_id, count(*) as claims, count(*) filter (len(k) > 0 and m = len(k)) as supported, count(*) filter (len(k) > 0 and m > 0 and m < len(k)) as partial, count(*) filter (len(k) > 0 and coalesce(m, 0) = 0) as unsupported,
+count(*) filter (len(k) = 0) as not_evaluable, case when sum(len(k)) > 0 then sum(coalesce(m, 0)) / sum(len(k)) else 1.0 end as coverage from c left join a using (query_id, claim_no) group by 1)"""
+
+
+@query(f"with {_CLAIMED} select query_id, claims, supported, partial, unsupported, not_evaluable, round(coverage, 6) as coverage from e")
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the claims of each question are supported by its candidates."""
+    q = table(spark, sf_dir, "queries").filter("query_text is not null")
+    return accounting.evidence_summary(accounting.claims(q, table(spark, sf_dir, "candidates"))).withColumn("coverage", F.round("coverage", 6))
+
+
 @query(
-    f"""with s as (select query_id, avg((len(selection_reasons) >= 2)::int) as multi_signal, count(*) as n_scored, count(*) filter (rank_score is null or isnan(rank_score)) as n_skipped from candidates group by 1)
-select query_id, round(least(greatest((0.5 * 1.0 + 0.3 * multi_signal + 0.2 * (1 - n_skipped / (n_scored + n_skipped))) * case when query_class = 'aggregation' then 0.6 when query_class = 'trace' then 0.85 when query_class = 'unknown' then 0.7 else 1 end, 0), 1), 6) as confidence
-from s join queries using (query_id)"""
+    f"""with {_CLAIMED}, s as (select query_id, avg((len(selection_reasons) >= 2)::int) as multi_signal, count(*) as n_scored, count(*) filter (rank_score is null or isnan(rank_score)) as n_skipped, sum(token_count) <= 3000 as lossless from candidates group by 1)
+select query_id, lossless, round(coverage, 6) as coverage, round(case when lossless then 0.95 else least(greatest((0.5 * coverage + 0.3 * multi_signal + 0.2 * (1 - n_skipped / (n_scored + n_skipped))) * case when query_id % 7 = 0 then 0.8 else 1 end
+* case when query_class = 'aggregation' then 0.6 when query_class = 'trace' then 0.85 when query_class = 'unknown' then 0.7 else 1 end, 0), 1) end, 6) as confidence from s join queries using (query_id) join e using (query_id)"""
 )
 def selection_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "candidates")
+    """Confidence in a selection that keeps all of a question's candidates; for every seventh question as if its window had been dropped."""
+    c, q = table(spark, sf_dir, "candidates"), table(spark, sf_dir, "queries")
     bad = F.col("rank_score").isNull() | F.isnan("rank_score")
-    s = c.groupBy("query_id").agg(F.avg((F.size("selection_reasons") >= 2).cast("int")).alias("multi_signal"), F.count("*").alias("n_scored"), F.sum(bad.cast("bigint")).alias("n_skipped"))
-    s = s.join(table(spark, sf_dir, "queries", "query_id", "query_class"), "query_id").withColumns({"lossless": F.lit(False), "window_dropped": F.lit(False), "coverage": F.lit(1.0)})
-    return s.select("query_id", F.round(accounting.confidence(s), 6).alias("confidence"))
+    s = c.groupBy("query_id").agg(F.avg((F.size("selection_reasons") >= 2).cast("int")).alias("multi_signal"), F.count("*").alias("n_scored"), F.sum(bad.cast("bigint")).alias("n_skipped"), (F.sum("token_count") <= 3000).alias("lossless"))
+    e = accounting.evidence_summary(accounting.claims(q.filter("query_text is not null"), c)).select("query_id", "coverage")
+    s = s.join(q.select("query_id", "query_class"), "query_id").join(e, "query_id").withColumn("window_dropped", F.col("query_id") % 7 == 0)
+    return s.select("query_id", "lossless", F.round("coverage", 6).alias("coverage"), F.round(accounting.confidence(s), 6).alias("confidence"))
+
+
+@query(
+    f"""with h as (select query_id, list_distinct(flatten(list({_kw("coalesce(text, '')")}))) as held from candidates group by 1), q as (select query_id, {_kw('query_text')} as k from queries where query_text is not null)
+select query_id, list_sort(list_filter(k, lambda x: list_contains(held, x))) as covered, list_sort(list_filter(k, lambda x: not list_contains(held, x))) as uncovered from q join h using (query_id)"""
+)
+def keyword_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keywords of each question that its candidates hold, and those that none does."""
+    words = table(spark, sf_dir, "candidates").select("query_id", F.explode(T.keywords(F.coalesce("text", F.lit("")))).alias("w")).distinct().groupBy("query_id").agg(F.collect_list("w").alias("held"))
+    every = table(spark, sf_dir, "candidates", "query_id").distinct().join(words, "query_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    q = table(spark, sf_dir, "queries").filter("query_text is not null").select("query_id", T.keywords(F.col("query_text")).alias("k")).join(every, "query_id")
+    return q.withColumn("x", accounting.keyword_cover(F.col("k"), F.col("held"))).select("query_id", "x.covered", "x.uncovered")
 
 
 _LEDGER = "l as (select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts, case when value >= 5 then floor(value * 10)::bigint end as tokens_in, floor(value)::bigint as tokens_out, (json_extract(props, '$.k'))::int as round_trips_saved from events)"
@@ -850,10 +879,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_LEDGER}, x as (select *, case when tokens_in is not null and tokens_out is not null then tokens_in - tokens_out end as saved, coalesce(nullif(substr(ts, 1, 10), ''), 'unknown') as day from l)
 select day, count(*) as calls, count(*) filter (saved is null) as unmeasured, case when count(tokens_in) = count(*) then sum(tokens_in)::bigint end as tokens_in, case when count(tokens_out) = count(*) then sum(tokens_out)::bigint end as tokens_out,
-case when count(saved) = count(*) then sum(saved)::bigint end as tokens_saved, sum(coalesce(round_trips_saved, 0))::bigint as round_trips_saved from x group by grouping sets ((), (day))"""
+case when count(saved) = count(*) then sum(saved)::bigint end as tokens_saved, sum(coalesce(round_trips_saved, 0))::bigint as round_trips_saved,
+round(case when count(saved) = count(*) and sum(tokens_in) > 0 then sum(saved) / sum(tokens_in) end, 6) as reduction, round(case when count(saved) = count(*) then sum(saved) * 3.0 / 1e6 end, 6) as usd from x group by grouping sets ((), (day))"""
 )
 def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.ledger_summary(ledger(spark, sf_dir)).drop("reduction", "usd")
+    x = accounting.ledger_summary(ledger(spark, sf_dir), price_per_million=3.0)
+    return x.withColumns({"reduction": F.round("reduction", 6), "usd": F.round("usd", 6)})
 
 
 _STATES = """a as (select relative_path as source, arg_min(fingerprint, file_id) as old from files where file_id % 10 <> 3 group by 1),

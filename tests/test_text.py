@@ -79,3 +79,19 @@ def test_folding_gives_the_ascii_letters_of_every_character(spark):
     df = spark.createDataFrame([(c,) for c in every], "c string").select("c", T.casefold(F.col("c")).alias("f"))
     letters = lambda t: "".join(x for x in t if x.isascii() and x.isalpha())
     assert len(every) > 60 and [(r.c, r.f) for r in df.collect() if letters(r.f) != letters(r.c.casefold())] == []
+
+
+def test_counting_tokens(spark, tmp_path):
+    import base64
+
+    from lineweave.functions.tokens import encoder, wire_cost, with_token_count
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b" a"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(n).encode() for n, t in enumerate(ranks)))
+    df = spark.createDataFrame([("abc ab", 1), (None, 2), ("", 3), ("x <|endoftext|>", 4)], "t string, i int")
+    assert [r.n for r in with_token_count(df, "t", "n").orderBy("i").collect()] == [2, 0, 0, 2]
+    got = [r.n for r in with_token_count(df, "t", "n", str(path)).orderBy("i").collect()]
+    assert got[:3] == [3, 0, 0] and got[3] == len("x <|endoftext|>")
+    count = lambda t: len(encoder(str(path))(t))
+    assert wire_cost("ab", count) == 3 and wire_cost("a\n\n", count) == 7
