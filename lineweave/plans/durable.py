@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +37,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as parquet into the shared folder and read it back; removed when the driver ends."""
+    """Write ``df`` once as parquet into the shared folder and read it back; removed by ``release``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far and tell how many. To be called once the results built on them are written: a DataFrame that still
+    reads one fails afterwards."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)

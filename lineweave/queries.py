@@ -756,6 +756,23 @@ def blanked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.blank_outside(chunk.lines(files(spark, sf_dir)).select("source", "line", "text"), _ranges(spark, sf_dir)).withColumn("line", F.col("line").cast("int"))
 
 
+@query(
+    r"""with d as (select distinct source, sym_name as name, line_start as ls, line_end as le from symbols where kind <> 'import' and sym_name is not null and line_start is not null and line_end is not null),
+n as (select full_, list_filter(string_split_regex(full_, '::|->|[./]'), lambda p: p <> '') as want from (select distinct regexp_replace(regexp_extract(source, '[^/]+$'), '\.[^./]+$', '') || '.' || sym_name as full_ from symbols where kind <> 'import' and symbol_id % 20 = 0)),
+x as (select full_, want, d.source, d.name, d.ls, list_sort(list(distinct {'s': o.ls, 'e': -o.le, 'n': o.name}) filter (o.name is not null)) as outs from n join d on d.name = want[-1]
+  left join d o on o.source = d.source and o.ls <= d.ls and o.le >= d.le and (o.ls <> d.ls or o.le <> d.le) where len(want) > 1 group by 1, 2, 3, 4, 5),
+y as (select *, list_concat(string_split(regexp_replace(source, '\.[^./]+$', ''), '/'), list_concat(list_transform(coalesce(outs, []), lambda o: o.n), [name])) as own from x)
+select full_ as "full", source, name, ls as line_start from y where len(own) >= len(want) and own[len(own) - len(want) + 1:] = want"""
+)
+def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions meant by a module and a name, for every twentieth definition."""
+    s = table(spark, sf_dir, "symbols").filter("kind <> 'import' and sym_name is not null")
+    base = F.regexp_replace(F.regexp_extract("source", "([^/]+)$", 1), r"\.[^./]+$", "")
+    names = s.filter("symbol_id % 20 = 0").select(F.concat(base, F.lit("."), "sym_name").alias("full")).distinct()
+    d = s.filter("line_start is not null and line_end is not null").select("source", F.col("sym_name").alias("name"), "line_start", "line_end")
+    return trace.qualified(d, names)
+
+
 @query(
     r"""with f as (select distinct relative_path as path, string_split(relative_path, '/') as p from files), e as (select path, array_to_string(p[i:], '/') as token from (select path, p, unnest(range(1, len(p) + 1)) as i from f)),
 o as (select token, min(path) as path from e group by 1 having count(*) = 1), q as (select query_id, unnest(list_transform(regexp_extract_all(query_text, '[A-Za-z0-9_./-]+'), lambda t: trim(t, './'))) as token from named)

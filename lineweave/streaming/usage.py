@@ -26,17 +26,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return x.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Does the folder hold a parquet file?"""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    return len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+
+
 def index_changes(files: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
     """Appends to the index those files (path, fingerprint) of a stream that it doesn't hold yet; a batch that is run again adds nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["path", "fingerprint"])
-        try:
+        if written(spark, index_path):  # the first batch finds no index
             new = new.join(spark.read.parquet(index_path), ["path", "fingerprint"], "left_anti")
-        except Exception as e:  # the first batch finds no index
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         new.write.mode("append").parquet(index_path)
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()

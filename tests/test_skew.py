@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -36,3 +37,14 @@ def test_blocks_hold_every_row_once(spark):
     assert len(in_blocks(df, ["id"], 1000)) == 1
     parts = in_blocks(df, ["id"], 30)
     assert len(parts) == 4 and sorted(r.id for p in parts for r in p.collect()) == list(range(100))
+
+
+def test_released_tables_are_gone_and_results_stay(spark, tmp_path):
+    from lineweave.plans.durable import durable, release
+
+    release(spark)
+    x = durable(spark.range(5), "release-test")
+    x.write.parquet(str(tmp_path / "out"))
+    (path,) = {f.rsplit("/", 1)[0] for f in x.inputFiles()}
+    assert os.path.isdir(path.replace("file://", "")) and release(spark) == 1
+    assert not os.path.isdir(path.replace("file://", "")) and spark.read.parquet(str(tmp_path / "out")).count() == 5 and release(spark) == 0
