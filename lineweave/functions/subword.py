@@ -22,7 +22,8 @@ class SubwordFeatures:
         self.dims = dims
         self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and weights of a word."""
         if (found := self.known.get(w)) is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
@@ -34,16 +35,35 @@ class SubwordFeatures:
             found = self.known[w] = (buckets, weights)
         return found
 
+    def words(self, folded: str) -> list[str]:
+        """The words of a text, as often as they occur."""
+        return _WORD.findall(folded)
+
+    def _summed(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets in order and their weights of words so often."""
+        found = [self.word(w) for w in counts]
+        if not found:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        out = np.bincount(np.concatenate([b for b, _ in found]), np.concatenate([x * n for (_, x), n in zip(found, counts.values())]), self.dims)
+        at = np.flatnonzero(out)
+        return at, out[at]
+
+    def length(self, words: list[str]) -> float:
+        """The length of the words' vector before it is normalised."""
+        _, x = self._summed(Counter(words))
+        return float(np.sqrt((x * x).sum()))
+
+    def sparse(self, folded: str, keep: int | None = KEEP) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and normalised weights of the text; only the ``keep`` heaviest features stay, ties by bucket."""
+        at, x = self._summed(Counter(_WORD.findall(folded)))
+        if keep is not None and len(at) > keep:
+            order = np.sort(np.lexsort((at, -x))[:keep])
+            at, x = at[order], x[order]
+        return at, x / (np.sqrt((x * x).sum()) or 1.0)
+
     def dense(self, folded: str, keep: int | None = KEEP) -> np.ndarray:
-        """Normalised vector of the text; only the ``keep`` heaviest features stay, ties by bucket."""
+        """Normalised vector of the text by ``sparse``."""
         out = np.zeros(self.dims)
-        for w, n in Counter(_WORD.findall(folded)).items():
-            buckets, weights = self._word(w)
-            np.add.at(out, buckets, weights * n)
-        if norm := np.sqrt((out * out).sum()):
-            out /= norm
-        if keep is not None and np.count_nonzero(out) > keep:
-            order = np.lexsort((np.arange(self.dims), -out))[keep:]
-            out[order] = 0.0
-            out /= np.sqrt((out * out).sum()) or 1.0
+        at, x = self.sparse(folded, keep)
+        out[at] = x
         return out

@@ -152,8 +152,8 @@ def sparse_cosine(a: DataFrame, b: DataFrame, a_key: list[str], b_key: list[str]
 def subword_top(spans: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best spans of each question by sub-word cosine above 0.02: ``query_id``, span key, ``score``. Questions go to the spans in blocks; the
     result is that of ``sparse_cosine`` over ``hash_features``, without a join."""
-    index = score.numbered_spans(spans, F.array().cast("array<string>"), {"folded": T.casefold(F.col("text"))})
-    found = [score.top(index, score.Subword(q, v), k) for q, v in score.subword_blocks(queries)]
+    index = score.subword_index(spans)
+    found = [score.top(index, score.Subword(q), k) for q in score.subword_questions(queries)]
     return _with_keys(found, index, queries).select("query_id", *SPAN, (F.col("points") / score.PLACES).alias("score"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -68,8 +68,11 @@ class _Share:
     def __init__(self, q: score.Questions):
         self.q = q
 
-    def table(self, b: pa.RecordBatch) -> np.ndarray:
-        return score._spread(self.q, *score._postings(b.column("terms"), pa.array(self.q.terms, pa.string())), None, b.num_rows) / self.q.sizes[:, None]
+    def channels(self, b: pa.RecordBatch) -> list[score.Postings]:
+        return [score.Postings(*score._postings(b.column("terms"), pa.array(self.q.terms, pa.string())), None, b.num_rows, len(self.q.terms))]
+
+    def scores(self, b: pa.RecordBatch) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        return lambda i, sums: sums[0] / self.q.sizes[i]
 
 
 def owners(points: DataFrame, definitions: DataFrame, key: list[str], bin_lines: int = 64) -> DataFrame:
@@ -150,22 +153,26 @@ class _Rarity:
             self.mean[r.i], self.files[r.i] = r.lines / r.n, r.n
 
     def _lengths(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, lines = np.zeros(len(self.q.ids), dtype=np.int64), np.zeros(len(self.q.ids))
+        n, lines, walk = np.zeros(len(self.q.ids), dtype=np.int64), np.zeros(len(self.q.ids)), score.Walk(self.q)
         for b, _ in score._chunks(batches):
-            some = self._held(b) > 0
-            n += some.sum(axis=1)
-            lines += some @ b.column("n_lines").to_numpy(zero_copy_only=False).astype(np.float64)
+            n_lines = b.column("n_lines").to_numpy(zero_copy_only=False).astype(np.float64)
+            for i, sums in walk.over([self._postings(b, None)], b.num_rows):
+                some = np.minimum(sums[0], 1.0)
+                n[i] += int(some.sum())
+                lines[i] += some @ n_lines
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(lines[at])], names=["i", "n", "lines"])
 
-    def _held(self, b: pa.RecordBatch) -> np.ndarray:
-        return score._spread(self.q, *score._postings(b.column("terms"), pa.array(self.q.terms, pa.string())), None, b.num_rows)
-
-    def table(self, b: pa.RecordBatch) -> np.ndarray:
+    def _postings(self, b: pa.RecordBatch, weights: np.ndarray | None) -> score.Postings:
         rows, terms = score._postings(b.column("terms"), pa.array(self.q.terms, pa.string()))
-        rarity, m = score._spread(self.q, rows, terms, self.idf[terms], b.num_rows), score._spread(self.q, rows, terms, None, b.num_rows)
-        n_lines, prior = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[None, :] for c in ("n_lines", "prior"))
-        return np.where(m > 0, prior * (rarity + m / (self.q.sizes[:, None] + 1)) / (1 - self.norm + self.norm * n_lines / self.mean[:, None]), 0.0)
+        return score.Postings(rows, terms, None if weights is None else weights[terms], b.num_rows, len(self.q.terms))
+
+    def channels(self, b: pa.RecordBatch) -> list[score.Postings]:
+        return [self._postings(b, self.idf), self._postings(b, None)]
+
+    def scores(self, b: pa.RecordBatch) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        n_lines, prior = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_lines", "prior"))
+        return lambda i, sums: prior * (sums[0] + sums[1] / (self.q.sizes[i] + 1)) / (1 - self.norm + self.norm * n_lines / self.mean[i])
 
 
 @dataclass
@@ -263,7 +270,7 @@ def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, first:
     first = scores.filter("__files > 1").select("query_id", "source", "lexical")
     asking = first.groupBy("source").agg(F.collect_list("query_id").alias("asking"))  # at most the stated questions
     texts = files.select("source", T.casefold(F.col("source")).alias("folded"), T.physical_lines(T.casefold(F.col("text"))).alias("lines")).join(asking, "source")
-    vectors = [(q.ids, v) for q, v in score.subword_blocks(queries)]
+    vectors = list(score.subword_blocks(queries))
     near = [texts.mapInArrow(_similar([b]), "query_id bigint, source string, similarity double") for b in vectors]
     near = reduce(DataFrame.unionByName, near) if near else first.select("query_id", "source", F.lit(0.0).alias("similarity")).limit(0)
     named = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), 1)), lambda n: F.xxhash64(n))
