@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as T
+from lineweave.functions.keywords import Keywords
+from lineweave.operators import score
+from lineweave.plans.durable import durable
 
 _SCHEMA = "source string, ordinal int, name string, kind string, line_start int, line_end int, defines array<string>, refs array<string>, is_import boolean"
 _ROW = tuple[str, str, int, int, list[str], list[str], bool]
@@ -117,3 +122,64 @@ def symbol_candidates(symbols: DataFrame, queries: DataFrame, max_tokens: int |
     x = x.join(s.select("symbol_id", "source", "name", "kind", "start", "end"), "symbol_id").join(q.select("query_id", "qw"), "query_id")
     match = (F.col("kind") != "import") & F.array_contains("qw", F.col("name")) & ~T.casefold(F.col("name")).isin(*T.STOPWORDS)
     return x.select("query_id", "symbol_id", "source", "name", "start", "end", (F.col("names") / F.col("n")).alias("symbol_coverage"), (F.col("texts") / F.col("n")).alias("lexical_coverage"), match.cast("double").alias("symbol_name_match"))
+
+
+def top_candidates(symbols: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``symbol_candidates`` without a bound of tokens, those whose name the query holds first, then by the sum of both coverages, then by
+    symbol_id: ``query_id, rank, symbol_id, name, score, symbol_name_match``. Scored where the symbols lie; only the best of each task are shuffled."""
+    keywords = T.keywords(F.col("query_text"))
+    words = F.array_distinct(F.regexp_extract_all("query_text", F.lit("([A-Za-z0-9_]+)"), 1))
+    q = queries.filter(F.size(keywords) > 0).select("query_id", F.concat(keywords, F.transform(words, lambda w: F.concat(F.lit(_CASE), w))).alias("terms"))
+    s = symbols.filter(F.col("end") > F.col("start"))
+    none = F.array().cast("array<string>")
+    names = T.identifier_terms(F.filter(F.concat(F.coalesce("defines", none), F.coalesce("refs", none)), lambda x: x.isNotNull()))
+    known = (F.col("kind") != "import") & ~T.casefold(F.col("name")).isin(*T.STOPWORDS)
+    x = score.numbered(s.select("symbol_id", "name", "kind", "defines", "refs", "text"), ["symbol_id"])
+    x = x.select("symbol_id", "name", "span_no", names.alias("names"), F.when(known, F.concat(F.lit(_CASE), F.col("name"))).alias("case"), F.coalesce("text", F.lit("")).alias("text"))
+    index = durable(x.mapInArrow(_with_terms, "symbol_id bigint, name string, span_no bigint, names array<string>, case array<string>, terms array<string>"), "symbol-terms")
+    found = [score.top(index, _Candidates(b), k) for b in score.question_blocks(q, F.col("terms"))]
+    if not found:
+        return s.select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), "symbol_id", "name", F.lit(0.0).alias("score"), F.lit(0.0).alias("symbol_name_match")).limit(0)
+    match = F.col("points") > _MATCH * score.PLACES
+    points = F.col("points") - F.when(match, F.lit(int(_MATCH * score.PLACES))).otherwise(F.lit(0))
+    x = reduce(DataFrame.unionByName, found).join(index.select("span_no", "symbol_id", "name"), "span_no")
+    return x.select("query_id", "rank", "symbol_id", "name", (points / score.PLACES).alias("score"), match.cast("double").alias("symbol_name_match"))
+
+
+# Mark of a name as it is written; what a name match adds, above any sum of coverages.
+_CASE, _MATCH = "c:", 4.0
+
+
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Keywords()
+    for b in batches:
+        case = pa.array([None if x is None else [x] for x in b.column(4).to_pylist()], pa.list_(pa.string()))
+        terms = pa.array([words.of(t) for t in b.column(5).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], case, terms], names=["symbol_id", "name", "span_no", "names", "case", "terms"])
+
+
+class _Candidates:
+    """Share of a question's keywords in a symbol's names and in its text, and ``_MATCH`` more where the question holds its name."""
+
+    columns = ("span_no", "names", "terms", "case")
+
+    def __init__(self, q: score.Questions):
+        self.q = q
+        self.words = np.zeros(len(q.ids))
+        np.add.at(self.words, q.of, np.repeat([0.0 if t.startswith(_CASE) else 1.0 for t in q.terms], np.diff(q.start)))
+
+    def channels(self, b: pa.RecordBatch) -> list[score.Postings]:
+        asked = pa.array(self.q.terms, pa.string())
+        a, b_, c = (score._postings(b.column(x), asked) for x in ("names", "terms", "case"))
+        both = [np.concatenate([x, y]) for x, y in zip(a, b_)]
+        return [score.Postings(*both, None, b.num_rows, len(asked)), score.Postings(*c, None, b.num_rows, len(asked))]
+
+    def scores(self, b: pa.RecordBatch) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        def of(i: int, sums: list[np.ndarray]) -> np.ndarray:
+            x = sums[0] * (1 / self.words[i])
+            if len(at := np.flatnonzero(sums[1])):
+                at = at[x[at] > 0]
+                x[at] += _MATCH
+            return x
+
+        return of

@@ -637,9 +637,7 @@ select query_id, rank, symbol_id, name, round(score, 6) as score, symbol_name_ma
 )
 def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "symbols").withColumnsRenamed({"sym_name": "name", "char_start": "start", "char_end": "end"})
-    x = symbols.symbol_candidates(s, table(spark, sf_dir, "queries"), None).withColumn("score", F.col("symbol_coverage") + F.col("lexical_coverage"))
-    w = Window.partitionBy("query_id").orderBy(F.col("symbol_name_match").desc(), F.round("score", 9).desc(), "symbol_id")
-    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query_id", "rank", "symbol_id", "name", F.round("score", 6).alias("score"), "symbol_name_match")
+    return symbols.top_candidates(s, table(spark, sf_dir, "queries"), 20).withColumn("score", F.round("score", 6))
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------------------------------------------
