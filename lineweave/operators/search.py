@@ -343,27 +343,63 @@ def find_symbols(symbols: DataFrame, queries: DataFrame, kinds: list[str] | None
     """Definitions whose name answers a query: 2 for the name itself, 1 more for its exact case, 0.5 for a declaration, plus the share of the query's words in
     the name. If a query is one name and it is found exactly, partial matches are dropped.
 
-    ``symbols`` has ``name, kind, source, line_start, line_end``. Names meet queries by equal parts, so nothing is crossed.
+    ``symbols`` has ``name, kind, source, line_start, line_end``. They are scored where they lie, and only the best of each task are shuffled. An exact match
+    has 2 at least and any other 1.5 at most, so whether there is one is seen from the best.
     """
     words = F.array_distinct(F.regexp_extract_all(F.col("query_text"), F.lit("([A-Za-z0-9_]+)"), 1))
     single = F.trim("query_text").rlike("^[A-Za-z0-9_]+$")
     k = T.keywords(F.col("query_text"))
     names = F.when(single, F.array(T.casefold(F.trim("query_text")))).otherwise(k)
     parts = F.filter(T.identifier_terms(F.concat(k, words)), lambda t: ~t.isin(*T.STOPWORDS))
-    q = queries.select("query_id", words.alias("words"), names.alias("names"), parts.alias("parts"))
+    marked = lambda mark, c: F.transform(c, lambda t: F.concat(F.lit(mark), t))
+    q = queries.filter("query_text is not null").select("query_id", F.concat(marked(_PART, parts), marked(_NAME, names), marked(_CASE, words)).alias("terms"), F.size(names).alias("n_names"))
     s = symbols.filter((F.col("name") != "") & (F.col("name") != "<anonymous>"))
     if kinds:
         s = s.filter(kind_of(F.col("kind")).isin(*{KIND_ALIASES.get(x.casefold(), x.casefold()) for x in kinds}))
-    s = s.select("name", "kind", "source", "line_start", "line_end", T.casefold(F.col("name")).alias("folded"), T.identifier_terms(F.array("name")).alias("own"))
-    keyed = s.select("name", "folded", "own").distinct().select("name", F.explode(F.array_distinct(F.concat("own", F.array("folded")))).alias("key"))
-    asked = q.select("query_id", F.explode(F.array_distinct(F.concat("names", "parts"))).alias("key"))
-    pairs = keyed.join(asked, "key").select("query_id", "name").distinct()
-    x = pairs.join(s, "name").join(q, "query_id")
-    exact = F.array_contains("names", F.col("folded"))
-    overlap = F.when(F.size("parts") > 0, F.size(F.array_intersect("parts", "own")) / F.size("parts")).otherwise(0.0)
-    score = exact.cast("double") * 2 + (exact & F.array_contains("words", F.col("name"))).cast("double") + F.when(F.lower("kind").isin(*CONTAINER_KINDS), 0.0).otherwise(0.5) + overlap
-    x = x.withColumn("exact", exact).withColumn("overlap", overlap).filter(F.col("exact") | (F.col("overlap") > 0)).withColumn("score", score)
-    decisive = (F.size("names") == 1) & F.max("exact").over(Window.partitionBy("query_id"))
-    x = x.withColumn("keep", ~decisive | F.col("exact")).filter("keep")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "source", "line_start", "line_end", "name")
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("query_id", "rank", "name", "kind", "source", "line_start", "line_end", "score")
+    key = ["source", "line_start", "line_end", "name"]
+    terms = F.concat(marked(_PART, T.identifier_terms(F.array("name"))), F.array(F.concat(F.lit(_NAME), T.casefold(F.col("name"))), F.concat(F.lit(_CASE), F.col("name"))))
+    declared = F.when(F.lower("kind").isin(*CONTAINER_KINDS), 0.0).otherwise(0.5)
+    index = score.numbered_spans(s.select("name", "kind", "source", "line_start", "line_end"), terms, {"kind": F.col("kind"), "declared": declared}, key)
+    found = [score.top(index, _Named(b), top_k) for b in score.question_blocks(q, F.col("terms"))]
+    if not found:
+        return s.select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), "name", "kind", "source", "line_start", "line_end", F.lit(0.0).alias("score")).limit(0)
+    x = reduce(DataFrame.unionByName, found).join(q.select("query_id", "n_names"), "query_id").withColumn("score", F.col("points") / score.PLACES)
+    exact = F.col("score") >= 2
+    decisive = (F.col("n_names") == 1) & F.max(exact).over(Window.partitionBy("query_id"))
+    x = x.withColumn("keep", ~decisive | exact).filter("keep").join(index.select("span_no", "name", "kind", "source", "line_start", "line_end"), "span_no")
+    return x.select("query_id", "rank", "name", "kind", "source", "line_start", "line_end", "score")
+
+
+# Marks of what a term of a definition is: a part of its name, its folded name, its name.
+_PART, _NAME, _CASE = "p:", "n:", "c:"
+
+
+class _Named:
+    """Score of a definition for a question by its name."""
+
+    columns = ("span_no", "terms", "declared")
+
+    def __init__(self, q: score.Questions):
+        self.q = q
+        part = np.array([t.startswith(_PART) for t in q.terms], dtype=bool)
+        self.parts = np.zeros(len(q.ids))
+        np.add.at(self.parts, q.of, np.repeat(part, np.diff(q.start)).astype(np.float64))
+
+    def channels(self, b: pa.RecordBatch) -> list[score.Postings]:
+        rows, terms = score._postings(b.column("terms"), pa.array(self.q.terms, pa.string()))
+        some = [(marks := np.array([t.startswith(m) for t in self.q.terms], dtype=bool)[terms], rows[marks], terms[marks])[1:] for m in (_PART, _NAME, _CASE)]
+        return [score.Postings(r, t, None, b.num_rows, len(self.q.terms)) for r, t in some]
+
+    def scores(self, b: pa.RecordBatch) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        declared = b.column("declared").to_numpy(zero_copy_only=False)
+
+        def of(i: int, sums: list[np.ndarray]) -> np.ndarray:
+            shared, exact, case = sums
+            x = shared * (1 / self.parts[i]) if self.parts[i] else np.zeros(len(shared))
+            x += declared
+            x[(shared == 0) & (exact == 0)] = 0.0
+            if len(at := np.flatnonzero(exact)):
+                x[at] += 2 + (case[at] > 0)
+            return x
+
+        return of
