@@ -17,6 +17,12 @@ def casefold(text: str) -> str:
     return text.lower()
 
 
+def physical_lines(text: str) -> list[str]:
+    """Lines without their ends; a final line end makes no further line, an empty text has none."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return lines[:-1] if lines[-1] == "" else lines
+
+
 def path_keywords(path: str) -> list[str]:
     """Distinct alphanumeric components of a path without stop words."""
     return [t for t in dict.fromkeys(_PATH.findall(casefold(path))) if t not in _STOP]

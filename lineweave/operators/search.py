@@ -9,13 +9,14 @@ from functools import reduce
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineweave.functions import text as T
+from lineweave.functions.keywords import casefold, physical_lines
 from lineweave.functions.subword import SubwordFeatures
 from lineweave.operators import score
 from lineweave.plans.durable import durable
@@ -123,8 +124,12 @@ def evidence_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", k.alias("k")).select("query_id", F.size("k").alias("n_terms"), F.explode("k").alias("term"))
 
 
+#: Words of one automaton.
+AUTOMATON = 200_000
+
+
 def _substrings(words: list[str]):
-    """Which of the words each text holds as substrings, by one Aho-Corasick automaton."""
+    """Which of the words each text (the last column) holds as substrings of its case folding, by one Aho-Corasick automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = ahocorasick.Automaton()
@@ -132,8 +137,8 @@ def _substrings(words: list[str]):
             auto.add_word(w, w)
         auto.make_automaton()
         for b in batches:
-            held = [sorted({w for _, w in auto.iter(t)}) if t and words else [] for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(held, pa.list_(pa.string()))], names=["source", "n_lines", "prior", "terms"])
+            held = [sorted({w for _, w in auto.iter(casefold(t))}) if t and words else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "terms"])
 
     return run
 
@@ -198,14 +203,20 @@ class Evidence:
 def evidence(files: DataFrame, queries: DataFrame, share: float = 0.2, length_norm: float = 0.5) -> Iterator[Evidence]:
     """Blocks of questions ready to be ranked over all files (source, text).
 
-    A file holds a term if its folded text does as a substring; terms in more than a fifth of all files weigh nothing. One automaton of a block's terms
-    finds all of them in one pass over each text; files are then scored in place, and only the best of each task are shuffled.
+    A file holds a term if its folded text does as a substring; terms in more than a fifth of all files weigh nothing. One automaton of the terms of all
+    blocks finds all of them in one pass over each text; files are then scored in place, and only the best of each task are shuffled.
     """
     k = F.filter(T.keywords(F.col("query_text")), lambda t: ~t.isin(*T.PROSE_WORDS))
-    x = files.select("source", F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"), path_prior(F.col("source")).alias("prior"), T.casefold(F.col("text")).alias("t"))
+    x = score.numbered(files.select("source", "text"), ["source"])
+    x = x.select("source", "span_no", F.greatest(F.size(T.physical_lines(F.col("text"))), F.lit(1)).alias("n_lines"), path_prior(F.col("source")).alias("prior"), "text")
+
+    def held(words: list[str]) -> DataFrame:
+        return durable(x.mapInArrow(_substrings(words), "source string, span_no bigint, n_lines int, prior double, terms array<string>"), "evidence-files")
+
+    words = [r.t for r in queries.select(F.explode(k).alias("t")).distinct().limit(AUTOMATON + 1).collect()]
+    every = held(sorted(words)) if 0 < len(words) <= AUTOMATON else None  # else one automaton a block
     for q in score.question_blocks(queries, k):
-        held = x.mapInArrow(_substrings(q.terms), "source string, n_lines int, prior double, terms array<string>")
-        index = score.numbered_spans(held, F.col("terms"), {"n_lines": F.col("n_lines"), "prior": F.col("prior")}, ["source"])
+        index = held(q.terms) if every is None else every
         yield Evidence(index, _Rarity(index, q, share, length_norm))
 
 
@@ -214,48 +225,72 @@ RERANK, RERANK_LINES = 250, 60
 _RANKED = "query_id bigint, source string, bonus double"
 
 
-def _similar(blocks: list[tuple[np.ndarray, np.ndarray]]):
-    """``query_id, source, similarity`` of each file with the questions that have it in their head: the best of its blocks."""
+def _similar(blocks: list[score.Questions]):
+    """``query_id, source, similarity`` of each file with the questions that have it in their head: the best of its blocks. A question's words each meet a
+    file's blocks once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = SubwordFeatures()
-        at = {i: (n, k) for n, (ids, _) in enumerate(blocks) for k, i in enumerate(ids.tolist())}
+        known: dict[int, tuple[list[int], float]] = {}
+        words: list[str] = []
+        for q in blocks:
+            terms = np.repeat(np.arange(len(q.terms)), np.diff(q.start)) + len(words)
+            order = np.argsort(q.of, kind="stable")
+            cut = np.searchsorted(q.of[order], np.arange(len(q.ids) + 1))
+            own = terms[order].tolist()
+            known |= {i: (own[cut[j] : cut[j + 1]], q.sizes[j]) for j, i in enumerate(q.ids.tolist())}
+            words += q.terms
         for b in batches:
             out: list[tuple] = []
-            for source, folded, lines, asking in zip(*(b.column(i).to_pylist() for i in range(4))):
-                cuts = range(0, max(len(lines), 1), RERANK_LINES)
-                x = np.stack([features.dense(f"{folded}\n" + "\n".join(lines[c : c + RERANK_LINES])) for c in cuts])
+            for source, text, asking in zip(*(b.column(i).to_pylist() for i in range(3))):
+                asking = [i for i in asking if i in known]
+                if not asking:
+                    continue
+                lines, folded = physical_lines(casefold(text)), casefold(source)
+                blocks_ = [features.sparse(f"{folded}\n" + "\n".join(lines[c : c + RERANK_LINES])) for c in range(0, max(len(lines), 1), RERANK_LINES)]
+                x = np.zeros((features.dims, len(blocks_)))
+                for n, (at, weights) in enumerate(blocks_):
+                    x[at, n] = weights
+                met: dict[int, np.ndarray] = {}
                 for i in asking:
-                    if i in at:
-                        n, k = at[i]
-                        out.append((i, source, float((x @ blocks[n][1][k]).max())))
+                    own, length = known[i]
+                    for t in own:
+                        if t not in met:
+                            at, weights = features.word(words[t])
+                            met[t] = weights @ x[at]
+                    out.append((i, source, float(sum(met[t] for t in own).max()) / length))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], names=["query_id", "source", "similarity"])
 
     return run
 
 
-def _head_rank(pdf: pd.DataFrame) -> pd.DataFrame:
+def _head_rank(head: pa.Table) -> pa.Table:
     """Similarity and reference rank of one question's head (at most 250 files), each over its largest value, added."""
-    n = len(pdf)
-    holders: dict[int, list[int]] = {}
-    for i, names in enumerate(pdf.defines):
-        for h in names if names is not None else ():
-            holders.setdefault(h, []).append(i)
+    n = head.num_rows
+
+    def named(column: str) -> tuple[np.ndarray, np.ndarray]:
+        x = pa.concat_arrays(head.column(column).chunks)
+        return pc.list_parent_indices(x).to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
+
+    (files, mentioned), (holders, defined) = named("mentions"), named("defines")
+    order = np.argsort(defined, kind="stable")
+    holders, defined = holders[order], defined[order]
+    first = np.searchsorted(defined, mentioned)
+    many = np.searchsorted(defined, mentioned, side="right") - first
+    at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     out = np.zeros((n, n))
-    for i, names in enumerate(pdf.mentions):
-        for h in names if names is not None else ():
-            out[i, holders.get(h, [])] = 1.0
+    out[np.repeat(files, many), holders[at]] = 1.0
     np.fill_diagonal(out, 0.0)
     degree = out.sum(axis=1)
     moves = np.where(degree[:, None] > 0, out / np.maximum(degree, 1)[:, None], 1.0 / n)
-    start = pdf.lexical.to_numpy() / (pdf.lexical.sum() or 1.0)
+    lexical, similar = (pc.fill_null(head.column(c), 0.0).to_numpy() for c in ("lexical", "similarity"))
+    start = lexical / (lexical.sum() or 1.0)
     rank = start
     for _ in range(12):
         rank = 0.15 * start + 0.85 * (rank @ moves)
-    similar = pdf.similarity.fillna(0.0).to_numpy()
     scaled = lambda x: x / x.max() if n and x.max() > 0 else np.zeros(n)
-    return pd.DataFrame({"query_id": pdf.query_id, "source": pdf.source, "bonus": scaled(similar) + scaled(rank)})
+    return pa.table({"query_id": head.column("query_id"), "source": head.column("source"), "bonus": scaled(similar) + scaled(rank)})
 
 
 def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, first: DataFrame) -> DataFrame:
@@ -269,15 +304,13 @@ def rerank(files: DataFrame, definitions: DataFrame, queries: DataFrame, first:
     scores = durable(first.select("query_id", "source", "score").withColumns({"lexical": F.coalesce(F.col("score") / F.max("score").over(w), F.lit(0.0)), "__files": F.count("*").over(w)}), "rerank-scores")
     first = scores.filter("__files > 1").select("query_id", "source", "lexical")
     asking = first.groupBy("source").agg(F.collect_list("query_id").alias("asking"))  # at most the stated questions
-    texts = files.select("source", T.casefold(F.col("source")).alias("folded"), T.physical_lines(T.casefold(F.col("text"))).alias("lines")).join(asking, "source")
-    vectors = list(score.subword_blocks(queries))
-    near = [texts.mapInArrow(_similar([b]), "query_id bigint, source string, similarity double") for b in vectors]
-    near = reduce(DataFrame.unionByName, near) if near else first.select("query_id", "source", F.lit(0.0).alias("similarity")).limit(0)
+    texts = files.select("source", "text").join(asking, "source")
+    near = texts.mapInArrow(_similar(list(score.subword_questions(queries))), "query_id bigint, source string, similarity double")
     named = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), 1)), lambda n: F.xxhash64(n))
     defined = definitions.filter((F.col("name") != "") & (F.col("name") != "<anonymous>")).select("source", F.xxhash64("name").alias("h"))
     names = files.select("source", F.explode(named).alias("h")).join(defined.select("h").distinct(), "h", "left_semi").groupBy("source").agg(F.collect_list("h").alias("mentions"))
     nodes = first.join(near, ["query_id", "source"], "left").join(names, "source", "left").join(defined.groupBy("source").agg(F.collect_set("h").alias("defines")), "source", "left")
-    bonus = nodes.select("query_id", "source", "lexical", "similarity", "mentions", "defines").groupBy("query_id").applyInPandas(_head_rank, _RANKED)
+    bonus = nodes.select("query_id", "source", "lexical", "similarity", "mentions", "defines").groupBy("query_id").applyInArrow(_head_rank, _RANKED)
     x = scores.join(bonus, ["query_id", "source"], "left")
     blended = F.when(F.col("__files") > 1, F.col("lexical") + F.coalesce("bonus", F.lit(0.0))).otherwise(F.col("score"))
     return x.withColumn("score", blended).drop("lexical", "__files", "bonus")
