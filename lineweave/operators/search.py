@@ -324,6 +324,22 @@ def evidence_files(files: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     return reduce(DataFrame.unionByName, found)
 
 
+#: Files a line asked for of which lines are taken at first.
+FEW = 2
+
+
+def _lines_of_best(line_rows: DataFrame, scores: DataFrame, terms: DataFrame, index: DataFrame, per_file: int, top_k: int) -> DataFrame:
+    """Lines of the best ``FEW * top_k`` files of each question, and of all its files where those hold fewer than ``top_k`` lines that no other can precede."""
+    x = scores.withColumn("best", F.max(F.round("score", 9)).over(Window.partitionBy("query_id", "source")))
+    x = durable(x.withColumn("place", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("best").desc(), "source"))), "evidence-places")
+    head = x.filter(F.col("place") <= FEW * top_k)
+    few = durable(_best_lines(line_rows, head.drop("best", "place"), terms, index, per_file), "evidence-few")
+    sure = few.join(head.select("query_id", "source", "best").distinct(), ["query_id", "source"]).filter(F.round("score", 9) == F.col("best"))  # none beyond comes before
+    sure = durable(sure.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k).select("query_id"), "evidence-sure")
+    rest = _best_lines(line_rows, x.drop("best", "place").join(sure, "query_id", "left_anti"), terms, index, per_file)
+    return few.join(sure, "query_id", "left_semi").unionByName(rest)
+
+
 def _best_lines(line_rows: DataFrame, head: DataFrame, terms: DataFrame, index: DataFrame, per_file: int) -> DataFrame:
     """The ``per_file`` lines of each (query_id, source, score) with the rarest words of the question."""
     held = index.select("source", F.explode("terms").alias("term")).join(head.select("source").distinct(), "source", "left_semi")
@@ -354,7 +370,7 @@ def evidence_hits(files: DataFrame, line_rows: DataFrame, queries: DataFrame, de
                 moved = rerank(files, definitions, queries, first)
                 rest = x.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).filter(F.col("rank") > head)
                 scores = moved.select("query_id", "source", "score").unionByName(rest.select("query_id", "source", "score"))
-            best = durable(_best_lines(line_rows, scores, terms, e.index, per_file), "evidence-lines")
+            best = durable(_lines_of_best(line_rows, scores, terms, e.index, per_file, top_k), "evidence-lines")
             if depth >= most:
                 parts.append(best)
                 break
